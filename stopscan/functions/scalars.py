@@ -16,6 +16,16 @@ from stopscan.functions.fixed import (
 )
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once.
+
+    A lambda variable is bound, not substituted, so a long derivation stays as large as it is
+    written instead of being copied into every place that reads it.
+    """
+
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def met(predicate: Column) -> Column:
     """A predicate on a missing value counts as not met."""
 

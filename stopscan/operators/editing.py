@@ -18,15 +18,13 @@ from stopscan.functions.fixed import (
     STOP_CODONS,
 )
 from stopscan.functions.nucleotides import (
-    as_dna,
     base_at,
-    complement,
     is_stop,
     pam_pattern,
     residue,
     reverse_complement,
 )
-from stopscan.functions.scalars import met
+from stopscan.functions.scalars import let, met
 from stopscan.operators.placement import placed
 
 GUIDE_NT = PROTOSPACER_NT + 3
@@ -55,79 +53,83 @@ def _span(low: Column, high: Column) -> Column:
     return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast(_NO_INTS))
 
 
-def _edited_stop(c: Column) -> Column:
-    stop = F.col("stop_codon")
+def _edited_stop(g: Column, c: Column) -> Column:
+    stop = g["stop_codon"]
     return F.concat(F.substring(stop, F.lit(1), c["position"]), c["sense_to"],
                     F.substring(stop, c["position"] + 2, F.lit(3)))
 
 
-def _removes_stop(c: Column) -> Column:
-    original = F.substring("stop_codon", c["position"] + 1, F.lit(1))
-    return (original == c["sense_from"]) & ~_edited_stop(c).isin(*STOP_CODONS)
+def _removes_stop(g: Column, c: Column) -> Column:
+    original = F.substring(g["stop_codon"], c["position"] + 1, F.lit(1))
+    return (original == c["sense_from"]) & ~_edited_stop(g, c).isin(*STOP_CODONS)
 
 
-def _starts(c: Column, lo: Column, hi: Column) -> Column:
+def _on_strand(g: Column, c: Column) -> Column:
+    """The candidate as its own strand reads it: sequence, target and junctions."""
+
+    sense, target = c["strand"] == "sense", g["stop_local"] + c["position"]
+    return F.struct(
+        F.when(sense, g["window"]).otherwise(g["antisense"]).alias("read"),
+        F.when(sense, target).otherwise(g["length"] - 1 - target).alias("target"),
+        F.when(sense, g["junctions"]).otherwise(
+            F.transform(g["junctions"], lambda j: g["length"] - j)).alias("junctions"))
+
+
+def _starts(g: Column, c: Column, r: Column, lo: Column, hi: Column) -> Column:
     """Protospacer starts on the candidate's own strand whose window `lo..hi` holds the target."""
 
-    sense = c["strand"] == "sense"
-    read = F.when(sense, F.col("window")).otherwise(F.col("antisense"))
-    target = F.col("stop_local") + c["position"]
-    target = F.when(sense, target).otherwise(F.col("length") - 1 - target)
-    low = F.greatest(target - hi + 1, F.lit(0))
-    high = F.least(target - lo + 1, F.col("length") - GUIDE_NT)
+    low = F.greatest(r["target"] - hi + 1, F.lit(0))
+    high = F.least(r["target"] - lo + 1, g["length"] - GUIDE_NT)
 
     def usable(s: Column) -> Column:
-        crossed = F.exists(
-            F.when(sense, F.col("local_junctions")).otherwise(F.col("antisense_junctions")),
-            lambda j: (s < j) & (j < s + GUIDE_NT))
-        return F.rlike(F.substring(read, s + PROTOSPACER_NT + 1, F.lit(3)), c["pam"]) & ~crossed
+        crossed = F.exists(r["junctions"], lambda j: (s < j) & (j < s + GUIDE_NT))
+        return F.rlike(F.substring(r["read"], s + PROTOSPACER_NT + 1, F.lit(3)),
+                       c["pam"]) & ~crossed
 
     return F.filter(_span(low, high), usable)
 
 
-def _bystanders(c: Column, low: Column, high: Column) -> Column:
+def _bystanders(g: Column, c: Column, low: Column, high: Column) -> Column:
     """In-window bases other than the target the editor also changes, with what each does."""
 
-    target = F.col("stop_local") + c["position"]
-    window, coding = F.col("window"), F.col("coding_local")
+    target, window, coding = g["stop_local"] + c["position"], g["window"], g["coding"]
 
     def consequence(i: Column) -> Column:
         start = coding + F.floor((i - coding) / 3).cast("int") * 3
-        old = F.when(
-            (i >= coding) & (i <= F.col("coding_end_local")) & (start >= 0),
-            F.substring(window, start + 1, F.lit(3)))
-        old = F.when(F.length(old) == 3, old)
-        new = F.concat(F.substring(old, F.lit(1), i - start), c["sense_to"],
-                       F.substring(old, i - start + 2, F.lit(3)))
-        read = old.isNotNull()
+        return let(start, lambda s: let(
+            F.when((i >= coding) & (i <= g["coding_end"]) & (s >= 0)
+                   & (s + 3 <= g["length"]), F.substring(window, s + 1, F.lit(3))),
+            lambda old: F.struct(
+                i.alias("offset"), old.alias("old"),
+                F.concat(F.substring(old, F.lit(1), i - s), c["sense_to"],
+                         F.substring(old, i - s + 2, F.lit(3))).alias("new"))))
+
+    def read(b: Column) -> Column:
+        before, after = residue(b["old"]), residue(b["new"])
         return F.struct(
-            i.alias("offset"),
-            F.coalesce(residue(old), F.lit("")).alias("aa_from"),
-            F.coalesce(residue(new), F.lit("")).alias("aa_to"),
-            (F.coalesce(residue(old) == residue(new), F.lit(True))).alias("silent"),
-            read.alias("coding"))
+            b["offset"].alias("offset"), F.coalesce(before, F.lit("")).alias("aa_from"),
+            F.coalesce(after, F.lit("")).alias("aa_to"),
+            F.coalesce(before == after, F.lit(True)).alias("silent"),
+            b["old"].isNotNull().alias("coding"))
 
     touched = F.filter(_span(low, high), lambda i: (i != target) & (
         F.substring(window, i + 1, F.lit(1)) == c["sense_from"]))
-    return F.transform(touched, consequence)
+    return F.transform(F.transform(touched, consequence), read)
 
 
-def _guide(c: Column, s: Column) -> Column:
+def _guide(g: Column, c: Column, r: Column, s: Column) -> Column:
     sense = c["strand"] == "sense"
-    read = F.when(sense, F.col("window")).otherwise(F.col("antisense"))
-    target = F.col("stop_local") + c["position"]
-    on_strand = F.when(sense, target).otherwise(F.col("length") - 1 - target)
-    low = F.when(sense, s + c["lo"] - 1).otherwise(F.col("length") - s - c["hi"])
-    high = F.when(sense, s + c["hi"] - 1).otherwise(F.col("length") - s - c["lo"])
-    codon = _edited_stop(c)
+    low = F.when(sense, s + c["lo"] - 1).otherwise(g["length"] - s - c["hi"])
+    high = F.when(sense, s + c["hi"] - 1).otherwise(g["length"] - s - c["lo"])
+    codon = _edited_stop(g, c)
     return F.struct(
         c["editor"].alias("editor"), c["arm"].alias("arm"), c["strand"].alias("strand"),
-        F.substring(read, s + 1, F.lit(PROTOSPACER_NT)).alias("protospacer"),
-        F.substring(read, s + PROTOSPACER_NT + 1, F.lit(3)).alias("pam"),
-        (on_strand - s + 1).alias("window_position"),
-        F.when(codon == F.col("codon"), "exact_wildtype").otherwise("alternative_sense")
+        F.substring(r["read"], s + 1, F.lit(PROTOSPACER_NT)).alias("protospacer"),
+        F.substring(r["read"], s + PROTOSPACER_NT + 1, F.lit(3)).alias("pam"),
+        (r["target"] - s + 1).alias("window_position"),
+        F.when(codon == g["codon"], "exact_wildtype").otherwise("alternative_sense")
         .alias("restores"),
-        codon.alias("new_codon"), _bystanders(c, low, high).alias("bystanders"))
+        codon.alias("new_codon"), _bystanders(g, c, low, high).alias("bystanders"))
 
 
 def _missense(guide: Column) -> Column:
@@ -143,46 +145,49 @@ def stop_guides(variants: DataFrame, models: DataFrame,
         (base_at(F.col("sequence"), F.col("offset")) == F.col("expected"))
         & F.col("coding_end_offset").isNotNull()
         & is_stop(F.col("mutated")) & ~is_stop(F.col("codon")))
-    start = F.col("codon_start")
-    mutant = F.concat(F.substring("sequence", F.lit(1), start), F.col("mutated"),
-                      F.substring("sequence", start + 4, F.length("sequence")))
+    start, length = F.col("codon_start"), F.length("sequence")
     low = F.greatest(start - EDIT_MARGIN_NT, F.lit(0))
-    windowed = (
-        found.withColumn("scoreable", scoreable)
-        .withColumn("low", F.when(scoreable, low))
-        .withColumn("stop_codon", F.when(scoreable, F.col("mutated")))
-        .withColumn("window", F.when(scoreable, F.substring(
-            mutant, F.col("low") + 1, start + 3 + EDIT_MARGIN_NT - F.col("low"))))
-        .withColumn("length", F.length("window"))
-        .withColumn("antisense", reverse_complement(F.col("window")))
-        .withColumn("stop_local", start - F.col("low"))
-        .withColumn("coding_local", F.col("coding_offset") - F.col("low"))
-        .withColumn("coding_end_local", F.col("coding_end_offset") - F.col("low"))
-        .withColumn("local_junctions", F.transform(
-            F.filter("junctions", lambda j: (j > F.col("low"))
-                     & (j < F.col("low") + F.col("length"))),
-            lambda j: j - F.col("low")))
-        .withColumn("antisense_junctions",
-                    F.transform("local_junctions", lambda j: F.col("length") - j)))
-    candidates = windowed.withColumn("candidates", F.filter(editor_table(panel), _removes_stop))
-    guided = candidates.withColumn("guides", F.flatten(F.transform(
-        "candidates", lambda c: F.transform(
-            _starts(c, c["lo"], c["hi"]), lambda s: _guide(c, s)))))
-    covered = F.exists("candidates", lambda c: F.size(
-        _starts(c, F.lit(1), F.lit(PROTOSPACER_NT))) > 0)
+    high = F.least(start + 3 + EDIT_MARGIN_NT, length)
+    mutant = F.concat(F.substring("sequence", F.lit(1), start), F.col("mutated"),
+                      F.substring("sequence", start + 4, length))
+    window = F.substring(mutant, low + 1, high - low)
+    site = F.struct(
+        F.col("mutated").alias("stop_codon"), F.col("codon").alias("codon"),
+        window.alias("window"), reverse_complement(window).alias("antisense"),
+        (high - low).alias("length"), (start - low).alias("stop_local"),
+        (F.col("coding_offset") - low).alias("coding"),
+        (F.col("coding_end_offset") - low).alias("coding_end"),
+        F.transform(F.filter("junctions", lambda j: (j > low) & (j < high)),
+                    lambda j: j - low).alias("junctions"))
+
+    def search(g: Column) -> Column:
+        candidates = F.transform(
+            F.filter(editor_table(panel), lambda c: _removes_stop(g, c)),
+            lambda c: F.struct(c.alias("edit"), _on_strand(g, c).alias("strand")))
+        return let(candidates, lambda found: F.struct(
+            F.flatten(F.transform(found, lambda x: F.transform(
+                _starts(g, x["edit"], x["strand"], x["edit"]["lo"], x["edit"]["hi"]),
+                lambda s: _guide(g, x["edit"], x["strand"], s)))).alias("guides"),
+            (F.size(found) > 0).alias("editable"),
+            F.exists(found, lambda x: F.size(_starts(
+                g, x["edit"], x["strand"], F.lit(1), F.lit(PROTOSPACER_NT))) > 0)
+            .alias("covered")))
+
+    guided = found.withColumn("scoreable", scoreable).withColumn(
+        "_found", F.when(F.col("scoreable"), let(site, search)))
     reason = (F.when(~F.col("scoreable"), "unscoreable_context")
-              .when(F.size("guides") > 0, "")
-              .when(F.size("candidates") == 0, "no_stop_removing_edit")
-              .when(covered, "target_outside_window")
+              .when(F.size("_found.guides") > 0, "")
+              .when(~F.col("_found.editable"), "no_stop_removing_edit")
+              .when(F.col("_found.covered"), "target_outside_window")
               .otherwise("no_pam"))
     carried = [c for c in ("variant_id", "gene_id", "gene_symbol") if c in variants.columns]
     position = F.floor((start - F.col("coding_offset")) / 3) + 1
     return guided.select(
         *carried, "scoreable", reason.alias("reason"),
         F.when(F.col("scoreable"), position.cast("int")).alias("protein_position"),
-        F.col("stop_codon").alias("stop_type"),
+        F.when(F.col("scoreable"), F.col("mutated")).alias("stop_type"),
         F.when(F.col("scoreable"), F.col("codon")).alias("reference_codon"),
-        F.when(F.col("scoreable"), F.col("guides")).alias("guides"))
+        F.col("_found.guides").alias("guides"))
 
 
 def reachability(guided: DataFrame) -> DataFrame:

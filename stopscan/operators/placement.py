@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stopscan.functions.fixed import CONTEXT_WINDOW_NT, PRIMARY_CHROMOSOMES
 from stopscan.functions.nucleotides import as_rna, base_at, complement, is_stop, residue
+from stopscan.functions.scalars import let
 from stopscan.operators.ranking import first_by
 
 
@@ -102,24 +103,26 @@ def placed(variants: DataFrame, models: DataFrame) -> DataFrame:
 
     sides = models.select("gene_id", *_MODEL_COLUMNS)
     joined = variants.join(sides, "gene_id", "left")
-    forward = F.col("strand") == "+"
-    offset = F.col("offset")
-    start = F.col("codon_start")
-    covered = (offset >= F.col("coding_offset")) & (
-        F.col("coding_end_offset").isNull() | (start + 2 <= F.col("coding_end_offset")))
-    return (
-        joined.withColumn("offset", offset_of(F.col("pos")))
-        .withColumn("expected", F.when(forward, F.col("ref")).otherwise(complement(F.col("ref"))))
-        .withColumn("substituted",
-                    F.when(forward, F.col("alt")).otherwise(complement(F.col("alt"))))
-        .withColumn("codon_start", (F.col("coding_offset") + F.floor(
-            (offset - F.col("coding_offset")) / 3) * 3).cast("int"))
-        .withColumn("codon", F.when(covered, base_at(F.col("sequence"), start, 3)))
-        .withColumn("codon", F.when(F.length("codon") == 3, F.col("codon")))
-        .withColumn("mutated", F.concat(
-            F.substring("codon", F.lit(1), offset - start), F.col("substituted"),
-            F.substring("codon", offset - start + 2, F.lit(3))))
-    )
+    forward, coding, last = F.col("strand") == "+", F.col("coding_offset"), F.col(
+        "coding_end_offset")
+    expected = F.when(forward, F.col("ref")).otherwise(complement(F.col("ref")))
+    substituted = F.when(forward, F.col("alt")).otherwise(complement(F.col("alt")))
+
+    def spot(offset: Column) -> Column:
+        start = (coding + F.floor((offset - coding) / 3) * 3).cast("int")
+        return let(start, lambda s: let(codon_at(offset, s), lambda c: F.struct(
+            offset.alias("offset"), s.alias("codon_start"), c.alias("codon"),
+            F.concat(F.substring(c, F.lit(1), offset - s), substituted,
+                     F.substring(c, offset - s + 2, F.lit(3))).alias("mutated"))))
+
+    def codon_at(offset: Column, start: Column) -> Column:
+        covered = (offset >= coding) & (last.isNull() | (start + 2 <= last))
+        read = base_at(F.col("sequence"), start, 3)
+        return F.when(covered & (F.length(read) == 3), read)
+
+    found = joined.withColumn("_spot", let(offset_of(F.col("pos")), spot))
+    return found.select(*joined.columns, expected.alias("expected"),
+                        substituted.alias("substituted"), "_spot.*")
 
 
 def _reason() -> Column:

@@ -171,14 +171,16 @@ def null_gains(features: DataFrame, rounds: DataFrame, scores: DataFrame, baseli
             test, predicted = fit_fold(used, terms)
             n = test["n_test"].to_numpy(dtype=float)
             found.append({
-                "shuffle": one["shuffle"].iloc[0], "permutation": permutation,
+                "shuffle": one["_u_shuffle"].iloc[0], "permutation": permutation,
                 "drug": rows["drug"].iloc[0], "round": rows["round"].iloc[0],
                 "r2": squared_correlation(predicted, n, test["y_test"].to_numpy(),
                                           test["yy_test"].to_numpy())})
         return pd.DataFrame(found)
 
     unit = ["drug", "round", "shuffle", "chunk"]
-    fitted = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInPandas(
+    # Renamed, because both sides of the cogroup come from the same units.
+    right = right.withColumnsRenamed({u: f"_u_{u}" for u in unit})
+    fitted = left.groupBy(*unit).cogroup(right.groupBy(*[f"_u_{u}" for u in unit])).applyInPandas(
         fit, "shuffle string, permutation bigint, drug string, round int, r2 double")
     within = indices.where("shuffle = 'within_gene'").select("permutation")
     moved = _within_gene_scores(features, rounds, scores, within, seed)

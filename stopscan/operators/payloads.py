@@ -300,3 +300,17 @@ def index_arms(landscape: DataFrame, scores: DataFrame, therapies: Sequence[str]
     none = F.array(*[F.lit(ABSENT).cast("bigint") for _ in therapies])
     return landscape.select("variant_id").join(wide, "variant_id", "left").select(
         "variant_id", *[F.coalesce(n, none).alias(n) for n in columns])
+
+
+def research_counts(conditions: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The denominators a research page rests on; one row."""
+
+    entity = met(F.col("mapping_status").isin("mapped", "medgen_only"))
+    population = contexts.agg(F.count_distinct("variant_id").alias("q"),
+                              F.count_if(met(F.col("scoreable"))).alias("s"))
+    return conditions.agg(
+        F.count_distinct(F.when(entity, F.col("medgen"))).alias("eligible_condition_entities"),
+        F.count_if(entity).alias("unique_variant_condition_pairs"),
+        F.count_if(~entity).alias("excluded_placeholder_or_unmapped_rows")
+    ).select(population.select("q").scalar().alias("qualifying_variants"),
+             population.select("s").scalar().alias("scoreable_variants"), "*")

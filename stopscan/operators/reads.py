@@ -142,7 +142,7 @@ def course_qc(runs: DataFrame, stats: DataFrame, trimming: DataFrame, dataset: s
     names = wanted.select(F.explode(F.array("sample", "run_accession")).alias("prefix")).distinct()
     cuts = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(F.split("Sample", "_")) - 1, F.lit(1))),
-        lambda k: F.substring_index("Sample", "_", k))
+        lambda k: F.array_join(F.slice(F.split("Sample", "_"), F.lit(1), k), "_"))
     keyed = stats.select("*", F.explode(F.array_distinct(cuts)).alias("prefix")).where(
         F.length("prefix") < F.length("Sample"))
     means = keyed.join(names, "prefix", "left_semi").groupBy("prefix").agg(

@@ -33,15 +33,17 @@ def bootstrap_sums(df: DataFrame, keys: Sequence[str], identity: Sequence[str],
     filled = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     listed = filled.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("_bucket", "_n"))).alias("_sizes"))
-    shares = filled.select(*keys, "_bucket").join(listed, list(keys))
+    joined = filled.select(*keys, "_bucket").join(listed, list(keys))
+    # Renamed, because both sides of the cogroup come from the same rows.
+    shares = joined.select(*[F.col(k).alias(f"_s_{k}") for k in [*keys, "_bucket"]], "_sizes")
     columns, names = list(measures), list(keys)
 
     def resample(rows: pd.DataFrame, share: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(list(identity), kind="mergesort")
         ids = [(int(s["_bucket"]), int(s["_n"])) for s in share["_sizes"].iloc[0]]
         counts = np.array([n for _, n in ids], dtype=float)
-        mine = [b for b, _ in ids].index(int(share["_bucket"].iloc[0]))
-        label = "|".join(str(share[k].iloc[0]) for k in names)
+        mine = [b for b, _ in ids].index(int(share["_s__bucket"].iloc[0]))
+        label = "|".join(str(share[f"_s_{k}"].iloc[0]) for k in names)
         base = [seed, zlib.crc32(label.encode())]
         # The same stream in every bucket of the group: the split of the draws over buckets.
         split = np.random.default_rng(base).multinomial(
@@ -58,14 +60,15 @@ def bootstrap_sums(df: DataFrame, keys: Sequence[str], identity: Sequence[str],
         out.insert(0, "n", split)
         out.insert(0, "draw", np.arange(draws))
         for position, k in enumerate(names):
-            out.insert(position, k, share[k].iloc[0])
+            out.insert(position, k, share[f"_s_{k}"].iloc[0])
         return out
 
     kinds = dict(df.dtypes)
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in names] + ["draw int", "n bigint"]
                        + [f"`{m}` double" for m in columns])
     rows = placed.select(*dict.fromkeys([*keys, "_bucket", *identity, *measures]))
-    parts = (rows.groupBy(*keys, "_bucket").cogroup(shares.groupBy(*keys, "_bucket"))
+    parts = (rows.groupBy(*keys, "_bucket").cogroup(
+        shares.groupBy(*[f"_s_{k}" for k in [*keys, "_bucket"]]))
              .applyInPandas(resample, schema))
     return parts.groupBy(*keys, "draw").agg(
         F.sum("n").alias("n"), *[F.sum(m).alias(m) for m in columns])

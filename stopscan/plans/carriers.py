@@ -230,8 +230,8 @@ SELECT 'th' || {text('o_custkey % 3')} AS therapy_id, 'th' || {text('o_custkey %
        substring('uaauaguga', cast(1 + 3 * (o_orderkey % 3) AS int), 3) AS stop_type,
        {codon_rna("'x' || " + text('o_orderkey'))} AS up_123nt,
        {codon_rna("'y' || " + text('o_orderkey % 997'))} AS down_123nt,
-       0.01 + 0.02 * (o_orderkey % 3) + (cast(o_totalprice AS bigint) % 1000) / 20000.0
-         + 0.001 * (o_custkey % 5) AS RT_binomial
+       (200 + 400 * (o_orderkey % 3) + cast(floor(o_totalprice) AS bigint) % 1000
+         + 20 * (o_custkey % 5)) / cast(20000 AS double) AS RT_binomial
 FROM {{orders}}"""
 
 CARRIERS["codon_table"] = f"""
@@ -239,8 +239,8 @@ SELECT * FROM (
   SELECT substring('ACGT', cast(1 + c % 4 AS int), 1) ||
          substring('ACGT', cast(1 + floor(c / 4) % 4 AS int), 1) ||
          substring('ACGT', cast(1 + floor(c / 16) AS int), 1) AS codon,
-         CASE WHEN s = 0 THEN 'a' ELSE 'p' END AS site, avg(p_size) / 25.0 AS occupancy,
-         stddev_samp(p_size) / 25.0 AS occupancy_sd, count(*) AS libraries
+         CASE WHEN s = 0 THEN 'a' ELSE 'p' END AS site, avg(p_size) / cast(25 AS double) AS occupancy,
+         stddev_samp(p_size) / cast(25 AS double) AS occupancy_sd, count(*) AS libraries
   FROM (SELECT p_partkey % 64 AS c, floor(p_partkey / 64) % 2 AS s, p_size FROM {{part}}) AS q
   GROUP BY c, s) AS t WHERE codon NOT IN ('TAA', 'TAG', 'TGA')"""
 
@@ -317,9 +317,9 @@ FROM {{orders}}"""
 
 CARRIERS["paired_scores"] = f"""
 SELECT c_custkey AS id, 't' || {text('c_custkey')} AS transcript, c_custkey % 5 <> 0 AS mane_select,
-       CASE WHEN c_custkey % 41 = 0 THEN NULL ELSE floor(c_acctbal) / 100.0 END AS predicted,
-       CASE WHEN n IS NULL THEN NULL ELSE n % 23 / 100.0 END AS measured
-FROM {{customer}} LEFT JOIN (SELECT o_custkey, cast(sum(o_totalprice) AS bigint) AS n
+       CASE WHEN c_custkey % 41 = 0 THEN NULL ELSE cast(floor(c_acctbal) AS double) / 100 END AS predicted,
+       CASE WHEN n IS NULL THEN NULL ELSE cast(n % 23 AS double) / 100 END AS measured
+FROM {{customer}} LEFT JOIN (SELECT o_custkey, cast(sum(floor(o_totalprice)) AS bigint) AS n
                              FROM {{orders}} GROUP BY o_custkey) AS o ON o_custkey = c_custkey"""
 
 

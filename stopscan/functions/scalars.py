@@ -99,7 +99,8 @@ def variant_key(chrom: Column, pos: Column, ref: Column, alt: Column) -> Column:
 def named_items(text: Column) -> Column:
     """A `;` list, trimmed, without blanks and without the literal `none`."""
 
-    return F.filter(F.transform(F.split(text, ";"), F.trim), lambda x: (x != "") & (x != "none"))
+    trimmed = F.transform(F.split(text, ";"), lambda x: F.trim(x))
+    return F.filter(trimmed, lambda x: (x != "") & (x != "none"))
 
 
 def joined_or_none(items: Column, sep: str = "; ") -> Column:

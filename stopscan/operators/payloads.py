@@ -26,6 +26,7 @@ from stopscan.functions.scalars import (
 )
 from stopscan.operators.native_stops import concordance
 from stopscan.operators.ranking import first_by, first_seen_codes
+from stopscan.session import cut_lineage
 
 JSON_OPTIONS = {"ignoreNullFields": "false"}
 
@@ -265,7 +266,8 @@ def index_table(landscape: DataFrame, conditions: DataFrame, decay: DataFrame,
               .join(decay.select("variant_id", "escape_full_rules"), "variant_id", "left")
               .join(editing.where("reach_class <> ''").select("variant_id", "reach_class"),
                     "variant_id", "left"))
-    joined = joined.withColumn("residue", F.coalesce("original_aa", F.lit("?")))
+    # Written once: the four dictionaries below are all built from it.
+    joined = cut_lineage(joined.withColumn("residue", F.coalesce("original_aa", F.lit("?"))))
     for column, name in (("gene_symbol", "gene"), ("residue", "residue_code"),
                          ("condition", "condition_code"), ("reach_class", "reach_code")):
         codes = first_seen_codes(joined, column, order, name)

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from stopscan.session import cut_lineage
 
 BLOCKS = 256
+ONE_BLOCK = 200_000
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -110,11 +111,19 @@ def value_blocks(values: DataFrame, keys: Sequence[str], value: str,
 
 def value_positions(df: DataFrame, keys: Sequence[str], value: str,
                     blocks: int = BLOCKS) -> DataFrame:
-    """Distinct values of each group with `n` rows each and `before` rows below them."""
+    """Distinct values of each group with `n` rows each and `before` rows below them.
 
-    counted = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
-               .agg(F.count(F.lit(1)).alias("n")))
-    placed = value_blocks(counted, keys, value, blocks)
+    The distinct values are written once, because three passes read them. Few of them are ordered
+    as one block; more are cut at sketched quantiles.
+    """
+
+    counted = cut_lineage(
+        df.where(F.col(value).isNotNull()).groupBy(*keys, value)
+        .agg(F.count(F.lit(1)).alias("n")))
+    if counted.count() <= ONE_BLOCK:
+        placed = counted.withColumn("_block", F.lit(0))
+    else:
+        placed = value_blocks(counted, keys, value, blocks)
     return running_total(placed, keys, "_block", [value], "n").drop("_block")
 
 

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stopscan.session import cut_lineage
+
 BUCKET_ROWS = 20_000
 MAX_BUCKETS = 4096
 WEIGHTS_AT_ONCE = 1_000_000
@@ -25,6 +27,8 @@ def bootstrap_sums(df: DataFrame, keys: Sequence[str], identity: Sequence[str],
                    bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """`(keys, draw, n, measures)`: the measures' sums over each multinomial resample of a group."""
 
+    # Written once: sizes, bucket fills and the rows themselves are three passes over it.
+    df = cut_lineage(df.select(*dict.fromkeys([*keys, *identity, *measures])))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     buckets = F.least(F.lit(MAX_BUCKETS), F.greatest(
         F.lit(1), F.ceil(F.col("_rows") / bucket_rows))).cast("int")

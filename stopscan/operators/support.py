@@ -58,12 +58,12 @@ def support_report(atlas: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("variants"), F.count_if("measured_exactly").alias("measured"),
         F.count_if("aliased_interaction").alias("aliased"),
         F.count_if(F.col("weakest_term") == 0).alias("unsupported"))
-    for column in columns:
-        found = quantiles(atlas, [], column, {"m": 0.5, "p5": 0.05})
-        counted = counted.withColumns({
-            f"{column}_median": found.select("m").scalar(),
-            f"{column}_p5": found.select("p5").scalar()})
-    return counted
+    long = atlas.unpivot(["variant_id"], list(columns), "term", "value")
+    found = quantiles(long, ["term"], "value", {"m": 0.5, "p5": 0.05})
+    wide = found.agg(*[
+        F.max(F.when(F.col("term") == c, F.col(q))).alias(f"{c}_{n}")
+        for c in columns for q, n in (("m", "median"), ("p5", "p5"))])
+    return counted.withColumns({n: wide.select(n).scalar() for n in wide.columns})
 
 
 def context_analogues(scored: DataFrame, library: DataFrame, label: str,

@@ -730,10 +730,10 @@ _AXES = ("potential_variants", "potential_genes", "potential_conditions",
 
 @query("pareto_frontier", "scores", "conditions", sql=f"""
 WITH {ROADMAP_SQL}, dom AS (SELECT a.experiment_id, string_agg(b.experiment_id, '; '
-    ORDER BY b.experiment_id) AS by FROM proposed a JOIN proposed b ON
+    ORDER BY b.experiment_id) AS beaten FROM proposed a JOIN proposed b ON
     {" AND ".join(f"b.{x} >= a.{x}" for x in _AXES)} AND
     ({" OR ".join(f"b.{x} > a.{x}" for x in _AXES)}) GROUP BY 1)
-SELECT p.experiment_id, by IS NULL AS on_frontier, coalesce(by, 'none') AS dominated_by
+SELECT p.experiment_id, beaten IS NULL AS on_frontier, coalesce(beaten, 'none') AS dominated_by
 FROM proposed p LEFT JOIN dom ON dom.experiment_id = p.experiment_id""")
 def pareto_frontier(t: Tables) -> DataFrame:
     return road.frontier(proposed(t)).select("experiment_id", "on_frontier", "dominated_by")

@@ -6,6 +6,7 @@ from collections.abc import Collection
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stopscan.functions.fixed import (
     CDS_FROM_STOP_NT,
@@ -18,6 +19,7 @@ from stopscan.functions.fixed import (
 from stopscan.functions.nucleotides import codons_of, residue
 from stopscan.functions.scalars import ratio
 from stopscan.operators.ranking import quantiles
+from stopscan.session import cut_lineage
 
 
 def scorable_windows(annotation: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -59,19 +61,23 @@ def library_table(counts: DataFrame, windows: DataFrame, site: str = "a",
     at = (F.col("index") - FIRST_SCORABLE_CODON) * 3 + 1
     read = inside.select("sample", "transcript", "positions", "n",
                          F.substring("codons", at, F.lit(3)).alias("codon"))
-    depth = read.groupBy("sample", "transcript").agg(
-        F.sum("n").alias("psites"), F.first("positions").alias("positions"))
-    kept = depth.where((F.col("psites") >= minimum_psites)
-                       & (F.col("positions") >= minimum_codons)).withColumn(
-        "mean", F.col("psites") / F.col("positions"))
-    observed = read.select("sample", "transcript", "codon", "n").join(
-        kept.select("sample", "transcript", "mean"), ["sample", "transcript"]
-    ).groupBy("sample", "codon").agg(F.sum(F.col("n") / F.col("mean")).alias("psites"))
+    per_codon = read.groupBy("sample", "transcript", "positions", "codon").agg(
+        F.sum("n").alias("n"))
+    # At most 64 codons of one transcript meet in a window.
+    psites = F.sum("n").over(Window.partitionBy("sample", "transcript"))
+    rated = per_codon.withColumn("psites", psites).where(
+        (F.col("psites") >= minimum_psites) & (F.col("positions") >= minimum_codons))
+    # Written once: the scores, the positions available and the transcript counts all read it.
+    kept_codons = cut_lineage(rated.select(
+        "sample", "transcript", "codon",
+        (F.col("n") * F.col("positions") / F.col("psites")).alias("normalised")))
+    kept = kept_codons.select("sample", "transcript").distinct()
+    observed = kept_codons.groupBy("sample", "codon").agg(F.sum("normalised").alias("psites"))
     per_transcript = window.select("transcript", F.explode(codons_of(F.col("codons")))
                                    .alias("codon")).groupBy("transcript", "codon").agg(
         F.count(F.lit(1)).alias("held"))
-    available = kept.select("sample", "transcript").join(per_transcript, "transcript").groupBy(
-        "sample", "codon").agg(F.sum("held").alias("positions"))
+    available = kept.join(per_transcript, "transcript").groupBy("sample", "codon").agg(
+        F.sum("held").alias("positions"))
     libraries = kept.groupBy("sample").agg(F.count(F.lit(1)).alias("transcripts"))
     grid = libraries.select("sample", "transcripts", F.explode(
         F.lit(list(SENSE_CODONS))).alias("codon"))

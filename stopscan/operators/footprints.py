@@ -25,6 +25,7 @@ from stopscan.functions.fixed import (
 )
 from stopscan.functions.scalars import half_even, met, ratio
 from stopscan.operators.ranking import quantiles
+from stopscan.session import cut_lineage
 
 
 def primary_footprints(alignments: DataFrame,
@@ -342,7 +343,10 @@ def library_ratios(counts: DataFrame) -> DataFrame:
     """Per library: pooled sums, then ratios and frame shares; the median ratio kept beside them."""
 
     downstream = sum((F.col(c) for c in EXTENSION_FRAMES[1:]), F.col(EXTENSION_FRAMES[0]))
-    rows = counts.withColumn("_ratio", ratio(F.col("extension_frame0"), F.col("cds_frame0")))
+    # Written once: the pooled sums and the median are two passes over the qualifying rows.
+    rows = cut_lineage(counts.select(
+        "sample", *CDS_FRAMES, *EXTENSION_FRAMES, "termination",
+        ratio(F.col("extension_frame0"), F.col("cds_frame0")).alias("_ratio")))
     pooled = rows.groupBy("sample").agg(
         F.count(F.lit(1)).alias("transcripts"),
         F.avg((downstream > 0).cast("double")).alias("with_downstream"),

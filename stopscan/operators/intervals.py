@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopscan.functions.fixed import UTR_FEATURES
 from stopscan.operators.ranking import running_total
+from stopscan.session import cut_lineage
 
 INTERVAL = ("chrom", "start", "end", "strand", "gene_id", "transcript_id")
 
@@ -41,49 +42,55 @@ def downstream_regions(coding: DataFrame, untranslated: DataFrame) -> DataFrame:
     return untranslated.join(extent, "transcript_id").where(past).select(*INTERVAL)
 
 
-def _points_at_or_below(points: DataFrame, queries: DataFrame, keys: Sequence[str],
-                        block: int) -> DataFrame:
-    """For each distinct `(keys, at)` of `queries`, how many of `points` lie at or below `at`."""
-
-    events = (
-        points.groupBy(*keys, "at").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("query", F.lit(0))
-        .unionByName(queries.select(*keys, "at").distinct()
-                     .withColumn("n", F.lit(0).cast("bigint")).withColumn("query", F.lit(1)))
-        .withColumn("_block", F.floor(F.col("at") / block)))
-    counted = running_total(events, keys, "_block", ["at", "query"], "n", "found")
-    return counted.where("query = 1").select(*keys, "at", "found")
+ANY = "*"
 
 
 def overlap_counts(queries: DataFrame, intervals: DataFrame, keys: Sequence[str],
-                   block: int = 1 << 16) -> DataFrame:
-    """Distinct `(keys, start, end)` of `queries` with the number of overlapping `intervals`."""
-
-    asked = queries.select(*keys, "start", "end").distinct()
-    begun = _points_at_or_below(
-        intervals.select(*keys, F.col("start").alias("at")),
-        asked.select(*keys, (F.col("end") - 1).alias("at")), keys, block)
-    ended = _points_at_or_below(
-        intervals.select(*keys, F.col("end").alias("at")),
-        asked.select(*keys, F.col("start").alias("at")), keys, block)
-    return (
-        asked.withColumn("at", F.col("end") - 1)
-        .join(begun.withColumnRenamed("found", "begun"), [*keys, "at"]).drop("at")
-        .withColumn("at", F.col("start"))
-        .join(ended.withColumnRenamed("found", "ended"), [*keys, "at"]).drop("at")
-        .select(*keys, "start", "end", (F.col("begun") - F.col("ended")).alias("overlaps")))
+                   group: str | None = None, block: int = 1 << 16) -> DataFrame:
+    """Distinct `(keys, start, end)` of `queries` with the number of overlapping `intervals`.
+
+    With `group`, queries are told apart by it too and only intervals of other groups count. All
+    rank lookups (starts and ends, over every group and over the query's own) are one running
+    count over the union of points and lookups.
+    """
+
+    places = [*keys, "_scope", "_kind"]
+    scopes = [F.lit(ANY)] + ([F.col(group).cast("string")] if group else [])
+
+    def marked(begin: Column, finish: Column, signed: bool) -> Column:
+        rows = []
+        for own, scope in enumerate(scopes):
+            for kind, at, sign in (("begin", begin, 1), ("end", finish, -1)):
+                fields = [scope.alias("_scope"), F.lit(kind).alias("_kind"),
+                          at.cast("bigint").alias("_at")]
+                if signed:
+                    fields.append(F.lit(-sign if own else sign).alias("_sign"))
+                rows.append(F.struct(*fields))
+        return F.inline(F.array(*rows))
+
+    points = intervals.select(
+        *keys, marked(F.col("start"), F.col("end"), False)
+    ).groupBy(*places, "_at").agg(F.count(F.lit(1)).alias("n"))
+    identity = [*keys, *([group] if group else []), "start", "end"]
+    lookups = queries.select(*identity).distinct().select(
+        *identity, marked(F.col("end") - 1, F.col("start"), True))
+    events = points.withColumn("query", F.lit(0)).unionByName(
+        lookups.select(*places, "_at").distinct().select(
+            *places, "_at", F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("query")))
+    counted = running_total(
+        events.withColumn("_block", F.floor(F.col("_at") / block)), places, "_block",
+        ["_at", "query"], "n", "found")
+    found = counted.where("query = 1").select(*places, "_at", "found")
+    return lookups.join(found, [*places, "_at"]).groupBy(*identity).agg(
+        F.sum(F.col("found") * F.col("_sign")).alias("overlaps"))
 
 
 def overlapping_other_genes(features: DataFrame) -> DataFrame:
     """Transcripts whose 3' untranslated region runs into another gene's coding sequence."""
 
     coding, untranslated = coding_and_untranslated(features)
-    regions = downstream_regions(coding, untranslated)
-    place = ["chrom", "strand"]
-    any_gene = overlap_counts(regions, coding, place)
-    own_gene = overlap_counts(regions, coding, [*place, "gene_id"])
-    counted = (
-        regions.join(any_gene, [*place, "start", "end"])
-        .join(own_gene.withColumnRenamed("overlaps", "own"),
-              [*place, "gene_id", "start", "end"]))
-    return counted.where(F.col("overlaps") > F.col("own")).select("transcript_id").distinct()
+    # Written once: the regions are looked up and then matched back to their transcripts.
+    regions = cut_lineage(downstream_regions(coding, untranslated))
+    counted = overlap_counts(regions, coding, ["chrom", "strand"], "gene_id")
+    hit = counted.where("overlaps > 0").drop("overlaps")
+    return regions.join(hit, hit.columns, "left_semi").select("transcript_id").distinct()

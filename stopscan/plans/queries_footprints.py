@@ -20,7 +20,7 @@ from stopscan.operators import reads as rd
 from stopscan.plans.carriers import ADAPTER, Tables
 from stopscan.plans.queries_variants import STOPS_SQL, sql_residue
 from stopscan.plans.registry import query, rounded
-from stopscan.session import scratch_path
+from stopscan.session import cut_lineage, scratch_path
 from stopscan.sources import text as src
 
 LENGTHS = (28, 29, 30, 31, 32)
@@ -468,7 +468,7 @@ SELECT quantity, target AS reference_effect, round(d, 6) AS observed_difference,
   (SELECT min(n) FROM kk WHERE kk.k * sqrt((fa + fb + ca + cb) / n) <= abs(target))
     AS replicates_required FROM b""")
 def detectability(t: Tables) -> DataFrame:
-    kept = kept_counts(t)
+    kept = cut_lineage(kept_counts(t))
     found = det.detectability(fp.library_ratios(kept), det.counting_error(kept), t("arms"),
                               "treated", "control", TARGETS)
     return rounded(found)
@@ -481,7 +481,7 @@ def bootstrap_intervals(t: Tables) -> DataFrame:
 
 @query("detectability_by_library")
 def detectability_by_library(t: Tables) -> DataFrame:
-    kept = kept_counts(t)
+    kept = cut_lineage(kept_counts(t))
     kinds = fp.library_verdicts(t("frames"), t("offsets")).select(
         "sample", fp.failure_kind().alias("calibration"))
     return rounded(det.per_library_table(

@@ -342,7 +342,7 @@ def needed(names: list[str]) -> list[str]:
 
 
 def _with(names: list[str]) -> str:
-    return "WITH " + ", ".join(f"{n} AS ({CARRIERS[n]})" for n in needed(names))
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({CARRIERS[n]})" for n in needed(names))
 
 
 def _each(text: str, call: str, bracket: tuple[str, str]) -> str:
@@ -371,7 +371,8 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def sql(self, body: str, *names: str) -> DataFrame:
-        text = (_with(list(names)) + " " if names else "") + body
+        head = _with(list(names)).replace("WITH RECURSIVE", "WITH", 1) if names else ""
+        text = f"{head} {body}"
         text = _each(text, "explode", ("(array(", "))"))
         used = set(re.findall(r"\{(\w+)\}", text))
         return self.spark.sql(text, **{t: self.table(t) for t in used})

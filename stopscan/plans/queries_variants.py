@@ -840,15 +840,16 @@ def coverage_frontier_variants(t: Tables) -> DataFrame:
 def _greedy_sql(sets: str) -> str:
     """Greedy cover as a recursive query: each step's list of chosen designs, then its gain."""
 
-    return f"""WITH RECURSIVE {sets}, total AS (SELECT count(DISTINCT element) AS n FROM fam),
-sig AS (SELECT by, count(*) AS c FROM (SELECT element, list_sort(list(DISTINCT design_id)) AS by
-    FROM fam GROUP BY element) AS e GROUP BY by),
+    return f"""WITH {sets}, total AS (SELECT count(DISTINCT element) AS n FROM fam),
+sig AS (SELECT by_, count(*) AS c FROM (SELECT element, list_sort(list(DISTINCT design_id)) AS by_
+    FROM fam GROUP BY element) AS e GROUP BY by_),
 steps AS (SELECT 0 AS rank, cast([] AS VARCHAR[]) AS chosen, cast(0 AS bigint) AS gain
-  UNION ALL SELECT rank + 1, list_append(chosen, best.d), best.g FROM (
-    SELECT s.rank, s.chosen, (SELECT struct_pack(d := d, g := g) FROM (
-      SELECT d, cast(sum(c) AS bigint) AS g FROM (SELECT unnest(by) AS d, c FROM sig
-        WHERE NOT list_has_any(by, s.chosen)) AS u GROUP BY d) AS q
-      ORDER BY g DESC, d LIMIT 1) AS best FROM steps s) AS n WHERE best IS NOT NULL)
+  UNION ALL SELECT rank + 1, list_append(chosen, d), g FROM (
+    SELECT rank, chosen, d, g, row_number() OVER (ORDER BY g DESC, d) AS k FROM (
+      SELECT rank, chosen, d, cast(sum(c) AS bigint) AS g FROM (
+        SELECT rank, chosen, unnest(by_) AS d, c FROM steps, sig
+        WHERE NOT list_has_any(by_, chosen)) AS u GROUP BY rank, chosen, d) AS q) AS r
+  WHERE k = 1)
 SELECT cast(rank AS bigint) AS rank, chosen[rank] AS design_id,
   split_part(chosen[rank], '-', 1) AS recognized_stop,
   split_part(chosen[rank], '-', 2) AS inserted_aa, gain AS marginal,
@@ -858,12 +859,17 @@ SELECT cast(rank AS bigint) AS rank, chosen[rank] AS design_id,
 FROM steps WHERE rank > 0"""
 
 
-@query("coverage_frontier_genes", sql=None)
+@query("coverage_frontier_genes", "contexts", sql=_greedy_sql(
+    f"fam AS (SELECT DISTINCT {_DESIGN} AS design_id, gene_symbol AS element FROM contexts "
+    "WHERE scoreable)"))
 def coverage_frontier_genes(t: Tables) -> DataFrame:
     return rounded(cov.coverage_frontier(t("contexts"), "genes"))
 
 
-@query("disease_reach_frontier", sql=None)
+@query("disease_reach_frontier", "conditions", "contexts", sql=_greedy_sql(
+    f"fam AS (SELECT DISTINCT {_DESIGN} AS design_id, medgen AS element FROM conditions d "
+    "JOIN contexts c ON c.variant_id = d.variant_id WHERE scoreable "
+    "AND mapping_status IN ('mapped', 'medgen_only'))"))
 def disease_reach_frontier(t: Tables) -> DataFrame:
     return rounded(cov.disease_reach_frontier(t("conditions"), t("contexts")))
 

@@ -298,8 +298,7 @@ def collapse_lengths(counts: DataFrame, lengths: DataFrame | Collection[int]) ->
     if "length" not in counts.columns:
         raise ValueError("these counts are not stratified by footprint length")
     if isinstance(lengths, DataFrame):
-        kept = counts.join(F.broadcast(lengths.select("length").distinct().limit(SURVEY_SPAN)),
-                           "length", "left_semi")
+        kept = counts.join(lengths.select("length").distinct(), "length", "left_semi")
     else:
         kept = counts.where(F.col("length").isin(*lengths))
     return kept.groupBy("transcript", "sample").agg(
@@ -307,10 +306,6 @@ def collapse_lengths(counts: DataFrame, lengths: DataFrame | Collection[int]) ->
         *[F.sum(c).alias(c) for c in COUNT_COLUMNS])
 
 
-# A footprint length is at most a read long, so a set of lengths is small by its nature.
-SURVEY_SPAN = 10_000
-
-
 def qualifying(counts: DataFrame, genes: DataFrame | None = None,
                excluded: DataFrame | None = None, samples: DataFrame | None = None,
                minimum_cds: int = MINIMUM_CDS_PSITES,

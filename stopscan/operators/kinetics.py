@@ -115,7 +115,8 @@ def head_to_head(features: DataFrame, rounds: DataFrame, scores: DataFrame,
             used = permuted_scores(scores, kind, one, seed).drop("permutation")
         # A codon score is a function of the cell, so it is attached to cells, not to rows.
         cells = attach(fold_cells(features, rounds, keys), used)
-    return evaluate(cells, keys, models or MODELS).withColumn("shuffle", F.lit(label))
+    return evaluate(cells, keys, models or MODELS, derived=kind != "within_gene").withColumn(
+        "shuffle", F.lit(label))
 
 
 def baseline_scores(features: DataFrame, rounds: DataFrame,

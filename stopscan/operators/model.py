@@ -19,9 +19,12 @@ from stopscan.functions.binomial import (
 from stopscan.functions.fixed import SUPPORT_STRATA
 from stopscan.functions.scalars import half_even
 from stopscan.operators.ranking import quantiles
+from stopscan.operators.wide_fits import evaluate_wide
+from stopscan.session import cut_lineage
 
 CELL = tuple(FACTORS.values())
 KINETIC = ("k_up", "k_down")
+GROUPED_CELLS = 100_000
 
 
 def training_cells(features: DataFrame, keys: Sequence[str] = ("therapy_id",)) -> DataFrame:
@@ -94,7 +97,7 @@ def score(contexts: DataFrame, model: DataFrame, spreads: DataFrame,
     therapies = spreads.agg(F.sort_array(F.collect_set("therapy_id"))).scalar()
     rows = contexts.where("scoreable").withColumn("therapy_id", F.explode(therapies))
     joined = rows.join(model, ["therapy_id", *CELL], "left").join(
-        F.broadcast(spreads.select("therapy_id", "spread").limit(1000)), "therapy_id", "left")
+        spreads.select("therapy_id", "spread"), "therapy_id", "left")
     predicted, seen = F.col("predicted"), F.col("predicted").isNotNull()
     low = F.greatest(predicted * (1 - F.col("spread")), F.lit(0.0))
     return joined.select(
@@ -148,11 +151,22 @@ def fit_fold(rows: pd.DataFrame, terms: Terms) -> tuple[pd.DataFrame, pd.Series]
 
 
 def evaluate(cells: DataFrame, keys: Sequence[str] = ("therapy_id",),
-             models: Mapping[str, Terms] | None = None) -> DataFrame:
-    """Held-out r squared and row count of each model in each round."""
+             models: Mapping[str, Terms] | None = None, derived: bool = False) -> DataFrame:
+    """Held-out r squared and row count of each model in each round.
+
+    Cells of the three factors are at most 3 * 64 * 64 per round and are fitted as a group. Cells
+    told apart by row-level kinetics have no such bound: they are counted first, and a round with
+    more than `GROUPED_CELLS` of them is fitted across tasks. `derived` says the kinetic columns are
+    functions of the cell, which keeps the bound.
+    """
 
     wanted = dict(models or {"B": MODELS["B"]})
     names = [*keys, "round"]
+    if set(KINETIC) & set(cells.columns) and not derived:
+        cells = cut_lineage(cells)
+        largest = cells.groupBy(*names).count().agg(F.max("count")).first()[0]
+        if (largest or 0) > GROUPED_CELLS:
+            return evaluate_wide(cells, names, wanted)
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         found = []

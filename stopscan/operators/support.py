@@ -39,7 +39,7 @@ def support_atlas(scored: DataFrame, library: DataFrame) -> DataFrame:
     out = normalised(scored).select("variant_id", *TERMS)
     for name, keys in SUPPORT_KEYS.items():
         counts = cells.groupBy(*keys).agg(F.sum("n").alias(f"support_{name}"))
-        out = out.join(F.broadcast(counts), list(keys), "left")
+        out = out.join(counts, list(keys), "left")
     filled = out.select("variant_id", *[
         F.coalesce(f"support_{name}", F.lit(0)).cast("bigint").alias(f"support_{name}")
         for name in SUPPORT_KEYS])

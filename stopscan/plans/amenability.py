@@ -32,7 +32,7 @@ def amenability(records: DataFrame, features: DataFrame, sequences: DataFrame,
                 config: str = "published_random_cv") -> Amenability:
     """Every table from archive records, an annotation and a measured library.
 
-    Contexts are written once, since four branches read them. The interval of a therapy comes from
+    Contexts and scores are written once, since several branches read them. The interval of a therapy comes from
     its own held-out predictions.
     """
 
@@ -40,7 +40,7 @@ def amenability(records: DataFrame, features: DataFrame, sequences: DataFrame,
     models = placement.one_model_per_gene(placement.transcript_models(features, sequences))
     contexts = cut_lineage(placement.stop_contexts(kept, models))
     held_out = held_out_predictions(library, split(library, config))
-    scores = score(contexts, fit(library), relative_error(held_out))
+    scores = cut_lineage(score(contexts, fit(library), relative_error(held_out)))
     table = landscape.landscape(contexts, scores)
     return Amenability(
         kept, variants.normalize_conditions(kept), contexts,

@@ -215,3 +215,14 @@ def test_worst_case_is_the_drug_with_the_largest_mean(spark):
                                "drug string, round int, gain double")
     found = ev.worst_case(df, draws=200).first()
     assert found.drug == "b" and found.ci_low < found.gain < found.ci_high
+
+
+def test_fits_across_tasks_equal_grouped_fits(features, scores, monkeypatch):
+    rounds = ev.split(features, "grouped_by_gene", ("drug",), rounds=2)
+    models = {m: MODELS[m] for m in ("B", "K1")}
+    grouped = kin.head_to_head(features, rounds, scores, "within_gene", models).toPandas()
+    monkeypatch.setattr(mod, "GROUPED_CELLS", 0)
+    wide = kin.head_to_head(features, rounds, scores, "within_gene", models).toPandas()
+    both = grouped.merge(wide, on=["drug", "round", "model"])
+    assert len(both) == 8 and (both.held_out_x == both.held_out_y).all()
+    assert both.r2_x.to_numpy() == pytest.approx(both.r2_y.to_numpy(), abs=1e-6)

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stopscan.functions.fixed import CODON_BASES, CODON_RESIDUES, PAM_BASES, STOP_CODONS
+from stopscan.functions.scalars import let
 
 
 def as_dna(sequence: Column) -> Column:
@@ -56,10 +57,14 @@ def residue(codon: Column) -> Column:
 def codons_of(sequence: Column) -> Column:
     """Whole codons of a sequence in order, a trailing partial codon left out."""
 
-    whole = F.floor(F.length(sequence) / 3).cast("int")
-    starts = F.when(whole > 0, F.sequence(F.lit(1), whole)).otherwise(
-        F.array().cast("array<int>"))
-    return F.transform(starts, lambda k: F.substring(sequence, k * 3 - 2, F.lit(3)))
+    def cut(bases: Column) -> Column:
+        whole = F.floor(F.length(bases) / 3).cast("int")
+        starts = F.when(whole > 0, F.sequence(F.lit(1), whole)).otherwise(
+            F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.substring(bases, k * 3 - 2, F.lit(3)))
+
+    # Bound, so a derived sequence is not derived again for every codon.
+    return let(sequence, cut)
 
 
 def translate_sequence(sequence: Column) -> Column:

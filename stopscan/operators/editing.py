@@ -18,8 +18,6 @@ from stopscan.functions.fixed import (
     STOP_CODONS,
 )
 from stopscan.functions.nucleotides import (
-    base_at,
-    is_stop,
     pam_pattern,
     residue,
     reverse_complement,
@@ -141,10 +139,6 @@ def stop_guides(variants: DataFrame, models: DataFrame,
     """Every variant with its stop-removing guides and, where it has none, the reason."""
 
     found = placed(variants, models)
-    scoreable = met(
-        (base_at(F.col("sequence"), F.col("offset")) == F.col("expected"))
-        & F.col("coding_end_offset").isNotNull()
-        & is_stop(F.col("mutated")) & ~is_stop(F.col("codon")))
     start, length = F.col("codon_start"), F.length("sequence")
     low = F.greatest(start - EDIT_MARGIN_NT, F.lit(0))
     high = F.least(start + 3 + EDIT_MARGIN_NT, length)
@@ -173,7 +167,7 @@ def stop_guides(variants: DataFrame, models: DataFrame,
                 g, x["edit"], x["strand"], F.lit(1), F.lit(PROTOSPACER_NT))) > 0)
             .alias("covered")))
 
-    guided = found.withColumn("scoreable", scoreable).withColumn(
+    guided = found.withColumn("scoreable", F.col("makes_stop")).withColumn(
         "_found", F.when(F.col("scoreable"), let(site, search)))
     reason = (F.when(~F.col("scoreable"), "unscoreable_context")
               .when(F.size("_found.guides") > 0, "")
@@ -239,20 +233,17 @@ def escape_summary(reach: DataFrame) -> DataFrame:
 def panel_comparison(primary: DataFrame, relaxed: DataFrame) -> DataFrame:
     """Class counts under two panels, what only the relaxed one reaches, and what stays out."""
 
-    def classes(df: DataFrame, panel: str) -> DataFrame:
-        return df.where("scoreable").groupBy(
-            F.lit(panel).alias("panel"), F.col("reach_class").alias("measure"))
-
-    counted = [classes(primary, "primary"), classes(relaxed, "relaxed"),
-               relaxed.where("scoreable and requires_relaxed_pam").groupBy(
-                   F.lit("relaxed").alias("panel"), F.lit("incremental").alias("measure")),
-               relaxed.where("reach_class = 'not_base_editable_under_panel'").groupBy(
-                   F.lit("residual").alias("panel"), F.col("reason").alias("measure"))]
-    tables = [g.agg(F.count(F.lit(1)).alias("variants")) for g in counted]
-    out = tables[0]
-    for table in tables[1:]:
-        out = out.unionByName(table)
-    return out
+    def tag(panel: str, measure: Column) -> Column:
+        return F.struct(F.lit(panel).alias("panel"), measure.alias("measure"))
+
+    ok, kind = F.col("scoreable"), F.col("reach_class")
+    one = [F.when(ok, tag("primary", kind))]
+    two = [F.when(ok, tag("relaxed", kind)),
+           F.when(ok & F.col("requires_relaxed_pam"), tag("relaxed", F.lit("incremental"))),
+           F.when(kind == "not_base_editable_under_panel", tag("residual", F.col("reason")))]
+    rows = primary.select(F.inline(F.array_compact(F.array(*one)))).unionByName(
+        relaxed.select(F.inline(F.array_compact(F.array(*two)))))
+    return rows.groupBy("panel", "measure").agg(F.count(F.lit(1)).alias("variants"))
 
 
 def escape_map(reach: DataFrame, scores: DataFrame) -> DataFrame:

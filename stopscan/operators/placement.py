@@ -108,12 +108,22 @@ def placed(variants: DataFrame, models: DataFrame) -> DataFrame:
     expected = F.when(forward, F.col("ref")).otherwise(complement(F.col("ref")))
     substituted = F.when(forward, F.col("alt")).otherwise(complement(F.col("alt")))
 
+    sequence = F.col("sequence")
+
     def spot(offset: Column) -> Column:
         start = (coding + F.floor((offset - coding) / 3) * 3).cast("int")
-        return let(start, lambda s: let(codon_at(offset, s), lambda c: F.struct(
-            offset.alias("offset"), s.alias("codon_start"), c.alias("codon"),
+        return let(start, lambda s: let(codon_at(offset, s), lambda c: let(
             F.concat(F.substring(c, F.lit(1), offset - s), substituted,
-                     F.substring(c, offset - s + 2, F.lit(3))).alias("mutated"))))
+                     F.substring(c, offset - s + 2, F.lit(3))),
+            lambda m: outcome(offset, s, c, m))))
+
+    def outcome(offset: Column, start: Column, codon: Column, mutated: Column) -> Column:
+        matches = F.coalesce(base_at(sequence, offset) == expected, F.lit(False))
+        stop_made = F.coalesce(is_stop(mutated) & ~is_stop(codon), F.lit(False))
+        return F.struct(
+            offset.alias("offset"), start.alias("codon_start"), codon.alias("codon"),
+            mutated.alias("mutated"), _reason(offset, start, codon, matches, stop_made)
+            .alias("reason"), (matches & stop_made & last.isNotNull()).alias("makes_stop"))
 
     def codon_at(offset: Column, start: Column) -> Column:
         covered = (offset >= coding) & (last.isNull() | (start + 2 <= last))
@@ -121,22 +131,20 @@ def placed(variants: DataFrame, models: DataFrame) -> DataFrame:
         return F.when(covered & (F.length(read) == 3), read)
 
     found = joined.withColumn("_spot", let(offset_of(F.col("pos")), spot))
-    return found.select(*joined.columns, expected.alias("expected"),
-                        substituted.alias("substituted"), "_spot.*")
+    return found.select(*joined.columns, "_spot.*")
 
 
-def _reason() -> Column:
+def _reason(offset: Column, start: Column, codon: Column, matches: Column,
+            stop_made: Column) -> Column:
     """The first check a placement fails, in the order the checks are declared."""
 
-    stop_made = is_stop(F.col("mutated")) & ~is_stop(F.col("codon"))
-    upstream_ok = F.col("codon_start") >= CONTEXT_WINDOW_NT
-    downstream_ok = F.length("sequence") - F.col("codon_start") - 3 >= CONTEXT_WINDOW_NT
+    upstream_ok = start >= CONTEXT_WINDOW_NT
+    downstream_ok = F.length("sequence") - start - 3 >= CONTEXT_WINDOW_NT
     return (
         F.when(F.col("transcript_id").isNull(), "no_mane_transcript")
-        .when(F.col("offset").isNull(), "outside_transcript")
-        .when(F.coalesce(base_at(F.col("sequence"), F.col("offset")) != F.col("expected"),
-                         F.lit(True)), "reference_mismatch")
-        .when(F.col("codon").isNull(), "outside_transcript")
+        .when(offset.isNull(), "outside_transcript")
+        .when(~matches, "reference_mismatch")
+        .when(codon.isNull(), "outside_transcript")
         .when(~stop_made, "not_a_premature_stop")
         .when(~(upstream_ok & downstream_ok), "truncated_context")
         .otherwise(""))
@@ -145,7 +153,7 @@ def _reason() -> Column:
 def stop_contexts(variants: DataFrame, models: DataFrame) -> DataFrame:
     """The context around every premature stop, failures kept beside their reason."""
 
-    found = placed(variants, models).withColumn("reason", _reason())
+    found = placed(variants, models)
     ok = F.col("reason") == ""
     start, sequence = F.col("codon_start"), F.col("sequence")
     upstream = as_rna(base_at(sequence, start - CONTEXT_WINDOW_NT, CONTEXT_WINDOW_NT))

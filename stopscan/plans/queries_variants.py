@@ -26,7 +26,7 @@ from stopscan.operators import placement as plc
 from stopscan.operators import variants as var
 from stopscan.plans.carriers import Tables
 from stopscan.plans.registry import query, rounded
-from stopscan.session import scratch_path
+from stopscan.session import cut_lineage, scratch_path
 from stopscan.sources import text as src
 
 # --- Shared SQL of the oracles ------------------------------------------------------------------
@@ -372,9 +372,9 @@ def protein_disagreements(t: Tables) -> DataFrame:
     spoiled = F.array_join(F.transform(
         F.split(peptide, ""), lambda aa, i: F.when((i % 2 == 0) & (aa != ""), "X").otherwise(aa)),
         "")
-    proteins = t("seqs").select(
+    proteins = cut_lineage(t("seqs").select(
         F.concat(F.lit("np"), "accession").alias("accession"),
-        F.when(F.col("gene_id") % 5 == 0, spoiled).otherwise(peptide).alias("sequence"))
+        F.when(F.col("gene_id") % 5 == 0, spoiled).otherwise(peptide).alias("sequence")))
     contexts = plc.stop_contexts(t("variants"), plc.one_model_per_gene(models(t)))
     return rounded(plc.protein_disagreements(contexts, proteins))
 

@@ -31,13 +31,19 @@ def build_session(app: str = "stopscan", cores: str | int = "*", partitions: int
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in `spark.checkpoint.dir`; a scratch one only where unset."""
+    """The folder the cluster names in `spark.checkpoint.dir`.
 
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
+    Only where driver and executors are one process may it be unset: a scratch folder then stands
+    in for it. On a cluster such a folder would exist on one machine alone, so it is an error.
+    """
+
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
+        "spark.checkpoint.dir")
     if named:
         return named
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     fallback = getattr(spark, "_stopscan_scratch", None)
     if fallback is None:
         fallback = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
@@ -51,17 +57,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and continue from what was written.
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a table under the shared folder once nothing reads it any more."""
+
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def cut_lineage(df: DataFrame, *columns: str, name: str = "cut") -> DataFrame:
+    """Write `df` (or only `columns`) as Parquet in the shared folder and read it back.
 
-    Used where a result must not be computed twice (an approximate sketch, a loop's state): a lost
-    executor then re-reads the written blocks instead of re-deriving a different answer.
+    Used where several passes read one derived table or a result must not be computed twice (an
+    approximate sketch, a loop's state): a lost executor then re-reads files instead of deriving a
+    different answer, and later scans see column statistics and read only what they need.
     """
 
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, name)
+    (df.select(*columns) if columns else df).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def within(df: DataFrame, rows: int) -> bool:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopscan.llm import decontamination, simhash
+from stopscan.llm import cuckoo_dedup, decontamination, pfair_mix, simhash, slot_sharding
 from stopscan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,18 @@ def _decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 @register("op2_simhash")
 def _simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@register("op3_exact_dedup", cuckoo_dedup.SQL)
+def _exact(spark: SparkSession, folder: str) -> DataFrame:
+    return cuckoo_dedup.exact_duplicates(table(spark, folder, "documents"))
+
+
+@register("op4_mix_sources", pfair_mix.SQL)
+def _mix(spark: SparkSession, folder: str) -> DataFrame:
+    return pfair_mix.interleave(table(spark, folder, "documents"))
+
+
+@register("op8_shard")
+def _shard(spark: SparkSession, folder: str) -> DataFrame:
+    return slot_sharding.sharded(table(spark, folder, "documents"))

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopscan.llm import cuckoo_dedup, decontamination, pfair_mix, simhash, slot_sharding
+from stopscan.llm import (
+    additive_quality,
+    bloom_lm,
+    crf_language,
+    cuckoo_dedup,
+    decontamination,
+    pfair_mix,
+    simhash,
+    slot_sharding,
+    token_counts,
+    warc_zstd,
+)
 from stopscan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +58,36 @@ def _mix(spark: SparkSession, folder: str) -> DataFrame:
 @register("op8_shard")
 def _shard(spark: SparkSession, folder: str) -> DataFrame:
     return slot_sharding.sharded(table(spark, folder, "documents"))
+
+
+@register("op5_language")
+def _language(spark: SparkSession, folder: str) -> DataFrame:
+    return crf_language.languages(table(spark, folder, "documents"))
+
+
+@register("op6_bloom_lm")
+def _lm(spark: SparkSession, folder: str) -> DataFrame:
+    return bloom_lm.scored(table(spark, folder, "documents"))
+
+
+@register("op7_token_counts")
+def _tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.counted(table(spark, folder, "documents"), "word_bpe_49k.json")
+
+
+@register("op9_quality")
+def _quality(spark: SparkSession, folder: str) -> DataFrame:
+    return additive_quality.quality(table(spark, folder, "documents"),
+                                    table(spark, folder, "labels"))
+
+
+@register("op10_warc")
+def _warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc_zstd.round_trip(table(spark, folder, "pages"))
+
+
+@register("pipeline")
+def _pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, folder)

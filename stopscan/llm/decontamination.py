@@ -91,19 +91,17 @@ def seeds(rows: DataFrame, key: str, masks: tuple[str, ...], place: str,
         "s")).select(key, F.col("s.seed").alias("seed"), F.col("s.at").alias(place))
 
 
-def best_window(document: Column, item: Column, diagonal: Column, window: int) -> Column:
-    """Most agreeing positions in any `window` aligned tokens; null if fewer are aligned."""
-
-    first = F.greatest(F.lit(0), -diagonal)
-    length = F.least(F.size(item), F.size(document) - diagonal) - first
-    need = F.least(F.lit(window), F.size(item))
-    equal = F.zip_with(F.slice(document, first + diagonal + 1, length),
-                       F.slice(item, first + 1, length),
-                       lambda a, b: F.when(a == b, 1).otherwise(0))
+def best_window(near: Column, item: Column, window: Column) -> Column:
+    """Most agreeing positions in any `window` aligned tokens; null if fewer are aligned.
+
+    `near` is the stretch of the document and `item` that of the item, position by position.
+    """
+
+    equal = F.zip_with(near, item, lambda a, b: F.when(a == b, 1).otherwise(0))
     best = F.transform(F.array(equal), lambda e: F.array_max(F.transform(
-        F.sequence(F.lit(1), length - need + 1),
-        lambda i: F.aggregate(F.slice(e, i, need), F.lit(0), lambda s, x: s + x))))
-    return F.when(length >= need, F.get(best, F.lit(0)))
+        F.sequence(F.lit(1), F.size(near) - window + 1),
+        lambda i: F.aggregate(F.slice(e, i, window), F.lit(0), lambda s, x: s + x))))
+    return F.when(F.size(near) >= window, F.get(best, F.lit(0)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS,
@@ -133,11 +131,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
                  items.count(), 2000),
         F.col("item_id").eqNullSafe(F.col("__item"))).select(
         F.col("doc_id").alias("hit_doc"), "item_id", "diagonal", "t")
-    compared = texts.join(if_small(wanted, hits.count(), 600),
-                          F.col("doc_id").eqNullSafe(F.col("hit_doc"))).select(
-        "doc_id", "item_id", "t", "diagonal", token_hashes().alias("h")).select(
+    holders = hits.select(F.col("doc_id").alias("hit_doc")).distinct()
+    hashed = texts.join(if_small(holders, hits.count(), 16),
+                        F.col("doc_id").eqNullSafe(F.col("hit_doc")), "left_semi").select(
+        "doc_id", token_hashes().alias("h"))
+    first = F.greatest(F.lit(0), -F.col("diagonal"))
+    length = F.least(F.size("t"), F.size("h") - F.col("diagonal")) - first
+    compared = hashed.join(
+        if_small(wanted, hits.count(), 600), F.col("doc_id").eqNullSafe(F.col("hit_doc"))).where(
+        length >= F.least(F.lit(window), F.size("t"))).select(
         "doc_id", "item_id", F.size("t").alias("n_item"),
-        best_window(F.col("h"), F.col("t"), F.col("diagonal"), window).alias("agreeing"))
+        F.slice("h", first + F.col("diagonal") + 1, length).alias("near"),
+        F.slice("t", first + 1, length).alias("aligned")).select(
+        "doc_id", "item_id", "n_item",
+        best_window(F.col("near"), F.col("aligned"), F.least(F.lit(window), F.col("n_item")))
+        .alias("agreeing"))
     need = F.least(F.lit(window), F.col("n_item"))
     allowed = F.when(F.col("n_item") >= window, substitutions).otherwise(0)
     return compared.where(F.col("agreeing") >= need - allowed).groupBy("doc_id", "item_id").agg(

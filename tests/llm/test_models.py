@@ -1,0 +1,158 @@
+"""Learned models: held-out accuracy, brute force and the library of the vocabulary file."""
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from stopscan.llm import additive_quality, bloom_lm, crf_language, token_counts
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def crc(value, modulus):
+    return zlib.crc32(("" if value is None else str(value)).encode()) % modulus
+
+
+def test_languages_held_out(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    found = crf_language.languages(docs).collect()
+    assert len(found) == len(truth)
+    assert all(r.held_out == (crc(r.doc_id, 4) == 2) and 0 <= r.score <= 1 for r in found)
+    away = [r for r in found if r.held_out]
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in away]) > 0.97
+
+
+def test_forward_backward_matches_all_label_rows():
+    rng = np.random.default_rng(0)
+    model = crf_language.Crf(["a", "b", "c"], {}, np.zeros((4, 3)), rng.normal(size=(3, 3)),
+                             rng.normal(size=3))
+    lengths, scores = np.array([4, 2]), rng.normal(size=(6, 3))
+    found = model.posteriors(scores, lengths)
+    for n, (at, size) in enumerate(((0, 4), (4, 2))):
+        total, mass = np.zeros(3), 0.0
+        for code in range(3 ** size):
+            row = [code // 3 ** k % 3 for k in range(size)]
+            weight = math.exp(model.first[row[0]] + sum(scores[at + k, v] for k, v in enumerate(
+                row)) + sum(model.moves[a, b] for a, b in zip(row, row[1:])))
+            mass += weight
+            for v in row:
+                total[v] += weight / size
+        assert np.allclose(found[n], total / mass)
+
+
+def test_code_switched_words_get_their_own_label(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = crf_language.learned(docs)
+    by = {r.lang: r.text for r in docs.where("n_chars > 2000").collect()}
+    words = [crf_language.LETTERS.findall(by[v].lower())[:30] for v in ("en", "de")]
+    mixed = " ".join(words[0] + words[1])
+    label, score = model.predict([mixed])
+    assert label[0] in ("en", "de") and 0.3 < score[0] < 0.75
+
+
+def test_languages_of_odd_rows(spark, odd, empty):
+    found = {r.doc_id: r for r in crf_language.languages(odd).collect()}
+    assert all(found[k].lang_pred == "und" and found[k].score == 0 for k in (1, 2, 3, 7))
+    assert found[4].lang_pred in ("en", "fr")
+    assert crf_language.languages(empty).count() == 0
+    kept = crf_language.stage(spark, odd, "")
+    assert kept.columns == odd.columns
+    assert {r.doc_id for r in kept.collect()} == {4, 5, 8, None}
+
+
+def test_token_counts_match_the_library(spark, documents, odd, empty):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, mine = Tokenizer.from_file(path), token_counts.Merger(path)
+    texts = ["", "  ", "aaaaaaa", "<|startoftext|>Hi<|endoftext|>", "don't I'LL 'S'ſ", "ΑΣ ΣΑΣ",
+             "İstanbul ǅ ﬀ ẞ", "été", "漢字かな😀😀", "1234 5a6 x y",
+             "nd" * 300, "<|STARTOFTEXT|>", "\x00�"]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert mine.count(texts) == want
+    for table in (documents, odd):
+        rows = table.select("doc_id", "text").collect()
+        want = Counter((r.doc_id, len((r.text or "").encode()), len(library.encode(
+            r.text or "", add_special_tokens=False).ids)) for r in rows)
+        found = token_counts.counted(table, "word_bpe_49k.json").collect()
+        assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in found) == want
+        assert all(r.over_limit == (r.n_tokens > 2048) for r in found)
+    assert token_counts.counted(empty, "word_bpe_49k.json").count() == 0
+
+
+def test_the_filter_returns_quantised_counts():
+    keys = np.arange(5000) * 7
+    counts = np.random.default_rng(0).geometric(0.01, 5000)
+    part = bloom_lm.LogFilter.part_of(keys)
+    size = 64 * 400
+    bits = np.zeros((bloom_lm.PARTS, size // 8), np.uint8)
+    for p in range(bloom_lm.PARTS):
+        bits[p] = bloom_lm.LogFilter.filled(keys[part == p], counts[part == p], size)
+    found = bloom_lm.LogFilter(bits)
+    levels, want = found.levels(keys), np.log2(counts).astype(int) + 1
+    assert (levels >= want).all() and (levels == want).mean() > 0.99
+    assert (found.levels(np.arange(5000) * 7 + 3) > 0).mean() < 0.01
+
+
+def tokens(text):
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return [w for w in re.split(r"[\x20\x09-\x0d]+", lower) if w] + [""]
+
+
+def test_base_scores_match_brute_force(spark, documents, odd, empty, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "HEAD_WORDS", 500)
+    monkeypatch.setattr(bloom_lm, "CLASSES", 50)
+    for table in (documents, odd):
+        rows = table.select("doc_id", "text").collect()
+        counts = Counter(t for r in rows if crc(r.doc_id, 7) != 2 for t in tokens(r.text))
+        n, v = sum(counts.values()), len(counts)
+        want = Counter()
+        for r in rows:
+            row = tokens(r.text)
+            base = sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in row)
+            want[r.doc_id, len(row), sum(t in counts for t in row), round(base, 4)] += 1
+        found = bloom_lm.scored(table).collect()
+        assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4))
+                       for r in found) == want
+        assert {r.train_tokens for r in found} == {n} and all(r.score < 0 for r in found)
+    assert bloom_lm.scored(empty).count() == 0
+
+
+def test_class_probabilities_add_up(spark, documents, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "CLASSES", 20)
+    model, _ = bloom_lm.learned(documents)
+    width = model.classes + 1
+    for before in (0, 3, model.classes):
+        p = 10 ** model.class_scores(before * width + np.arange(width))
+        assert abs(p.sum() - 1) < 0.02
+
+
+def test_quality_held_out(spark, odd, empty):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    found = additive_quality.quality(docs, labels).collect()
+    assert len(found) == docs.count()
+    assert all(r.held_out == (crc(r.doc_id, 3) == 1) for r in found)
+    assert all(r.predicted == (r.score >= 0.5) for r in found)
+    away = [r for r in found if r.held_out and r.doc_id in truth]
+    assert np.mean([r.predicted == truth[r.doc_id] for r in away]) > 0.95
+    few = spark.createDataFrame([(4, 1), (5, None), (99, 0), (None, 1)],
+                                "doc_id bigint, quality int")
+    assert additive_quality.quality(odd, few).count() == 10
+    assert additive_quality.quality(odd, few.limit(0)).where("score = 0.5").count() == 10
+    assert additive_quality.quality(empty, few).count() == 0
+
+
+def test_tables_learn_an_interaction():
+    rng = np.random.default_rng(4)
+    x = np.zeros((4000, 14))
+    x[:, :3] = rng.normal(size=(4000, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    model = additive_quality.Additive(14).fit(x, y)
+    assert (0, 1) in model.pairs
+    assert ((model.score(x) > 0.5) == y).mean() > 0.85

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,8 +128,9 @@ def insertions(hashed: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = frame.groupby("text_sha256", sort=False)["doc_id"].agg(["max", "size"])
-            yield pd.DataFrame({"digest": found.index, "keep_id": found["max"].astype(
-                "Int64" if kind == "bigint" else object), "group_size": found["size"]})
+            yield pd.DataFrame({"digest": found.index.to_numpy(object), "keep_id": found["max"].astype(
+                "Int64" if kind == "bigint" else object).array,
+                "group_size": found["size"].to_numpy()})
 
     return hashed.select("text_sha256", "doc_id").mapInPandas(run, INDEX.format(kind=kind))
 
@@ -175,10 +177,10 @@ def updated(stored: DataFrame | None, added: DataFrame, removed: DataFrame | Non
                     best[at] = keep
         live = [n for n, k in enumerate(index.keys) if k is not None]
         return pd.DataFrame({
-            "digest": [index.keys[n] for n in live],
+            "digest": np.array([index.keys[n] for n in live], object),
             "keep_id": pd.array([best[n] for n in live],
                                 dtype="Int64" if kind == "bigint" else object),
-            "group_size": [sizes[n] for n in live]})
+            "group_size": np.array([sizes[n] for n in live], np.int64)})
 
     part = F.pmod(F.xxhash64("digest"), F.lit(parts))
     return rows.groupBy(part.alias("part")).applyInPandas(run, INDEX.format(kind=kind))

@@ -212,9 +212,9 @@ def fit(texts: list[str], languages: list[str], seed: int = 0) -> Crf:
     flat, truth = chains(words, tags, np.random.default_rng(seed))
     types = {w: n for n, w in enumerate(dict.fromkeys(flat))}
     ids = np.fromiter((types[w] for w in flat), np.int64, len(flat)).reshape(CHAINS, CHAIN)
-    features = [word_features(w, lexicon) for w in types]
+    features = [np.array(word_features(w, lexicon), np.int32) for w in types]
     sizes = np.fromiter(map(len, features), np.int64, len(features))
-    index = np.fromiter((f for row in features for f in row), np.int64, sizes.sum())
+    index = np.concatenate(features)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     owner, scale = np.repeat(np.arange(len(sizes)), sizes), 1 / np.sqrt(sizes)
     used, slot = np.unique(index, return_inverse=True)

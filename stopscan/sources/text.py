@@ -66,14 +66,19 @@ def read_numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataF
 
 
 def parse_vcf(lines: DataFrame) -> DataFrame:
-    """VCF lines to their fixed columns and the archive's INFO fields."""
+    """VCF lines to their fixed columns and the archive's INFO fields; of a repeated key, the first."""
 
     kept = lines.where(~F.startswith("value", F.lit("#")) & (F.col("value") != ""))
     part = F.split("value", "\t")
-    info = F.str_to_map(part[7], F.lit(";"), F.lit("="))
+    entries = F.split(part[7], ";")
+
+    def field(name: str) -> Column:
+        found = F.filter(entries, lambda e: F.startswith(e, F.lit(f"{name}=")))
+        return F.substring(F.get(found, F.lit(0)), len(name) + 2, 1 << 30)
+
     return kept.select(
         part[0].alias("chrom"), part[1].cast("bigint").alias("pos"), part[3].alias("ref"),
-        part[4].alias("alt"), *[F.try_element_at(info, F.lit(f)).alias(f) for f in INFO_FIELDS],
+        part[4].alias("alt"), *[field(f).alias(f) for f in INFO_FIELDS],
         *[c for c in lines.columns if c != "value"])
 
 
@@ -132,10 +137,11 @@ def select_transcripts(features: DataFrame) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """`(header, sequence)` per record, upper-cased; records are split on their opening mark."""
+    """`(header, sequence)` per record, upper-cased; a record opens where a line does."""
 
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    return parse_fasta(records)
+    records = spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != "")
+    # Only the first record of a file still has its mark.
+    return parse_fasta(records.select(F.regexp_replace("value", "^>", "").alias("value")))
 
 
 def parse_fasta(records: DataFrame) -> DataFrame:

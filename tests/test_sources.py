@@ -106,3 +106,15 @@ def test_manifest_lists_size_digest_and_missing(spark, tmp_path):
 def test_residues_of_odd_codons(spark):
     df = spark.createDataFrame([("TGG",), ("TAA",), ("AC",), ("ACN",), (None,)], "c string")
     assert [r[0] for r in df.select(residue(F.col("c"))).collect()] == ["W", "*", None, "X", None]
+
+
+def test_a_mark_inside_a_fasta_header_opens_no_record(spark, tmp_path):
+    (tmp_path / "x.fa").write_text(">t1 5'->3' strand\nACGT\nac\n>t2 a>b\nTT\n")
+    found = src.read_fasta(spark, str(tmp_path / "x.fa")).collect()
+    assert sorted(map(tuple, found)) == [("t1 5'->3' strand", "ACGTAC"), ("t2 a>b", "TT")]
+
+
+def test_a_repeated_info_key_takes_its_first_value(spark):
+    line = "1\t5\t.\tA\tT\t.\t.\tCLNSIG=Benign;CLNSIG=Pathogenic;CLNVC=x=y"
+    row = src.parse_vcf(spark.createDataFrame([(line,)], "value string")).first()
+    assert row.CLNSIG == "Benign" and row.CLNVC == "x=y"

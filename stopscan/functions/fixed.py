@@ -88,7 +88,6 @@ OFFSET_FROM_5 = (11, 14)
 SURVEY_LENGTHS = (18, 40)
 MINIMUM_ADAPTER_RATE = 0.5
 PLAUSIBLE_FOOTPRINT = (20, 40)
-SURVEY_READS = 200_000
 SITE_SHIFT = {"a": 1, "p": 0}
 CONFIDENCE = 0.95
 POWER = 0.80

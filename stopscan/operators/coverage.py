@@ -14,8 +14,6 @@ from stopscan.operators.landscape import conservative
 from stopscan.operators.variants import named_entities
 from stopscan.session import cut_lineage
 
-MAX_DESIGNS = 4096
-
 
 def design_id() -> Column:
     """A suppressor design: the stop it reads and the residue it inserts."""
@@ -44,10 +42,6 @@ def is_partition(sets: DataFrame) -> DataFrame:
     ).select("total", "in_union", (F.col("total") == F.col("in_union")).alias("partition"))
 
 
-_STEP = ("rank bigint, design_id string, marginal bigint, cumulative bigint, "
-         "cumulative_fraction double, uncovered bigint")
-
-
 def _finished(steps: DataFrame) -> DataFrame:
     return steps.select(
         "rank", "design_id",
@@ -62,40 +56,34 @@ def _finished(steps: DataFrame) -> DataFrame:
 def greedy_panel(sets: DataFrame) -> DataFrame:
     """The greedy maximum-coverage order of a set family, ties to the smaller id.
 
-    Elements are first collapsed to the set of designs that hold them, so the loop reads one row
-    per signature and one aggregate per design, not the elements. A disjoint family needs no loop:
-    its order is one sort.
+    Elements are first collapsed to the set of designs that hold them. A design that comes first
+    among all designs it shares an uncovered element with keeps its gain until the greedy order
+    reaches it, so every such design is settled in one round, however many there are; gains never
+    grow, so the order is their sort. A disjoint family takes one round.
     """
 
     signatures = (
         sets.distinct().groupBy("element").agg(F.sort_array(F.collect_set("design_id")).alias("by"))
         .groupBy("by").agg(F.count(F.lit(1)).alias("elements")))
-    signatures = cut_lineage(signatures)
-    shape = signatures.agg(F.sum("elements").alias("total"), F.max(F.size("by")).alias("widest"),
-                           F.sum(F.lit(0)).alias("zero")).first()
-    spark = sets.sparkSession
-    if shape.total is None:
-        return _finished(spark.createDataFrame([], _STEP))
-    if shape.widest == 1:
-        return _finished(disjoint_panel(
-            signatures.select(F.col("by")[0].alias("design_id"),
-                              F.col("elements").alias("marginal"))))
-    steps, chosen, covered = [], [], 0
-    while len(chosen) < MAX_DESIGNS:
-        left = signatures
-        if chosen:
-            taken = F.lit(chosen)
-            left = left.where(~F.arrays_overlap("by", taken))
-        best = (left.select(F.explode("by").alias("design_id"), "elements")
-                .groupBy("design_id").agg(F.sum("elements").alias("gain"))
-                .orderBy(F.desc("gain"), "design_id").first())
-        if best is None:
-            break
-        chosen.append(best.design_id)
-        covered += best.gain
-        steps.append((len(chosen), best.design_id, best.gain, covered, covered / shape.total,
-                      shape.total - covered))
-    return _finished(spark.createDataFrame(steps, _STEP))
+    numbered = cut_lineage(signatures.withColumn("signature", F.monotonically_increasing_id()))
+    left = numbered.select("signature", F.explode("by").alias("design_id"), "elements")
+    settled = []
+    while not left.isEmpty():
+        gains = left.groupBy("design_id").agg(
+            F.sum("elements").alias("marginal"), F.count(F.lit(1)).alias("held"))
+        first = cut_lineage(left.join(gains, "design_id").groupBy("signature").agg(
+            F.min(F.struct((-F.col("marginal")).alias("order"), "design_id", "held")).alias("f")
+        ).select("signature", "f.*"))
+        chosen = cut_lineage(first.groupBy("design_id", "held", "order").agg(
+            F.count(F.lit(1)).alias("led")).where(F.col("led") == F.col("held")).select(
+            "design_id", (-F.col("order")).alias("marginal")))
+        settled.append(chosen)
+        covered = first.join(chosen, "design_id", "left_semi")
+        left = cut_lineage(left.join(covered, "signature", "left_anti"))
+    sizes = left.select("design_id", F.col("elements").alias("marginal"))
+    for chosen in settled:
+        sizes = sizes.unionByName(chosen)
+    return _finished(disjoint_panel(sizes))
 
 
 def disjoint_panel(sizes: DataFrame) -> DataFrame:

@@ -10,22 +10,20 @@ from stopscan.functions.fixed import (
     ALIGNER_FIELDS,
     MINIMUM_ADAPTER_RATE,
     PLAUSIBLE_FOOTPRINT,
-    SURVEY_READS,
 )
 from stopscan.functions.nucleotides import adapter_start, degenerate_prefix
 from stopscan.functions.scalars import half_even, met, ratio
 
 
-def located_adapters(reads: DataFrame, runs: DataFrame, limit: int = SURVEY_READS) -> DataFrame:
-    """The head of each library's reads with the footprint left before its declared adapter.
+def located_adapters(reads: DataFrame, runs: DataFrame) -> DataFrame:
+    """Every read of a footprint library with the length left before its declared adapter.
 
-    `reads` is `(sample, record, sequence)` with a 0-based record number; the survey reads the
-    first `limit` records of a library, which is what it is defined over. Runs are tens of rows.
+    `reads` is `(sample, sequence)`, whole libraries; runs are tens of rows.
     """
 
     declared = runs.where("assay = 'riboseq'").select(
         "sample", "adapter_3p", "cut_5p", "adapter_overlap")
-    joined = reads.where(F.col("record") < limit).join(declared, "sample")
+    joined = reads.select("sample", "sequence").join(declared, "sample")
     loose = degenerate_prefix(F.col("adapter_3p"))
     fixed = F.ltrim("adapter_3p", F.lit("N"))
     minimum = F.greatest(F.lit(1), F.col("adapter_overlap") - loose).cast("int")

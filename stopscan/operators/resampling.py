@@ -1,8 +1,10 @@
 """Bootstrap over groups of any size.
 
-A multinomial resample of n rows is drawn in two steps: how many of the n draws fall in each bucket
-of rows, then how they spread inside the bucket. Every task can repeat the first step from the seed
-and the bucket sizes, so buckets are resampled apart and only their sums are added up.
+A multinomial resample of n rows is drawn in three steps: how many of the n draws fall on each shelf
+of buckets, in each bucket of a shelf, and how they spread inside a bucket. Every task can repeat the
+first two from the seed and the sizes, so buckets are resampled apart and only their sums are added
+up. A shelf has about as many buckets as there are shelves, so a task reads twice the root of the
+number of buckets, and a bucket has about `BUCKET_ROWS` rows however large its group is.
 """
 
 from __future__ import annotations
@@ -18,10 +20,25 @@ from pyspark.sql import functions as F
 from stopscan.session import cut_lineage
 
 BUCKET_ROWS = 20_000
-MAX_BUCKETS = 4096
 WEIGHTS_AT_ONCE = 1_000_000
 
 
+def shared_split(stream: list[int], parts: Sequence, key: str, mine: int,
+                 total: int | np.ndarray) -> np.ndarray:
+    """How many of each draw's rows fall on part `mine`; `total` is their number per draw, or, as a
+    plain number, how many resamples of all rows to draw.
+    """
+
+    counts = np.array([int(p["_n"]) for p in parts], dtype=float)
+    at = [int(p[key]) for p in parts].index(mine)
+    rng, share = np.random.default_rng(stream), counts / counts.sum()
+    if isinstance(total, int):
+        total = np.full(total, int(counts.sum()))
+    step = max(1, WEIGHTS_AT_ONCE // len(counts))
+    return np.concatenate([rng.multinomial(total[k:k + step], share)[:, at]
+                           for k in range(0, len(total), step)])
+
+
 def bootstrap_sums(df: DataFrame, keys: Sequence[str], identity: Sequence[str],
                    measures: Sequence[str], draws: int, seed: int,
                    bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -30,29 +47,32 @@ def bootstrap_sums(df: DataFrame, keys: Sequence[str], identity: Sequence[str],
     # Written once: sizes, bucket fills and the rows themselves are three passes over it.
     df = cut_lineage(df.select(*dict.fromkeys([*keys, *identity, *measures])))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    buckets = F.least(F.lit(MAX_BUCKETS), F.greatest(
-        F.lit(1), F.ceil(F.col("_rows") / bucket_rows))).cast("int")
-    placed = df.join(sizes, list(keys)).withColumn(
-        "_bucket", F.pmod(F.xxhash64(*identity), buckets).cast("int"))
-    filled = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    listed = filled.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("_bucket", "_n"))).alias("_sizes"))
-    joined = filled.select(*keys, "_bucket").join(listed, list(keys))
+    buckets = F.greatest(F.lit(1), F.ceil(F.col("_rows") / bucket_rows)).cast("bigint")
+    placed = df.join(sizes.select(*keys, buckets.alias("_buckets")), list(keys)).withColumn(
+        "_bucket", F.pmod(F.xxhash64(*identity), F.col("_buckets"))).withColumn(
+        "_shelf", F.floor(F.col("_bucket") / F.ceil(F.sqrt("_buckets"))))
+    filled = placed.groupBy(*keys, "_shelf", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    shelf = filled.groupBy(*keys, "_shelf").agg(
+        F.sort_array(F.collect_list(F.struct("_bucket", "_n"))).alias("_sizes"),
+        F.sum("_n").alias("_n"))
+    shelves = shelf.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("_shelf", "_n"))).alias("_shelves"))
+    joined = filled.select(*keys, "_shelf", "_bucket").join(
+        shelf.drop("_n"), [*keys, "_shelf"]).join(shelves, list(keys))
     # Renamed, because both sides of the cogroup come from the same rows.
-    shares = joined.select(*[F.col(k).alias(f"_s_{k}") for k in [*keys, "_bucket"]], "_sizes")
+    shares = joined.select(*[F.col(k).alias(f"_s_{k}") for k in [*keys, "_shelf", "_bucket"]],
+                           "_sizes", "_shelves")
     columns, names = list(measures), list(keys)
 
     def resample(rows: pd.DataFrame, share: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(list(identity), kind="mergesort")
-        ids = [(int(s["_bucket"]), int(s["_n"])) for s in share["_sizes"].iloc[0]]
-        counts = np.array([n for _, n in ids], dtype=float)
-        mine = [b for b, _ in ids].index(int(share["_s__bucket"].iloc[0]))
         label = "|".join(str(share[f"_s_{k}"].iloc[0]) for k in names)
         base = [seed, zlib.crc32(label.encode())]
-        # The same stream in every bucket of the group: the split of the draws over buckets.
-        split = np.random.default_rng(base).multinomial(
-            int(counts.sum()), counts / counts.sum(), size=draws)[:, mine]
-        inside = np.random.default_rng([*base, mine + 1])
+        shelf, bucket = int(share["_s__shelf"].iloc[0]), int(share["_s__bucket"].iloc[0])
+        # The same streams in every bucket of the group, then in every bucket of the shelf.
+        split = shared_split(base, share["_shelves"].iloc[0], "_shelf", shelf, draws)
+        split = shared_split([*base, shelf + 1], share["_sizes"].iloc[0], "_bucket", bucket, split)
+        inside = np.random.default_rng([*base, shelf + 1, bucket + 1])
         values = rows[columns].to_numpy(dtype=float)
         size = len(values)
         step = max(1, WEIGHTS_AT_ONCE // size)

@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 from stopscan.functions.fixed import EVIDENCE_GAP, FEASIBILITY, VERDICTS
 from stopscan.functions.nucleotides import as_dna
 from stopscan.functions.scalars import joined_or_none, lookup, met, named_items
-from stopscan.session import within
 
 AXES = ("potential_variants", "potential_genes", "potential_conditions",
         "open_questions_addressed", "evidence_gap", "feasibility")
-MAX_PROGRAMMES = 2000
 
 
 def _decay_escaping(df: DataFrame) -> Column:
@@ -89,14 +87,13 @@ def frontier(proposed: DataFrame, axes: Sequence[str] = AXES,
              identity: str = "experiment_id") -> DataFrame:
     """Which programmes nothing beats on every axis at once, and what beats the others.
 
-    Programmes are authored, so the table is short; that is checked. Each row then reads the list of
-    all programmes and keeps those that dominate it.
+    Programmes with the same axes share one verdict, so only distinct axes are compared: reach has a
+    value per rule and the other axes have a few grades, whatever the number of programmes. Names
+    are attached to the beaten axes afterwards.
     """
 
-    if not within(proposed, MAX_PROGRAMMES):
-        raise ValueError(f"a frontier is taken over at most {MAX_PROGRAMMES} programmes")
-    listed = proposed.agg(F.array_sort(F.collect_list(
-        F.struct(F.col(identity).alias("id"), *axes)))).scalar()
+    points = proposed.groupBy(*axes).agg(F.collect_list(identity).alias("_ids"))
+    listed = points.agg(F.collect_list(F.struct(*axes))).scalar()
 
     def beats(other: Column) -> Column:
         at_least, more = F.lit(True), F.lit(False)
@@ -105,7 +102,14 @@ def frontier(proposed: DataFrame, axes: Sequence[str] = AXES,
             more = more | (other[axis] > F.col(axis))
         return at_least & more
 
-    held = proposed.withColumn("_all", listed)
-    beaten = F.transform(F.filter("_all", beats), lambda o: o["id"].cast("string"))
-    return held.select(*proposed.columns, (F.size(beaten) == 0).alias("on_frontier"),
-                       joined_or_none(beaten).alias("dominated_by"))
+    beaten = points.withColumn("_all", listed).select(
+        *axes, F.explode(F.filter("_all", beats)).alias("_by"))
+    better = points.select(F.struct(*axes).alias("_by"), "_ids")
+    named = beaten.join(better, "_by").groupBy(*axes).agg(
+        F.transform(F.array_sort(F.flatten(F.collect_list("_ids"))),
+                    lambda v: v.cast("string")).alias("_beaten"))
+    named = named.select(*[F.col(a).alias(f"_{a}") for a in axes], "_beaten")
+    held = proposed.join(named, [F.col(a) == F.col(f"_{a}") for a in axes], "left")
+    found = F.coalesce("_beaten", F.array().cast("array<string>"))
+    return held.select(*proposed.columns, (F.size(found) == 0).alias("on_frontier"),
+                       joined_or_none(found).alias("dominated_by"))

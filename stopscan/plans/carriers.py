@@ -67,6 +67,9 @@ SELECT chrom, 'CDS',
 FROM (SELECT *, greatest(off, l_utr5) AS lo, least(off + len, l_utr5 + l_cds) - 1 AS hi
       FROM exons) AS c WHERE lo <= hi"""
 
+#: Every part is a gene, and a hundred more genes have no sequence.
+_GENES = "((SELECT count(*) FROM {part}) + 100)"
+
 CARRIERS["variants"] = f"""
 SELECT variant_id, gene_id, gene_symbol, review_stars, chrom, pos, ordinal,
        CASE WHEN forward THEN base ELSE translate(base, 'ACGT', 'TGCA') END AS ref,
@@ -84,8 +87,8 @@ FROM (SELECT variant_id, o.gene_id AS gene_id, gene_symbol, review_stars, ordina
              CASE WHEN (off - l_utr5) % 3 = 0 THEN 'T'
                   ELSE substring('AG', cast(1 + ordinal % 2 AS int), 1) END AS made
       FROM (SELECT 'v' || {text('o_orderkey')} AS variant_id, o_orderkey AS ordinal,
-                   (o_orderkey * 13) % 2100 AS gene_id,
-                   'G' || {text('(o_orderkey * 13) % 2100')} AS gene_symbol,
+                   (o_orderkey * 13) % {_GENES} AS gene_id,
+                   'G' || {text(f'(o_orderkey * 13) % {_GENES}')} AS gene_symbol,
                    cast(o_orderkey % 5 AS int) AS review_stars,
                    cast(100 + (o_orderkey * 37) % 230 AS int) AS off
             FROM {{orders}}) AS o LEFT JOIN seqs ON seqs.gene_id = o.gene_id) AS v"""

@@ -798,7 +798,7 @@ _PARTIAL = " ".join(
 SURVEY_SQL = f"""loc AS (SELECT f.sample, cut_5p, CASE WHEN position('{_FIXED}' IN sequence) > 0
       THEN position('{_FIXED}' IN sequence) - 1 {_PARTIAL} END AS rs
   FROM (SELECT f0.*, r.cut_5p, greatest(1, adapter_overlap - 2) AS mo FROM fastq f0
-        JOIN runs r ON r.sample = f0.sample WHERE assay = 'riboseq' AND record < 9000) AS f),
+        JOIN runs r ON r.sample = f0.sample WHERE assay = 'riboseq') AS f),
 foot AS (SELECT sample, rs - cut_5p - 2 AS fp FROM loc),
 ord AS (SELECT sample, fp, row_number() OVER (PARTITION BY sample ORDER BY fp) AS k
   FROM foot WHERE fp IS NOT NULL),
@@ -817,7 +817,7 @@ survey AS (SELECT i.sample, '{ADAPTER}' AS adapter_3p, any_value(reads) AS reads
 
 
 def surveyed(t: Tables) -> DataFrame:
-    return rd.adapter_survey(rd.located_adapters(t("fastq"), t("runs"), limit=9000))
+    return rd.adapter_survey(rd.located_adapters(t("fastq"), t("runs")))
 
 
 @query("adapter_survey", "fastq", "runs", sql=f"""
@@ -1039,17 +1039,17 @@ _CLASS_SQL = """CASE WHEN coalesce(gene_symbol, '') LIKE 'MT-%' THEN 'mitochondr
 
 @query("gene_count_scan", "gene_counts", sql="""
 SELECT gene_id, length, library, sum(count) OVER (PARTITION BY gene_id, library)::BIGINT AS count
-FROM gene_counts WHERE library IN ('lib0', 'lib1')
+FROM gene_counts
 UNION ALL SELECT gene_id, any_value(length), l, 0 FROM gene_counts,
-  (VALUES ('lib0'), ('lib1')) AS x(l) GROUP BY gene_id, l
+  (VALUES ('lib0'), ('lib1'), ('lib2'), ('lib3')) AS x(l) GROUP BY gene_id, l
   HAVING count(*) FILTER (library = l) = 0""")
 def gene_count_scan(t: Tables) -> DataFrame:
     """Counts written as a wide table headed by alignment paths, and read back in long form."""
 
-    wide = t("gene_counts").groupBy("gene_id", "length").pivot("library", ["lib0", "lib1"]).sum(
-        "count")
+    libraries = [f"lib{k}" for k in range(4)]
+    wide = t("gene_counts").groupBy("gene_id", "length").pivot("library", libraries).sum("count")
     named = wide.select(F.col("gene_id").alias("Geneid"), F.col("length").alias("Length"), *[
-        F.coalesce(c, F.lit(0)).alias(f"results/reads/{c}.sorted.bam") for c in ("lib0", "lib1")])
+        F.coalesce(c, F.lit(0)).alias(f"results/reads/{c}.sorted.bam") for c in libraries])
     path = scratch_path(t.spark, "genecounts")
     src.write_tsv(named, path)
     return src.read_gene_counts(t.spark, path)

@@ -432,11 +432,11 @@ def disagreement_atlas(t: Tables) -> DataFrame:
 
 
 _TOOL_SQL = """vin AS (SELECT 'v' || cast(o_orderkey AS varchar) AS variant_id, o_orderkey,
-    o_orderkey % 700 AS gene_id,
+    o_orderkey % ((SELECT count(*) FROM part) + 100) AS gene_id,
     cast(1 + o_custkey % 22 AS varchar) || ':' || lpad(cast(o_custkey AS varchar), 9, '0')
       || '|A|G' AS key FROM orders),
 mane AS (SELECT p_partkey AS gene_id, 'ENST' || cast(p_partkey AS varchar) AS mane_enst
-  FROM part WHERE p_partkey % 700 = p_partkey AND p_partkey % 9 <> 0),
+  FROM part WHERE p_partkey % 9 <> 0),
 rules AS (SELECT vin.key, 'ENST' || cast(gene_id AS varchar) AS transcript,
     min(o_orderkey) AS o FROM vin WHERE gene_id % 5 <> 0 AND o_orderkey % 3 <> 0 GROUP BY 1, 2),
 verdicts AS (SELECT variant_id, r.o IS NOT NULL AS aenmd_available,
@@ -455,9 +455,10 @@ tool AS (SELECT *, aenmd_is_last OR aenmd_is_penultimate OR aenmd_is_css_proxima
 
 def tool_verdicts(t: Tables) -> DataFrame:
     o = F.col("o_orderkey")
+    genes = t.table("part").agg(F.count(F.lit(1)) + 100).scalar()
     named = t.table("orders").select(
         F.concat(F.lit("v"), o.cast("string")).alias("variant_id"), o.alias("ordinal"),
-        (o % 700).alias("gene_id"), (F.col("o_custkey") % 22 + 1).cast("string").alias("chrom"),
+        (o % genes).alias("gene_id"), (F.col("o_custkey") % 22 + 1).cast("string").alias("chrom"),
         F.col("o_custkey").alias("pos"), F.lit("A").alias("ref"), F.lit("G").alias("alt"))
     key = sc.variant_key(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt"))
     raw = named.where((F.col("gene_id") % 5 != 0) & (F.col("ordinal") % 3 != 0)).select(
@@ -467,7 +468,7 @@ def tool_verdicts(t: Tables) -> DataFrame:
         (F.col("ordinal") % 7 == 0).alias("is_penultimate"),
         (F.col("ordinal") % 11 == 0).alias("is_css_proximal"), F.lit(False).alias("is_single"),
         (F.col("ordinal") % 13 == 0).alias("is_407plus"))
-    summary = t.table("part").where("p_partkey < 700").select(
+    summary = t.table("part").select(
         F.concat(F.lit("GeneID:"), F.col("p_partkey").cast("string")).alias("NCBI_GeneID"),
         F.concat(F.lit("ENST"), F.col("p_partkey").cast("string"), F.lit(".2"))
         .alias("Ensembl_nuc"),

@@ -1,5 +1,6 @@
 """Greedy panels against brute force; interval overlap against pairs; analogues under skew."""
 
+import heapq
 from itertools import combinations
 
 import numpy as np
@@ -46,6 +47,27 @@ def test_overlapping_panel_follows_the_greedy_rule_and_its_bound(spark):
     assert empty.count() == 0
 
 
+def test_over_five_thousand_overlapping_designs_are_all_ranked(spark):
+    rng = np.random.default_rng(9)
+    sets = {f"d{i}": set(map(int, rng.choice(9000, rng.integers(1, 6), replace=False)))
+            for i in range(5200)}
+    df = spark.createDataFrame([(d, str(e)) for d, es in sets.items() for e in es],
+                               "design_id string, element string")
+    steps = cov.greedy_panel(df).orderBy("rank").collect()
+    queue, covered, wanted = [(-len(es), d) for d, es in sets.items()], set(), []
+    heapq.heapify(queue)
+    while queue:
+        gain, d = heapq.heappop(queue)
+        now = -len(sets[d] - covered)
+        if now == gain:
+            covered |= sets[d]
+            wanted.append((d, -gain))
+        elif now:
+            heapq.heappush(queue, (now, d))
+    assert [(s.design_id, s.marginal) for s in steps] == wanted
+    assert len(wanted) > 2000 and steps[-1].uncovered == 0
+
+
 ROWS = [
     # Plus strand: A's tail runs into B. C's head overlaps D, which does not count.
     ("chr1", "CDS", 100, 200, "+", "gA", "A"), ("chr1", "UTR", 201, 300, "+", "gA", "A"),
@@ -121,3 +143,16 @@ def test_decay_rule_refuses_a_missing_verdict(spark):
                                                      "stop_type string")
     with pytest.raises(ValueError, match="escapes_decay_by_rule"):
         road.reach_by_rule(df, df.withColumnRenamed("gene_symbol", "medgen"), ["decay_escaping"])
+
+
+def test_a_frontier_over_thousands_of_programmes(spark):
+    rng = np.random.default_rng(4)
+    points = [(f"p{i:04d}", int(a), int(b)) for i, (a, b) in enumerate(
+        rng.integers(0, 12, (3000, 2)))]
+    df = spark.createDataFrame(points, "experiment_id string, x int, y int")
+    found = {r.experiment_id: r for r in road.frontier(df, ("x", "y")).collect()}
+    assert len(found) == 3000
+    for name, x, y in points[::300]:
+        wanted = [n for n, a, b in points if a >= x and b >= y and (a > x or b > y)]
+        assert found[name].dominated_by == ("; ".join(wanted) if wanted else "none")
+        assert found[name].on_frontier == (not wanted)

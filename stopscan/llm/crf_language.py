@@ -198,7 +198,9 @@ def fit(texts: list[str], languages: list[str], seed: int = 0) -> Crf:
     """Maximum likelihood by full-gradient Adam steps; everything fits one machine by its bound."""
 
     labels = sorted(set(languages))
-    words = [LETTERS.findall(t.lower()) for t in texts]
+    # Each different word is held once, and a text as references to its words.
+    once: dict[str, str] = {}
+    words = [[once.setdefault(w, w) for w in LETTERS.findall(t.lower())] for t in texts]
     tags = [labels.index(v) for v in languages]
     kept = [k for k, row in enumerate(words) if row]
     words, tags = [words[k] for k in kept], [tags[k] for k in kept]
@@ -210,6 +212,7 @@ def fit(texts: list[str], languages: list[str], seed: int = 0) -> Crf:
     if width < 2:
         return model
     flat, truth = chains(words, tags, np.random.default_rng(seed))
+    words.clear()
     types = {w: n for n, w in enumerate(dict.fromkeys(flat))}
     ids = np.fromiter((types[w] for w in flat), np.int64, len(flat)).reshape(CHAINS, CHAIN)
     features = [np.array(word_features(w, lexicon), np.int32) for w in types]

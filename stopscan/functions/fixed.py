@@ -214,3 +214,12 @@ SENSITIVITY_PANEL = tuple(
     for fusion, pam in RELAXED_PAMS
 )
 PAM_BASES = {"N": "[ACGT]", "G": "G", "R": "[AG]", "Y": "[CT]"}
+
+# The terms whose library support is counted.
+SUPPORT_KEYS: dict[str, tuple[str, ...]] = {
+    "stop": ("stop_type",),
+    "upstream": ("up_123nt",),
+    "downstream": ("down_123nt",),
+    "interaction_cell": ("stop_type", "down_123nt"),
+    "complete_context": ("stop_type", "up_123nt", "down_123nt"),
+}

@@ -74,12 +74,6 @@ def scaled(value: Column, scale: int) -> Column:
     return F.coalesce(F.bround(value * scale, 0).cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def truth(text: Column) -> Column:
-    """The spellings of true a text table carries."""
-
-    return met(text.isin("True", "true", "1"))
-
-
 def stop_code(stop: Column, order: tuple[str, ...] = ("UAA", "UAG", "UGA")) -> Column:
     """The position of a stop codon in `order`; an unknown one is refused."""
 

@@ -23,7 +23,9 @@ from stopscan.session import cut_lineage
 
 
 def scorable_windows(annotation: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Each coding transcript's codon string over its scorable window, whole codons only."""
+    """(transcript, codons): upper-case codons from FIRST_SCORABLE_CODON to the last one that ends
+    CDS_FROM_STOP_NT or more before the stop; transcripts without a coding part give no row.
+    """
 
     joined = annotation.where("l_cds > 0").join(
         sequences.select(F.col("accession").alias("transcript"), "sequence"), "transcript")
@@ -48,7 +50,7 @@ def library_table(counts: DataFrame, windows: DataFrame, site: str = "a",
     """
 
     if site not in SITE_SHIFT:
-        raise ValueError(f"site must be one of {sorted(SITE_SHIFT)}, not {site!r}")
+        raise ValueError(f"no shift is known for site {site!r}; known: {', '.join(SITE_SHIFT)}")
     if lengths is not None:
         counts = counts.where(F.col("length").isin(*lengths))
     positions = (F.length("codons") / 3).cast("int")
@@ -91,7 +93,7 @@ def library_table(counts: DataFrame, windows: DataFrame, site: str = "a",
 
 
 def aggregate_libraries(tables: DataFrame) -> DataFrame:
-    """The codon table across an arm's libraries, with the spread between them."""
+    """Library tables averaged per codon and site, with the sample deviation over libraries."""
 
     return tables.groupBy("codon", "amino_acid", "site").agg(
         F.avg("occupancy").alias("occupancy"), F.stddev_samp("occupancy").alias("occupancy_sd"),

@@ -108,7 +108,7 @@ def coverage_frontier(contexts: DataFrame, objective: str = "variants") -> DataF
     """The frontier for one objective; the first k rows are the panel of size k."""
 
     if objective not in _ELEMENTS:
-        raise ValueError(f"objective must be one of {sorted(_ELEMENTS)}, not {objective!r}")
+        raise ValueError(f"cannot cover {objective!r}; known elements: {', '.join(_ELEMENTS)}")
     return greedy_panel(covered_sets(contexts, _ELEMENTS[objective]))
 
 

@@ -46,7 +46,7 @@ def decay_predictors(contexts: DataFrame) -> DataFrame:
 
 
 def disagreement_atlas(predictors: DataFrame) -> DataFrame:
-    """How often the predictors split, and which added rule drives each split; one row."""
+    """One row of counts and shares: both rules, their disagreements, and those by added rule."""
 
     split, start, long_exon = (F.col(c) for c in (
         "predictors_disagree", "rule_start_proximal", "rule_long_exon"))

@@ -1,9 +1,11 @@
-"""How large an effect a design could have resolved."""
+"""Counting errors, their intervals, and the sample sizes and depths a target difference needs."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from stopscan.functions.fixed import (
     POWER,
     QUANTITIES,
 )
-from stopscan.functions.scalars import t_quantile
+from stopscan.functions.scalars import t_quantile, t_quantile_value
 from stopscan.operators.effects import UPPER, long_quantities
 from stopscan.operators.resampling import bootstrap_sums
 
@@ -66,7 +68,7 @@ def bootstrap_intervals(counts: DataFrame, draws: int = 2000, seed: int = 0) ->
 
 def _targets(targets: Mapping[str, float]) -> Column:
     if missing := [q for q in QUANTITIES if q not in targets]:
-        raise ValueError(f"no reference effect for {', '.join(missing)}")
+        raise ValueError(f"targets lack {', '.join(missing)}")
     return F.create_map(*[F.lit(x) for q in QUANTITIES for x in (q, float(targets[q]))])
 
 
@@ -121,15 +123,33 @@ def detectability(ratios: DataFrame, counting: DataFrame, arms: DataFrame, treat
 
 
 def _replicates(summary: DataFrame) -> DataFrame:
-    """The fewest libraries per arm that resolve the target; three quantities by 999 designs."""
-
-    tried = summary.select("quantity", "reference_effect", "_variance", F.explode(
-        F.sequence(F.lit(2), F.lit(MAXIMUM_REPLICATES))).alias("n"))
-    free = 2 * F.col("n") - 2
-    effect = (t_quantile(UPPER, free) + t_quantile(POWER, free)) * F.sqrt(
-        F.col("_variance") / F.col("n"))
-    return tried.where(effect <= F.abs("reference_effect")).groupBy("quantity").agg(
-        F.min("n").alias("replicates_required"))
+    """The fewest libraries per arm, from 2 to `MAXIMUM_REPLICATES`, that resolve the target.
+
+    The effect falls as libraries are added, so the range is halved: about ten designs for each of
+    the three quantities.
+    """
+
+    def effect(n: int, variance: float) -> float:
+        free = 2 * n - 2
+        return (t_quantile_value(UPPER, free) + t_quantile_value(POWER, free)) * math.sqrt(
+            variance / n)
+
+    @F.pandas_udf("int")
+    def fewest(variance: pd.Series, target: pd.Series) -> pd.Series:
+        found = []
+        for v, t in zip(variance, target):
+            low, high = 1, MAXIMUM_REPLICATES
+            if not (v >= 0 and effect(high, v) <= t):
+                found.append(None)
+                continue
+            while high - low > 1:
+                middle = (low + high) // 2
+                low, high = (low, middle) if effect(middle, v) <= t else (middle, high)
+            found.append(high)
+        return pd.Series(found, dtype="Int32")
+
+    return summary.select("quantity", fewest("_variance", F.abs("reference_effect")).alias(
+        "replicates_required"))
 
 
 def per_library_table(ratios: DataFrame, arms: DataFrame, counting: DataFrame,

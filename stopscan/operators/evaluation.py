@@ -16,7 +16,7 @@ SPLITTERS: dict[str, tuple[str, ...]] = {
     "grouped_by_gene": ("gene",),
     "grouped_by_sequence_cluster": ("up_123nt", "down_123nt"),
 }
-"""What a split keeps together: a row, a gene, or the pair of triplets either side of the stop."""
+"""The columns of a unit: rows that agree in them fall on the same side of every round."""
 
 
 def split(features: DataFrame, config: str, keys: Sequence[str] = ("therapy_id",),

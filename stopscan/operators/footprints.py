@@ -296,7 +296,7 @@ def collapse_lengths(counts: DataFrame, lengths: DataFrame | Collection[int]) ->
     """Sum a length-stratified table over the lengths kept; refused when none is left."""
 
     if "length" not in counts.columns:
-        raise ValueError("these counts are not stratified by footprint length")
+        raise ValueError("collapse_lengths needs a `length` column to sum over")
     if isinstance(lengths, DataFrame):
         kept = counts.join(lengths.select("length").distinct(), "length", "left_semi")
     else:

@@ -86,7 +86,9 @@ def overlap_counts(queries: DataFrame, intervals: DataFrame, keys: Sequence[str]
 
 
 def overlapping_other_genes(features: DataFrame) -> DataFrame:
-    """Transcripts whose 3' untranslated region runs into another gene's coding sequence."""
+    """(transcript_id) with a downstream region that shares a base and a strand with the coding
+    part of a different gene, counted by `overlap_counts` and not by pairs.
+    """
 
     coding, untranslated = coding_and_untranslated(features)
     # Written once: the regions are looked up and then matched back to their transcripts.

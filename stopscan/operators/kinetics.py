@@ -102,7 +102,7 @@ def shuffled_within_gene(attached: DataFrame, keys: Sequence[str] = ("drug",),
 def head_to_head(features: DataFrame, rounds: DataFrame, scores: DataFrame,
                  kind: str | None = None, models: Mapping[str, Terms] | None = None,
                  keys: Sequence[str] = ("drug",), seed: int = SEED) -> DataFrame:
-    """Every model over every round, with the kinetic columns broken in one named way or not."""
+    """(keys, round, model, r2) of `models`, on `scores` as given or permuted by rule `kind`."""
 
     label = kind or "none"
     if kind == "within_gene":
@@ -129,7 +129,7 @@ def baseline_scores(features: DataFrame, rounds: DataFrame,
 
 def observed_gains(features: DataFrame, rounds: DataFrame, scores: DataFrame,
                    baseline: DataFrame) -> DataFrame:
-    """The measured table's gain per drug and round."""
+    """(drug, round, gain): r2 of K1 on unpermuted scores less `baseline_r2`."""
 
     scored = head_to_head(features, rounds, scores, models={"K1": MODELS["K1"]})
     return scored.join(baseline, ["drug", "round"]).select(

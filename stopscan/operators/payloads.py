@@ -162,10 +162,6 @@ def diverse_sample(landscape: DataFrame, scores: DataFrame, order: str = "ordina
         size).drop("_t")
 
 
-def _gap(count: Column) -> Column:
-    return F.coalesce(count, F.lit(0)).cast("bigint")
-
-
 def safety_summary(labelled: DataFrame, predicted: str, measured: str, identity: str,
                    draws: int = 1000) -> DataFrame:
     """Canonical stops scored and analysed, the four groups with empty ones kept, concordance."""

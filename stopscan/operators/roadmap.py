@@ -17,8 +17,8 @@ AXES = ("potential_variants", "potential_genes", "potential_conditions",
 
 def _decay_escaping(df: DataFrame) -> Column:
     if "escapes_decay_by_rule" not in df.columns:
-        raise ValueError("reach rule 'decay_escaping' needs `escapes_decay_by_rule`, which the "
-                         "landscape carries and the placed contexts do not")
+        raise ValueError("join `escapes_decay_by_rule` to the contexts first "
+                         "(see with_decay_verdict); 'decay_escaping' selects by it")
     return met(F.col("escapes_decay_by_rule"))
 
 

@@ -7,17 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stopscan.functions.fixed import SUPPORT_KEYS
 from stopscan.functions.nucleotides import as_dna
 from stopscan.operators.ranking import quantiles, top_per_group
 
 TERMS = ("stop_type", "up_123nt", "down_123nt")
-SUPPORT_KEYS: dict[str, tuple[str, ...]] = {
-    "stop": ("stop_type",),
-    "upstream": ("up_123nt",),
-    "downstream": ("down_123nt",),
-    "interaction_cell": ("stop_type", "down_123nt"),
-    "complete_context": ("stop_type", "up_123nt", "down_123nt"),
-}
 
 
 def normalised(df: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def pathogenic_nonsense(records: DataFrame) -> DataFrame:
 
 
 def split_alleles(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The scoreable variants, and a one-row count of those an ambiguous allele put out of reach."""
+    """Rows whose alleles name plain bases, and how many rows do not, as a one-row table."""
 
     return (
         found.where("unambiguous").drop("unambiguous"),

@@ -25,7 +25,10 @@ from stopscan.functions.fixed import (
 )
 from stopscan.functions.scalars import half_even, met, ratio
 from stopscan.operators.ranking import quantiles
-from stopscan.session import cut_lineage
+from stopscan.session import cut_lineage, within
+
+
+OFFSET_ROWS = 100_000
 
 
 def primary_footprints(alignments: DataFrame,
@@ -39,12 +42,15 @@ def primary_footprints(alignments: DataFrame,
 def assign_psites(reads: DataFrame, offsets: DataFrame, annotation: DataFrame) -> DataFrame:
     """Each read's P-site: its length's offset applied, distances to both codons, and region.
 
-    `offsets` holds one row per library and length and `annotation` one per transcript, so a
-    library or transcript with a large share of the reads is a skewed equi-join on the read side.
+    `offsets` holds one row per library and length. They are counted, and up to `OFFSET_ROWS` of
+    them travel to the reads, which would otherwise be shuffled on a few dozen keys; more of them
+    are spread enough to shuffle. A transcript with a large share of the reads is a skewed
+    equi-join on the read side.
     """
 
+    known = offsets.select("sample", "length", "corrected_offset_from_5")
     joined = reads.join(
-        offsets.select("sample", "length", "corrected_offset_from_5"), ["sample", "length"]
+        F.broadcast(known) if within(known, OFFSET_ROWS) else known, ["sample", "length"]
     ).join(annotation.select("transcript", "l_utr5", "l_cds", "l_utr3"), "transcript")
     psite = F.col("end5") + F.col("corrected_offset_from_5")
     from_start = F.col("psite") - F.col("l_utr5") - 1

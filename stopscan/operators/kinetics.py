@@ -20,12 +20,13 @@ FAMILIES = ("global", "within_gene", "context_matched")
 
 
 def codon_scores(table: DataFrame, site: str = "a") -> DataFrame:
-    """One occupancy per sense codon at a site; at most 61 rows."""
+    """One occupancy per sense codon at a site; at most 61 rows. A codon given twice is an error."""
 
     rows = table.where(F.col("site") == site) if "site" in table.columns else table
     return rows.select(as_dna(F.col("codon")).alias("codon"), "occupancy").where(
         F.col("codon").isin(*SENSE_CODONS)).groupBy("codon").agg(
-        F.max("occupancy").alias("occupancy"))
+        F.when(F.count(F.lit(1)) == 1, F.max("occupancy")).otherwise(F.raise_error(F.concat(
+            F.lit("codon scored more than once: "), "codon"))).alias("occupancy"))
 
 
 def repeated_codons(table: DataFrame, site: str = "a") -> DataFrame:
@@ -35,22 +36,30 @@ def repeated_codons(table: DataFrame, site: str = "a") -> DataFrame:
         F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
-def attach(features: DataFrame, scores: DataFrame, on: Sequence[str] = ()) -> DataFrame:
-    """Add the up and down codon scores; the score table holds at most 61 rows per `on`."""
+def attach(features: DataFrame, scores: DataFrame, on: Sequence[str] = (),
+           strict: bool = True) -> DataFrame:
+    """Add the up and down codon scores; the score table holds at most 61 rows per `on`.
+
+    A triplet without a score is an error where the column is read; unless `strict`, it is null.
+    """
 
     out = features
     for column, triplet in (("k_up", "up_123nt"), ("k_down", "down_123nt")):
         side = scores.select(*on, F.col("codon").alias("_codon"),
                              F.col("occupancy").alias(column))
         out = out.withColumn("_codon", as_dna(F.col(triplet))).join(
-            F.broadcast(side) if not on else side, [*on, "_codon"], "left").drop("_codon")
+            F.broadcast(side) if not on else side, [*on, "_codon"], "left")
+        if strict:
+            out = out.withColumn(column, F.coalesce(column, F.raise_error(F.concat(
+                F.lit("no kinetic score for codon "), F.coalesce("_codon", F.lit("null"))))))
+        out = out.drop("_codon")
     return out
 
 
 def unscored_triplets(features: DataFrame, scores: DataFrame) -> DataFrame:
     """Triplets the codon table cannot score, by the column they sit in; must be empty."""
 
-    attached = attach(features, scores)
+    attached = attach(features, scores, strict=False)
     missing = F.array_compact(F.array(*[
         F.when(F.col(k).isNull(), F.struct(F.lit(t).alias("column_name"),
                                            as_dna(F.col(t)).alias("codon")))

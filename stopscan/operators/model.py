@@ -17,7 +17,7 @@ from stopscan.functions.binomial import (
     squared_correlation,
 )
 from stopscan.functions.fixed import SUPPORT_STRATA
-from stopscan.functions.scalars import half_even
+from stopscan.functions.scalars import half_even, met
 from stopscan.operators.ranking import quantiles
 from stopscan.operators.wide_fits import evaluate_wide
 from stopscan.session import cut_lineage
@@ -275,20 +275,33 @@ def reliability(samples: DataFrame) -> DataFrame:
     """Replicate correlation per treatment and the ceiling it sets (Spearman-Brown).
 
     One row per treatment and identifier is formed first; rows lacking a replicate or the merged
-    response are left out.
+    response are left out. A replicate given twice, a merged response that differs between the
+    replicates, and merged responses that are no rescaled mean of the replicates are errors.
     """
 
-    def rep(k: int) -> Column:
-        return F.max(F.when(F.col("replicate") == k, F.col("fitness_rep")))
+    def check(broken: Column, what: str) -> Column:
+        return F.when(broken, F.raise_error(F.concat_ws(
+            " ", F.lit(what), "treatment", F.col("identifier").cast("string"))))
 
-    merged = F.max(F.when(F.col("replicate") == 1, F.col("RT_binomial")))
+    def rep(k: int) -> Column:
+        here = F.col("replicate") == k
+        return F.coalesce(check(F.count_if(here) > 1, f"replicate {k} repeated in"),
+                          F.max(F.when(here, F.col("fitness_rep"))))
+
+    both = F.when(F.col("replicate").isin(1, 2), F.col("RT_binomial"))
+    apart = F.max(both) - F.min(both) > 1.5e-8 * F.abs(F.max(both))
+    merged = F.coalesce(check(apart, "merged responses differ in"),
+                        F.max(F.when(F.col("replicate") == 1, F.col("RT_binomial"))))
     wide = samples.groupBy("treatment", "identifier").agg(
         rep(1).alias("rep1"), rep(2).alias("rep2"), merged.alias("merged")
     ).where("rep1 is not null and rep2 is not null and merged is not null")
     single = F.corr("rep1", "rep2")
+    agreement = wide.agg(F.corr((F.col("rep1") + F.col("rep2")) / 2, "merged")).scalar()
+    mean = F.when(~met(F.abs(agreement) > 1 - 1e-6), F.raise_error(F.lit(
+        "merged responses are not the mean of their replicates")))
     return wide.groupBy("treatment").agg(
         F.count(F.lit(1)).alias("variants"), single.alias("r")
-    ).select("treatment", "variants", "r", (F.col("r") * F.col("r")).alias("single_replicate"),
+    ).withColumn("r", F.coalesce(mean, "r")).select("treatment", "variants", "r", (F.col("r") * F.col("r")).alias("single_replicate"),
              (2 * F.col("r") / (1 + F.col("r"))).alias("ceiling"))
 
 

@@ -166,19 +166,17 @@ def concordance(df: DataFrame, x: str, y: str, identity: str, draws: int = 2000,
                 seed: int = 20240724) -> DataFrame:
     """Spearman's rho with a paired percentile bootstrap; nulls under twenty pairs; one row.
 
-    A table of up to `COMPACT_ROWS` pairs (one per gene) travels to the tasks, which share the
-    draws. A larger one is resampled by joins: each draw's slots name row numbers, and the weighted
-    ranks of all draws are built together.
+    Rows are numbered by a hash of their identity and every draw picks numbers from one seeded
+    stream, so the interval is the same whichever way the picked rows are fetched: a table of up to
+    `COMPACT_ROWS` pairs (one per gene) travels to the tasks, a larger one is joined.
     """
 
     paired = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         identity, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     point = spearman(paired, [], "x", "y")
-    if within(paired, COMPACT_ROWS):
-        resampled = _compact_draws(paired, identity, draws, seed)
-    else:
-        resampled = joined_draws(paired, identity, draws, seed)
-    spread = resampled.where(F.col("rho").isNotNull() & ~F.isnan("rho")).agg(
+    fetch = compact_draws if within(paired, COMPACT_ROWS) else joined_draws
+    spread = fetch(paired, identity, draws, seed).where(
+        F.col("rho").isNotNull() & ~F.isnan("rho")).agg(
         F.percentile("rho", 0.025).alias("low"), F.percentile("rho", 0.975).alias("high"))
     enough = F.col("n") >= 20
     return point.select(
@@ -192,9 +190,22 @@ def _average_rank(values: np.ndarray) -> np.ndarray:
     return (np.cumsum(counts) - (counts - 1) / 2.0)[inverse]
 
 
-def _compact_draws(paired: DataFrame, identity: str, draws: int, seed: int) -> DataFrame:
+def _picked(seed: int, draw: int, part: int, rows: int) -> np.ndarray:
+    """The 0-based numbers of the rows that fill one part of a draw, `COMPACT_ROWS` slots long."""
+
+    slots = min(COMPACT_ROWS, rows - part * COMPACT_ROWS)
+    return np.random.default_rng([seed, draw, part]).integers(0, rows, slots)
+
+
+def _numbered(paired: DataFrame, identity: str, seed: int) -> DataFrame:
+    return hashed_rank(paired, [], [identity], f"rows{seed}", "row").select("row", "x", "y")
+
+
+def compact_draws(paired: DataFrame, identity: str, draws: int, seed: int) -> DataFrame:
+    """`(draw, rho)` with the pairs in every task; for at most `COMPACT_ROWS` of them."""
+
     spark = paired.sparkSession
-    rows = paired.orderBy(identity).toPandas()
+    rows = _numbered(paired, identity, seed).toPandas().sort_values("row")
     pairs = spark.sparkContext.broadcast((rows["x"].to_numpy(), rows["y"].to_numpy()))
 
     def resample(batches):
@@ -202,28 +213,41 @@ def _compact_draws(paired: DataFrame, identity: str, draws: int, seed: int) -> D
         for batch in batches:
             found = []
             for draw in batch["id"]:
-                take = np.random.default_rng([seed, int(draw)]).integers(0, len(xs), len(xs))
+                take = _picked(seed, int(draw), 0, len(xs))
                 a, b = _average_rank(xs[take]), _average_rank(ys[take])
                 a, b = a - a.mean(), b - b.mean()
                 scale = np.sqrt((a @ a) * (b @ b))
                 found.append((a @ b) / scale if scale > 0 else np.nan)
             yield pd.DataFrame({"draw": batch["id"], "rho": found})
 
-    return spark.range(draws).mapInPandas(resample, "draw long, rho double")
+    return spark.range(draws if len(rows) else 0).mapInPandas(resample, "draw long, rho double")
 
 
 def joined_draws(paired: DataFrame, identity: str, draws: int, seed: int) -> DataFrame:
-    """The bootstrap with nothing collected: `(draw, rho)` from weighted ranks of every draw."""
+    """`(draw, rho)` with nothing collected but the number of rows.
+
+    Each part of a draw is one row of a range, so tasks stay bounded. A row picked several times
+    stays one row with a weight, through the ranks and the sums of the correlation.
+    """
 
     spark = paired.sparkSession
-    numbered = hashed_rank(paired, [], [identity], f"rows{seed}", "row")
-    total = paired.agg(F.count(F.lit(1))).scalar()
-    slots = spark.range(draws).withColumnRenamed("id", "draw").select(
-        "draw", F.explode(F.sequence(F.lit(1).cast("long"), total)).alias("slot"))
-    chosen = slots.select("draw", (F.pmod(F.xxhash64(F.lit(seed), "draw", "slot"), total) + 1)
-                          .alias("row")).groupBy("draw", "row").agg(
-        F.count(F.lit(1)).alias("w"))
-    drawn = chosen.join(numbered.select("row", "x", "y"), "row")
-    expanded = drawn.select("draw", "x", "y", F.explode(
-        F.sequence(F.lit(1).cast("long"), F.col("w"))).alias("copy")).drop("copy")
-    return spearman(expanded, ["draw"], "x", "y").select("draw", "rho")
+    numbered = _numbered(paired, identity, seed)
+    total = numbered.count()
+    parts = -(-total // COMPACT_ROWS)
+
+    def pick(batches):
+        for batch in batches:
+            for at in batch["id"]:
+                draw, part = divmod(int(at), parts)
+                row, w = np.unique(_picked(seed, draw, part, total), return_counts=True)
+                yield pd.DataFrame({"draw": draw, "row": row + 1, "w": w})
+
+    chosen = spark.range(draws * parts).mapInPandas(pick, "draw long, row long, w long").groupBy(
+        "draw", "row").agg(F.sum("w").alias("w"))
+    drawn = chosen.join(numbered, "row").select("draw", "x", "y", "w")
+    ranked = average_ranks(average_ranks(drawn, ["draw"], "x", "_rx", weight="w"),
+                           ["draw"], "y", "_ry", weight="w")
+    a, b = F.col("_rx") - (total + 1) / 2, F.col("_ry") - (total + 1) / 2
+    sums = ranked.groupBy("draw").agg(F.sum(F.col("w") * a * b).alias("_ab"), F.sqrt(
+        F.sum(F.col("w") * a * a) * F.sum(F.col("w") * b * b)).alias("_scale"))
+    return sums.select("draw", F.try_divide("_ab", "_scale").alias("rho"))

@@ -115,26 +115,28 @@ def value_blocks(values: DataFrame, keys: Sequence[str], value: str,
 
 
 def counted_values(df: DataFrame, keys: Sequence[str], value: str,
-                   blocks: int = BLOCKS) -> DataFrame:
+                   blocks: int = BLOCKS, weight: str | None = None) -> DataFrame:
     """Distinct values of each group, how often each occurs, and its ordered block.
 
+    A row stands for `weight` equal rows where that column is named.
+
     The distinct values are written once, because several passes read them. Few of them form one
     block; more are cut at sketched quantiles.
     """
 
     counted = cut_lineage(
         df.where(F.col(value).isNotNull()).groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("n")))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n")))
     if counted.count() <= ONE_BLOCK:
         return counted.withColumn("_block", F.lit(0))
     return value_blocks(counted, keys, value, blocks)
 
 
 def value_positions(df: DataFrame, keys: Sequence[str], value: str,
-                    blocks: int = BLOCKS) -> DataFrame:
+                    blocks: int = BLOCKS, weight: str | None = None) -> DataFrame:
     """Distinct values of each group with `n` rows each and `before` rows below them."""
 
-    placed = counted_values(df, keys, value, blocks)
+    placed = counted_values(df, keys, value, blocks, weight)
     return running_total(placed, keys, "_block", [value], "n").drop("_block")
 
 
@@ -181,10 +183,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dic
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, into: str,
-                  blocks: int = BLOCKS) -> DataFrame:
+                  blocks: int = BLOCKS, weight: str | None = None) -> DataFrame:
     """Rows with the 1-based rank of `value` in their group, ties sharing their average rank."""
 
-    positions = value_positions(df, keys, value, blocks)
+    positions = value_positions(df, keys, value, blocks, weight)
     ranked = positions.select(
         *keys, value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(into))
     return _join_on_keys(df, ranked, [*keys, value])

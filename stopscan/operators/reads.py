@@ -133,7 +133,8 @@ def course_qc(runs: DataFrame, stats: DataFrame, trimming: DataFrame, dataset: s
     """One row per transcriptome library: trimming beside prefix means of the QC statistics.
 
     `stats` rows are named `<library>_<part>`; the part after the last underscore is dropped once
-    and the means are joined, so no run is compared with every row.
+    and the means are joined, so no run is compared with every row. A library without trimming or
+    without statistics of either read set is an error.
     """
 
     wanted = runs.where((F.col("dataset") == dataset) & (F.col("assay") == "rnaseq"))
@@ -150,11 +151,16 @@ def course_qc(runs: DataFrame, stats: DataFrame, trimming: DataFrame, dataset: s
         return means.select(F.col("prefix").alias(key), F.col("gc").alias(f"gc_{tag}_percent"),
                             F.col("duplicates").alias(f"duplicates_{tag}_percent"))
 
-    joined = (wanted.select("sample", "run_accession").join(trimming, "sample")
-              .join(side("run_accession", "raw"), "run_accession")
-              .join(side("sample", "cleaned"), "sample"))
+    joined = (wanted.select("sample", "run_accession").join(
+        trimming.withColumn("_trimmed", F.lit(True)), "sample", "left")
+              .join(side("run_accession", "raw").withColumn("_raw", F.lit(True)),
+                    "run_accession", "left")
+              .join(side("sample", "cleaned").withColumn("_cleaned", F.lit(True)),
+                    "sample", "left"))
+    lacking = F.col("_trimmed").isNull() | F.col("_raw").isNull() | F.col("_cleaned").isNull()
     return joined.select(
-        "sample", "run_accession", "reads_raw", "reads_cleaned",
+        F.when(lacking, F.raise_error(F.concat(F.lit("no trimming or statistics for "), "sample")))
+        .otherwise(F.col("sample")).alias("sample"), "run_accession", "reads_raw", "reads_cleaned",
         half_even(100 * F.col("reads_retained"), 3).alias("reads_retained_percent"),
         half_even(100 * F.col("adapter_rate"), 3).alias("adapter_percent"),
         *[half_even(F.col(c), 3).alias(c) for c in (

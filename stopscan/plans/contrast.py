@@ -10,14 +10,13 @@ from stopscan.operators import effects as eff
 from stopscan.operators import footprints as fp
 from stopscan.operators.intervals import overlapping_other_genes
 from stopscan.operators.native_stops import excluded_transcripts
-from stopscan.session import cut_lineage
+from stopscan.session import cut_lineage, refuse
 
 
 @dataclass(frozen=True)
 class Contrast:
-    """One contrast's tables; `refused` is empty where the contrast may be read."""
+    """One contrast's tables; a contrast that may not be read never gets this far."""
 
-    refused: DataFrame
     libraries: DataFrame
     effects: DataFrame
     signature: DataFrame
@@ -31,15 +30,18 @@ def readthrough_contrast(counts: DataFrame, frames: DataFrame, offsets: DataFram
     """Test a length-stratified count table for the readthrough signature.
 
     The lengths come from the calibration, or from a published window that still passes the gate.
-    Qualifying rows are written once and read by every later step.
+    Qualifying rows are written once and read by every later step. A library that fails its
+    calibration, a calibration of another dataset, and a named library without counts each end the
+    run with an error before any effect is formed.
     """
 
     floor = {} if minimum_psites is None else {"minimum_psites": minimum_psites}
     verdicts = fp.library_verdicts(frames, offsets, **floor)
     wanted = arms.where(arms.treatment.isin(treated, control))
     absent = eff.libraries_without_counts(wanted, counts)
-    refused = fp.manifest_gate(verdicts, dataset, calibrated).unionByName(
-        absent.selectExpr("sample", "'without counts' AS failures"))
+    refuse(fp.manifest_gate(verdicts, dataset, calibrated).unionByName(
+        absent.selectExpr("sample", "'without counts' AS failures")),
+        f"{dataset} may not be contrasted")
     lengths = (fp.shared_lengths(frames) if published is None
                else range(published[0], published[1] + 1))
     excluded = excluded_transcripts(overlapping_other_genes(features), genes)
@@ -48,4 +50,4 @@ def readthrough_contrast(counts: DataFrame, frames: DataFrame, offsets: DataFram
     ratios = cut_lineage(fp.library_ratios(kept))
     compare = eff.paired_effects if paired else eff.unpaired_effects
     effects = compare(ratios, wanted, treated, control)
-    return Contrast(refused, ratios.join(wanted, "sample"), effects, eff.signature(effects))
+    return Contrast(ratios.join(wanted, "sample"), effects, eff.signature(effects))

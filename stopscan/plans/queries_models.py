@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopscan.functions.binomial import MODELS
+from stopscan.functions.fixed import SENSE_CODONS
+from stopscan.functions.nucleotides import as_dna
 from stopscan.operators import contracts as ct
 from stopscan.operators import decay as dec
 from stopscan.operators import evaluation as ev
@@ -211,9 +213,10 @@ def reliability(t: Tables) -> DataFrame:
         F.concat(F.lit("tr"), (F.col("l_suppkey") % 3).cast("string")).alias("treatment"),
         F.col("l_orderkey").alias("identifier"),
         (F.col("l_linenumber") % 2 + 1).alias("replicate")).agg(
-        F.max(F.col("l_quantity") + F.col("l_orderkey") % 40).alias("fitness_rep")
-    ).withColumn("RT_binomial", F.col("fitness_rep"))
-    return rounded(mod.reliability(samples))
+        F.max(F.col("l_quantity") + F.col("l_orderkey") % 40).alias("fitness_rep"))
+    merged = samples.groupBy("treatment", "identifier").agg(
+        (F.avg("fitness_rep") / 100).alias("RT_binomial"))
+    return rounded(mod.reliability(samples.join(merged, ["treatment", "identifier"])))
 
 
 @query("model_parity", "library", sql=f"""
@@ -268,11 +271,14 @@ _SCORES_SQL = "sc AS (SELECT codon, occupancy FROM codon_table WHERE site = 'a')
 
 @query("attach_kinetics", "library", "codon_table", sql=f"""
 WITH {_SCORES_SQL} SELECT row, round(a.occupancy, 6) AS k_up, round(b.occupancy, 6) AS k_down
-FROM library l LEFT JOIN sc a ON a.codon = {DNA_SQL.format('up_123nt')}
-LEFT JOIN sc b ON b.codon = {DNA_SQL.format('down_123nt')}""")
+FROM library l JOIN sc a ON a.codon = {DNA_SQL.format('up_123nt')}
+JOIN sc b ON b.codon = {DNA_SQL.format('down_123nt')}""")
 def attach_kinetics(t: Tables) -> DataFrame:
     scores = kin.codon_scores(t("codon_table"))
-    return rounded(kin.attach(t("library"), scores).select("row", "k_up", "k_down"))
+    # A stop codon has no score, and attaching one is an error.
+    sense = t("library").where(as_dna(F.col("up_123nt")).isin(*SENSE_CODONS)
+                               & as_dna(F.col("down_123nt")).isin(*SENSE_CODONS))
+    return rounded(kin.attach(sense, scores).select("row", "k_up", "k_down"))
 
 
 @query("unscored_triplets", "library", "codon_table", sql=f"""

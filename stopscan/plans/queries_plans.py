@@ -38,7 +38,7 @@ def contrast_run(t: Tables) -> DataFrame:
 
     run = readthrough_contrast(
         t("counts"), t("frames"), t("offsets"), t("arms"), t("gtf"), t("genes"), "treated",
-        "control", "d1", "d1")
+        "control", "d1", "d1", minimum_psites=10_000)
     return rounded(run.libraries.select(
         "sample", "treatment", "replicate", "transcripts", "downstream_occupancy",
         "termination_occupancy", "frame_gap"))
@@ -71,13 +71,24 @@ def whole_research_payload(t: Tables) -> DataFrame:
 WITH {PLACED_SQL}, {_guides_sql(False)}, ok AS (SELECT * FROM reasoned WHERE ref IN
   ('A', 'C', 'G', 'T') AND alt IN ('A', 'C', 'G', 'T'))
 SELECT (SELECT count(*) FROM ok) AS variants,
-  (SELECT count(*) FROM ok WHERE reason = '') AS scoreable, 0 AS disagreements,
+  (SELECT count(*) FROM ok WHERE reason = '') AS scoreable,
   (SELECT count(*) * 3 FROM ok WHERE reason = '') AS scored,
   (SELECT count(*) FROM ok WHERE reason = '') AS landscape_rows,
   (SELECT count(*) FROM reach WHERE reachable) AS reachable""")
 def amenability_run(t: Tables) -> DataFrame:
     """The predicted arm from archive records to editability, counted at each step."""
 
+    run = amenability(**amenability_inputs(t))
+    counts = {"variants": run.variants, "scoreable": run.contexts.where("scoreable"),
+              "scored": run.scores,
+              "landscape_rows": run.landscape, "reachable": run.reachability.where("reachable")}
+    return t.spark.range(1).select(*[
+        df.agg(F.count(F.lit(1))).scalar().alias(n) for n, df in counts.items()])
+
+
+def amenability_inputs(t: Tables) -> dict[str, DataFrame]:
+    """Archive records, annotation, sequences and proteins that agree with each other."""
+
     given = {"CLNVC": "single_nucleotide_variant", "MC": "SO:0001587|nonsense",
              "CLNSIG": "Pathogenic", "CLNREVSTAT": "practice_guideline", "CLNDN": "a",
              "CLNDISDB": "MedGen:C1"}
@@ -90,9 +101,5 @@ def amenability_run(t: Tables) -> DataFrame:
     coding = F.substring("sequence", F.col("l_utr5") + 1, F.col("l_cds"))
     proteins = t("seqs").select(F.concat(F.lit("np"), "accession").alias("accession"),
                                 translate_sequence(coding).alias("sequence"))
-    run = amenability(records, t("features"), sequences, proteins, t("library"))
-    counts = {"variants": run.variants, "scoreable": run.contexts.where("scoreable"),
-              "disagreements": run.disagreements, "scored": run.scores,
-              "landscape_rows": run.landscape, "reachable": run.reachability.where("reachable")}
-    return t.spark.range(1).select(*[
-        df.agg(F.count(F.lit(1))).scalar().alias(n) for n, df in counts.items()])
+    return {"records": records, "features": t("features"), "sequences": sequences,
+            "proteins": proteins, "library": t("library")}

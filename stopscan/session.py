@@ -78,6 +78,15 @@ def cut_lineage(df: DataFrame, *columns: str, name: str = "cut") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def refuse(findings: DataFrame, reason: str, shown: int = 20) -> None:
+    """Raise an error if `findings` has any row; its message names the first `shown` of them."""
+
+    found = findings.limit(shown).collect()
+    if found:
+        named = "; ".join(", ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in found)
+        raise ValueError(f"{reason}: {named}")
+
+
 def within(df: DataFrame, rows: int) -> bool:
     """Whether `df` holds at most `rows` rows, reading no more than it must to know."""
 

@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopscan.llm.common import attach_groups, components, if_small, keep_rows_by_id, settle
+from stopscan.llm.shingle_similarity import similar_groups
 
 WORDS = 4
 DISTANCE = 4
@@ -291,9 +292,13 @@ def as_hex(bits: Column) -> Column:
 
 
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One document of each group of near copies: the one with the smallest id.
 
-    found, _ = settle(near_duplicates(docs), "near-copies")
+    Copies here are texts that share 80% of their five-word shingles. That is further apart than
+    fingerprints can tell, so the groups come from `shingle_similarity`.
+    """
+
+    found, _ = settle(similar_groups(docs), "near-copies")
     dropped, _ = settle(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"),
                         "near-copies-dropped")
     return keep_rows_by_id(docs, dropped)

@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import xxhash
 
-from stopscan.llm import cuckoo_dedup, decontamination, simhash
+from stopscan.llm import cuckoo_dedup, decontamination, shingle_similarity, simhash
 from stopscan.llm.common import attach_groups, components
 
 
@@ -162,6 +162,45 @@ def test_near_duplicates_of_odd_rows(spark, odd, empty):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 4, 7, 8]
 
 
+def test_the_stage_links_texts_from_four_fifths_similarity(spark, monkeypatch):
+    """Components are those of all pairs at 0.8; with small blocks, too."""
+
+    def sets(text):
+        words = text.split()
+        return {tuple(words[k:k + 5]) for k in range(len(words) - 4)}
+
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(40):
+        words = [f"w{n}" for n in rng.integers(0, 3000, 200)]
+        texts.append(" ".join(words))
+        for changes in (1, 2, 3, 4, 5, 6):
+            copy = list(words)
+            for at in rng.choice(200, changes, replace=False):
+                copy[at] = "changed"
+            texts.append(" ".join(copy))
+    found = [sets(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in combinations(range(len(texts)), 2):
+        if 10 * len(found[a] & found[b]) >= 8 * len(found[a] | found[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    want = {k for k in range(len(texts)) if find(k) == k}
+    assert 40 <= len(want) < len(texts) / 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id for r in simhash.stage(spark, docs, "").collect()} == want
+    monkeypatch.setattr(shingle_similarity, "CROWD", 4)
+    groups = shingle_similarity.similar_groups(docs).collect()
+    assert {r.doc_id: r.component_id for r in groups} == {
+        k: find(k) for k in range(len(texts))}
+
+
 def test_long_chains_and_stars_become_components(spark):
     edges = [(n, n + 1) for n in range(200)] + [(1000, 1000 + k) for k in range(1, 300)]
     found = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()

@@ -92,14 +92,16 @@ def one_cycle(shared: DataFrame, cycle: int) -> DataFrame:
 
 
 def interleave(docs: DataFrame, weights: dict[str, float] | None = None,
-               block_rows: int = BLOCK_ROWS, cycle: int = CYCLE) -> DataFrame:
+               block_rows: int = BLOCK_ROWS, cycle: int = CYCLE,
+               carried: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, block, release, deadline, slot, position): where each document stands.
 
-    `position` orders the mix: the slot, then the place in its block.
+    `position` orders the mix: the slot, then the place in its block. The columns `carried` follow.
     """
 
+    carry = F.struct(*[F.col(c) for c in carried]) if carried else F.lit(None)
     rows = docs.select("doc_id", "source", source_key().alias("key"),
-                       F.md5(id_text()).alias("digest"))
+                       F.md5(id_text()).alias("digest"), carry.alias("carried"))
     counts, _ = settle(rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "sources")
     found = counts.agg(F.count(F.lit(1)), F.sum("rows")).first()
     sources, total = found[0], found[1] or 0
@@ -130,7 +132,8 @@ def interleave(docs: DataFrame, weights: dict[str, float] | None = None,
         F.floor(F.col("block") * length / F.col("share")).alias("release"),
         F.ceil((F.col("block") + 1) * length / F.col("share")).alias("deadline"),
         slot.alias("slot"),
-        (slot * block_rows + F.col("rank") % block_rows).alias("position"))
+        (slot * block_rows + F.col("rank") % block_rows).alias("position"),
+        *[F.col("carried")[c].alias(c) for c in carried])
 
 
 #: The same in SQL: the cycle by a recursive query over its slots.

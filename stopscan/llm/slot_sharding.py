@@ -10,7 +10,8 @@ The query's law is `bytes`: shards end near the mean size, and never further abo
 smallest slot moved. Everything that is broadcast or folded in one row has `SLOTS` rows.
 
 A record's place in its shard comes from two levels: counts per slot and stretch give the offset,
-a sort inside a stretch gives the rest, so no shard is ever numbered in one task.
+a sort inside a stretch gives the rest, so no shard is ever numbered in one task. The pipeline's
+stage orders places by the mix of sources instead of by hash, with stretches of positions.
 
 Defined results: a null text has no bytes and checksum 0, and its size is 1. A null id hashes as
 empty text. Records equal in id and text share a slot, and take a place each. An empty table gives
@@ -24,6 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stopscan.llm.common import id_text, settle
+from stopscan.llm.pfair_mix import interleave
 
 SLOTS = 4096
 SHARDS = 16
@@ -32,13 +34,13 @@ SLACK = 2
 STRETCH_ROWS = 50_000
 
 
-def records(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, hash, virtual_slot) of every document."""
+def records(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, size, text_crc32, hash, virtual_slot) of every document, and the columns `more`."""
 
     text = F.coalesce(F.col("text"), F.lit(""))
     hashed = docs.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"),
                          F.crc32(text).alias("text_crc32"),
-                         F.xxhash64(id_text(), text).alias("hash"))
+                         F.xxhash64(id_text(), text).alias("hash"), *more)
     return hashed.withColumn("virtual_slot", F.pmod("hash", F.lit(SLOTS)).cast("int"))
 
 
@@ -92,29 +94,40 @@ def grown(current: DataFrame, shards: int) -> DataFrame:
         F.when(place % (shards + 1) == 0, shards).otherwise(F.col("shard")).alias("shard"))
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, slot_map: DataFrame | None = None) -> DataFrame:
-    """Every document with its shard and its place there, by the map given or a rebalanced one."""
+def sharded(docs: DataFrame, shards: int = SHARDS, slot_map: DataFrame | None = None,
+            mixed: bool = False) -> DataFrame:
+    """Every document with its shard and its place there, by the map given or a rebalanced one.
+
+    Places follow the hash, or, if `mixed`, the documents' positions in the mix of their sources.
+    """
 
     spark = docs.sparkSession
-    kept, _ = settle(records(docs), "records")
+    listed = interleave(records(docs, "source"), carried=(
+        "size", "text_crc32", "hash", "virtual_slot")).drop("slot") if mixed else records(docs)
+    kept, _ = settle(listed, "records")
     loads, _ = settle(kept.groupBy("virtual_slot").agg(
         F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "slot-bytes")
     if slot_map is None:
         first, _ = settle(first_map(spark, shards), "slot-map-1")
         slot_map, _ = settle(rebalanced(first, loads.select("virtual_slot", "bytes"), shards),
                              "slot-map-2")
-    most = loads.agg(F.max("n")).first()[0] or 1
-    stretches = max(1, -(-most // STRETCH_ROWS))
-    placed = kept.join(F.broadcast(slot_map), "virtual_slot").withColumn(
-        "stretch", F.pmod(F.shiftright("hash", 12), F.lit(stretches)))
-    before = placed.groupBy("shard", "virtual_slot", "stretch").agg(
+    placed = kept.join(F.broadcast(slot_map), "virtual_slot")
+    if mixed:
+        # Positions are unique, so a stretch holds at most STRETCH_ROWS documents.
+        lane, order = ["shard"], ["position"]
+        placed = placed.withColumn("stretch", F.floor(F.col("position") / STRETCH_ROWS))
+    else:
+        most = loads.agg(F.max("n")).first()[0] or 1
+        stretches = max(1, -(-most // STRETCH_ROWS))
+        lane, order = ["shard", "virtual_slot"], ["hash", "doc_id", "text_crc32"]
+        placed = placed.withColumn("stretch", F.pmod(F.shiftright("hash", 12), F.lit(stretches)))
+    before = placed.groupBy(*lane, "stretch").agg(
         F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(
-            W.partitionBy("shard").orderBy("virtual_slot", "stretch").rowsBetween(
+            W.partitionBy("shard").orderBy(*lane[1:], "stretch").rowsBetween(
                 W.unboundedPreceding, -1))).select(
-        "virtual_slot", "stretch", F.coalesce("before", F.lit(0)).alias("before"))
-    own = F.row_number().over(W.partitionBy("virtual_slot", "stretch").orderBy(
-        "hash", "doc_id", "text_crc32")) - 1
-    return placed.withColumn("own", own).join(before, ["virtual_slot", "stretch"]).select(
+        *lane, "stretch", F.coalesce("before", F.lit(0)).alias("before"))
+    own = F.row_number().over(W.partitionBy(*lane, "stretch").orderBy(*order)) - 1
+    return placed.withColumn("own", own).join(before, [*lane, "stretch"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("before") + F.col("own")).cast("bigint").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
@@ -122,6 +135,6 @@ def sharded(docs: DataFrame, shards: int = SHARDS, slot_map: DataFrame | None =
 
 
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
-    """The last stage: every document's shard and place."""
+    """The last stage: every document's shard, and its place there in the order of the mix."""
 
-    return sharded(docs)
+    return sharded(docs, mixed=True)

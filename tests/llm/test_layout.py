@@ -57,6 +57,27 @@ def test_shards(spark, documents, odd, empty):
     assert slot_sharding.sharded(empty).count() == 0
 
 
+def test_leading_stretches_of_a_staged_shard_follow_the_mix(spark, odd, empty, monkeypatch):
+    """Sources of 16,000 and 4,000 rows mix as 2 to 1 until the smaller share has run out."""
+
+    monkeypatch.setattr(slot_sharding, "STRETCH_ROWS", 3000)
+    docs = spark.range(20000).selectExpr(
+        "id AS doc_id", "CONCAT('text ', id) AS text", "IF(id % 5 = 0, 'small', 'large') AS source")
+    place = {r.doc_id: r.position for r in pfair_mix.interleave(docs).collect()}
+    rows = slot_sharding.stage(spark, docs, "").collect()
+    assert len(rows) == 20000
+    for shard in range(16):
+        own = sorted((r.slot, r.doc_id) for r in rows if r.shard == shard)
+        assert [n for n, _ in own] == list(range(len(own)))
+        ids = [k for _, k in own]
+        assert ids == sorted(ids, key=place.get)
+        for lead in (200, 400, 600):
+            small = sum(k % 5 == 0 for k in ids[:lead]) / lead
+            assert abs(small - 1 / 3) < 0.12
+    assert slot_sharding.stage(spark, odd, "").count() == 10
+    assert slot_sharding.stage(spark, empty, "").count() == 0
+
+
 def test_rebalancing_evens_bytes_and_growth_moves_slots_to_the_new_shard(spark):
     rng = np.random.default_rng(0)
     sizes = spark.createDataFrame([(k, int(v)) for k, v in enumerate(rng.pareto(2, 4096) * 1000)],

@@ -13,9 +13,12 @@ from stopscan.llm import (
     cuckoo_dedup,
     decontamination,
     pfair_mix,
+    prefix_trie,
     simhash,
     slot_sharding,
+    structure_repair,
     token_counts,
+    toxic_segments,
     warc_zstd,
 )
 from stopscan.llm.common import table
@@ -86,6 +89,21 @@ def _warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc_zstd.round_trip(table(spark, folder, "pages"))
 
 
+@register("op11_conversation_repair")
+def _repair(spark: SparkSession, folder: str) -> DataFrame:
+    return structure_repair.audits(table(spark, folder, "conversations"))
+
+
+@register("op12_prefix_trie")
+def _trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, folder, "conversations"))
+
+
+@register("op13_toxicity")
+def _toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxic_segments.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @register("pipeline")
 def _pipeline(spark: SparkSession, folder: str) -> DataFrame:
     from corpus_pipeline import run

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stopscan.llm.common import byte_slices, held_out, id_text, settle
+from stopscan.llm.common import byte_slices, held_out, id_text, if_small, settle
 
 VOCABULARY = 1 << 18
 PRIOR_TOKENS = 50_000.0
@@ -51,6 +51,8 @@ WORDS = re.compile(r"\w+")
 #: Partial word counts are handed on when a task holds so many different words.
 HELD_WORDS = 200_000
 TEXT_BYTES = 8 << 20
+#: Bytes of one id and label in a broadcast table.
+LABEL_BYTES = 40
 
 
 def word_scores(toxic: np.ndarray, clean: np.ndarray, all_toxic: float,
@@ -144,8 +146,10 @@ class Segments:
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic, half) of the training rows."""
 
-    marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(
-        F.col("doc_id").alias("__id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    marks, _ = settle(labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(
+        F.col("doc_id").alias("__id")).agg(F.max("toxic").cast("int").alias("toxic")), "toxic-labels")
+    # Ids and labels travel to the texts where their counted size allows; else both are shuffled.
+    marks = if_small(marks, marks.count(), LABEL_BYTES)
     rows = docs.select("doc_id", "text").where(~held_out(4, 2))
     half = F.pmod(F.xxhash64(id_text(), F.lit("half")), F.lit(2)).cast("int")
     return rows.join(marks, F.col("doc_id") == F.col("__id")).select(
@@ -214,7 +218,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> Segments:
     """Word scores and constants from all training rows."""
 
     spark = docs.sparkSession
-    rows, _ = settle(labelled(docs, labels), "toxic-rows")
+    rows = labelled(docs, labels)
     counts, _ = settle(word_counts(rows), "toxic-words")
     totals = counts.agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(4)]).first()
     c = [float(totals[k] or 0) for k in range(4)]

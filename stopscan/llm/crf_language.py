@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,15 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stopscan.llm.common import held_out, id_text
+from stopscan.llm.common import byte_slices, held_out, id_text
 
 SAMPLE_DOCS = 1600
 FEATURES = 1 << 16
 CHAIN = 24
 CHAINS = 9000
 STEPS = 30
+#: Words whose emissions are kept, words of a piece of texts, and words turned into features at once:
+#: together they bound a task's memory, whatever the number of different words.
 CACHE_WORDS = 200_000
-TOKENS = 500_000
+TOKENS = 200_000
+WORD_BLOCK = 10_000
+TEXT_BYTES = 4 << 20
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -89,14 +94,18 @@ class Crf:
             known.clear()
             self.rows = self.rows[:0]
             fresh = list(dict.fromkeys(words))
-        if fresh:
-            features = [word_features(w, self.lexicon) for w in fresh]
+        blocks = [self.rows]
+        for at in range(0, len(fresh), WORD_BLOCK):
+            features = [array("i", word_features(w, self.lexicon))
+                        for w in fresh[at:at + WORD_BLOCK]]
             sizes = np.fromiter(map(len, features), np.int64, len(features))
-            flat = np.fromiter((f for row in features for f in row), np.int64, sizes.sum())
+            flat = np.frombuffer(b"".join(features), np.int32)
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            scores = np.add.reduceat(self.weights[flat], starts, axis=0) / np.sqrt(sizes)[:, None]
+            blocks.append(np.add.reduceat(self.weights[flat], starts, axis=0)
+                          / np.sqrt(sizes)[:, None])
+        if fresh:
             known.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh))))
-            self.rows = np.concatenate((self.rows, scores))
+            self.rows = np.concatenate(blocks)
         return self.rows[np.fromiter((known[w] for w in words), np.int64, len(words))]
 
     def posteriors(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -292,10 +301,11 @@ def identified(docs: DataFrame, model: Crf) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, scores = shipped.value.predict(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(labels, pa.string()), pa.array(scores)],
-                names=["doc_id", "lang_pred", "score"])
+            for part in byte_slices(batch, 1, TEXT_BYTES):
+                labels, scores = shipped.value.predict(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(labels, pa.string()), pa.array(scores)],
+                    names=["doc_id", "lang_pred", "score"])
 
     kind = dict(chosen.dtypes)["doc_id"]
     return chosen.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
@@ -316,9 +326,10 @@ def stage(spark, docs: DataFrame, folder: str, least: float = 0.3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, scores = shipped.value.predict(batch.column(place).to_pylist())
-            yield batch.filter(pa.array(
-                [v != UNKNOWN and s >= least for v, s in zip(labels, scores.tolist())],
-                pa.bool_()))
+            for part in byte_slices(batch, place, TEXT_BYTES):
+                labels, scores = shipped.value.predict(part.column(place).to_pylist())
+                yield part.filter(pa.array(
+                    [v != UNKNOWN and s >= least for v, s in zip(labels, scores.tolist())],
+                    pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -870,6 +870,20 @@ def contaminants(t: Tables) -> DataFrame:
     return src.contaminants(fasta, extra)
 
 
+@query("written_contaminants", "seqs", sql="""
+SELECT accession || '|a->b|b|c|d|e|f|rRNA|' AS header, sequence,
+  count(*) OVER () AS records FROM seqs WHERE gene_id % 6 = 0""")
+def written_contaminants(t: Tables) -> DataFrame:
+    """The sink, read back: headers may hold the mark that opens a record."""
+
+    fasta = t("seqs").select(F.concat(
+        "accession", F.lit("|a->b|b|c|d|e|f|"), F.when(F.col("gene_id") % 6 == 0, "rRNA").otherwise(
+            "lncRNA"), F.lit("|")).alias("header"), "sequence")
+    path = scratch_path(t.spark, "contaminants")
+    records = src.write_contaminants(fasta, path)
+    return src.read_fasta(t.spark, path).withColumn("records", F.lit(records).cast("bigint"))
+
+
 _TRIM_SQL = """rep AS (SELECT 's' || cast(l_suppkey % 6 AS varchar) AS sample,
     count(*) AS reads_raw, count(*) FILTER (l_linenumber <= 6) AS reads_cleaned,
     count(*) FILTER (l_suppkey % 6 * 2 + 1 > l_linenumber) AS reads_with_adapter,

@@ -102,7 +102,12 @@ def archive(t: Tables) -> DataFrame:
     line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", "alt",
                        F.lit("."), F.lit("."), info)
     path = scratch_path(t.spark, "archive")
-    rows.select(line.alias("value")).write.text(path)
+    # Every archive opens with header lines; here each file does, as in a directory of parts.
+    columns = "\t".join(("#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO"))
+    head = F.when(F.col("ordinal") % 1000 == 0, F.array(
+        F.lit("##fileformat=VCFv4.1"), F.lit('##INFO=<ID=MC,Number=.,Type=String>'),
+        F.lit(columns), F.lit(""))).otherwise(F.array())
+    rows.select(F.explode(F.concat(head, F.array(line))).alias("value")).write.text(path)
     return var.pathogenic_nonsense(src.read_vcf(t.spark, path))
 
 

@@ -65,11 +65,19 @@ def read_numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataF
         "file", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line"), "value")
 
 
+def _fields(count: int = 9) -> list[Column]:
+    """The tab-separated fields of a line; null where it has fewer, for a filter on a field may run
+    before the one that drops header lines."""
+
+    part = F.split("value", "\t")
+    return [F.get(part, F.lit(n)) for n in range(count)]
+
+
 def parse_vcf(lines: DataFrame) -> DataFrame:
     """VCF lines to their fixed columns and the archive's INFO fields; of a repeated key, the first."""
 
     kept = lines.where(~F.startswith("value", F.lit("#")) & (F.col("value") != ""))
-    part = F.split("value", "\t")
+    part = _fields()
     entries = F.split(part[7], ";")
 
     def field(name: str) -> Column:
@@ -90,7 +98,7 @@ def parse_features(lines: DataFrame) -> DataFrame:
     """Nine-column annotation lines, GFF or GTF alike; comments dropped before any split."""
 
     kept = lines.where(~F.startswith("value", F.lit("#")) & (F.col("value") != ""))
-    part = F.split("value", "\t")
+    part = _fields()
     return kept.select(
         part[0].alias("chrom"), part[1].alias("source"), part[2].alias("feature"),
         part[3].cast("bigint").alias("start"), part[4].cast("bigint").alias("end"),
@@ -186,8 +194,8 @@ def write_contaminants(fasta: DataFrame, path: str, extra: DataFrame | None = No
     if contaminants(fasta).limit(1).count() == 0:
         raise ValueError("no structural RNA found; is this a pipe-delimited transcript FASTA?")
     contaminants(fasta, extra).write.text(path)
-    return fasta.sparkSession.read.option("lineSep", ">").text(path).where(
-        F.trim("value") != "").count()
+    # A record opens where a line does: a header may hold the mark, too.
+    return fasta.sparkSession.read.text(path).where(F.startswith("value", F.lit(">"))).count()
 
 
 def read_fastq(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

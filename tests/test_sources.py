@@ -34,6 +34,8 @@ def test_fasta_keys_and_contaminants(spark, tmp_path):
             } == {("T1.1", "ACGT"), ("T2", "GG")}
     assert src.write_contaminants(fasta, str(tmp_path / "out"), fasta.where(
         "header like 'T2%'").withColumn("header", F.lit("x"))) == 2
+    marked = fasta.where("header like 'T1%'").withColumn("header", F.concat("header", F.lit(" a>b>c")))
+    assert src.write_contaminants(marked, str(tmp_path / "marked")) == 1
     with pytest.raises(ValueError, match="structural"):
         src.write_contaminants(fasta.where("header like 'T2%'"), str(tmp_path / "none"))
 

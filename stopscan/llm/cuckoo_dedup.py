@@ -19,10 +19,9 @@ further columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,18 +120,11 @@ INDEX = "digest string, keep_id {kind}, group_size bigint"
 
 
 def insertions(hashed: DataFrame) -> DataFrame:
-    """(digest, keep_id, group_size) of each batch's distinct digests."""
+    """(digest, keep_id, group_size): one row per digest, added up in every task before the shuffle,
+    so a text that a third of all rows share reaches the index as one row."""
 
-    kind = dict(hashed.dtypes)["doc_id"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = frame.groupby("text_sha256", sort=False)["doc_id"].agg(["max", "size"])
-            yield pd.DataFrame({"digest": found.index.to_numpy(object), "keep_id": found["max"].astype(
-                "Int64" if kind == "bigint" else object).array,
-                "group_size": found["size"].to_numpy()})
-
-    return hashed.select("text_sha256", "doc_id").mapInPandas(run, INDEX.format(kind=kind))
+    return hashed.groupBy(F.col("text_sha256").alias("digest")).agg(
+        F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
 def updated(stored: DataFrame | None, added: DataFrame, removed: DataFrame | None = None,
@@ -155,14 +147,14 @@ def updated(stored: DataFrame | None, added: DataFrame, removed: DataFrame | Non
     for more in tagged[1:]:
         rows = rows.unionByName(more)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        index = CuckooFilter(len(frame))
+    def run(table: pa.Table) -> pa.Table:
+        """Ids stay Arrow values: as a column of floats, large ones beside a null would be rounded."""
+
+        index = CuckooFilter(table.num_rows)
         best: list = []
         sizes: list[int] = []
-        frame = frame.sort_values("act", kind="stable")
-        ids = frame["keep_id"].astype(object).where(frame["keep_id"].notna(), None)
-        for digest, keep, size, act in zip(frame["digest"], ids, frame["group_size"],
-                                           frame["act"]):
+        table = table.select(["digest", "keep_id", "group_size", "act"]).sort_by("act")
+        for digest, keep, size, act in zip(*[c.to_pylist() for c in table.columns]):
             if act == 1:
                 index.delete(digest)
                 continue
@@ -176,14 +168,13 @@ def updated(stored: DataFrame | None, added: DataFrame, removed: DataFrame | Non
                 if keep is not None and (best[at] is None or keep > best[at]):
                     best[at] = keep
         live = [n for n, k in enumerate(index.keys) if k is not None]
-        return pd.DataFrame({
-            "digest": np.array([index.keys[n] for n in live], object),
-            "keep_id": pd.array([best[n] for n in live],
-                                dtype="Int64" if kind == "bigint" else object),
-            "group_size": np.array([sizes[n] for n in live], np.int64)})
+        return pa.table({
+            "digest": pa.array([index.keys[n] for n in live], pa.string()),
+            "keep_id": pa.array([best[n] for n in live], table.schema.field("keep_id").type),
+            "group_size": pa.array([sizes[n] for n in live], pa.int64())})
 
     part = F.pmod(F.xxhash64("digest"), F.lit(parts))
-    return rows.groupBy(part.alias("part")).applyInPandas(run, INDEX.format(kind=kind))
+    return rows.groupBy(part.alias("part")).applyInArrow(run, INDEX.format(kind=kind))
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:

@@ -228,6 +228,22 @@ def test_exact_duplicates(odd, empty):
     assert cuckoo_dedup.exact_duplicates(empty).count() == 0
 
 
+def test_large_ids_beside_nulls_keep_every_digit(spark):
+    rows = [(2 ** 53 + 1, "x"), (None, "y"), (2 ** 53, "x"), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    found = {(r.doc_id, r.text_sha256[:4]): r for r in cuckoo_dedup.exact_duplicates(docs).collect()}
+    x = hashlib.sha256(b"x").hexdigest()[:4]
+    assert {r.keep_id for k, r in found.items() if k[1] == x} == {2 ** 53 + 1}
+    assert found[2 ** 53 + 1, x].kept and not found[2 ** 53, x].kept and not found[None, x].kept
+
+
+def test_a_hot_text_reaches_the_index_once(spark):
+    docs = spark.range(9000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'hot', CAST(id AS string)) AS text")
+    added = cuckoo_dedup.insertions(cuckoo_dedup.digests(docs.repartition(16)))
+    assert added.count() == 6001 and added.where("group_size = 3000 AND keep_id = 8997").count() == 1
+    assert cuckoo_dedup.exact_duplicates(docs).where("group_size = 3000").count() == 3000
+
+
 def test_the_index_inserts_deletes_and_resizes(spark):
     index = cuckoo_dedup.CuckooFilter(1)
     names = [hashlib.sha256(str(n).encode()).hexdigest() for n in range(3000)]

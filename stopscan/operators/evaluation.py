@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stopscan.functions.fixed import ROUNDS, SEED, TRAIN_FRACTION
-from stopscan.operators.ranking import hashed_rank, quantiles
+from stopscan.operators.ranking import quantiles
 from stopscan.operators.resampling import bootstrap_mean_ci
+from stopscan.operators.selection import cut_digests, round_marks, taken_rounds, with_cuts
+from stopscan.session import cut_lineage
 
+#: Bits of a row's fold marks.
+MOST_ROUNDS = 62
 SPLITTERS: dict[str, tuple[str, ...]] = {
     "published_random_cv": ("row",),
     "grouped_by_gene": ("gene",),
@@ -19,26 +23,41 @@ SPLITTERS: dict[str, tuple[str, ...]] = {
 """The columns of a unit: rows that agree in them fall on the same side of every round."""
 
 
-def split(features: DataFrame, config: str, keys: Sequence[str] = ("therapy_id",),
-          rounds: int = ROUNDS, fraction: float = TRAIN_FRACTION, seed: int = SEED) -> DataFrame:
-    """Training rows `(keys, round, row)` of each round.
+def mark_folds(features: DataFrame, config: str, keys: Sequence[str] = ("therapy_id",),
+               rounds: int = ROUNDS, fraction: float = TRAIN_FRACTION, seed: int = SEED) -> DataFrame:
+    """`features` with `folds`, a bit for every round in which the row trains.
 
-    The groups a split keeps together are ranked by a hash of seed, round and group; the first
-    fraction of them trains. Which rows train is therefore the same on every run and cluster.
+    The groups a split keeps together are ordered by a hash of seed, round and group; the first
+    fraction of them trains. Which rows train is therefore the same on every run and cluster, and no
+    row is copied or moved for a round: each compares its own hashes with the cuts of its key.
     """
 
     if config not in SPLITTERS:
         raise ValueError(f"{config} has no splitter; supported: {', '.join(sorted(SPLITTERS))}")
-    together = F.concat_ws("|", *[F.col(c).cast("string") for c in SPLITTERS[config]])
-    grouped = features.select(*keys, "row", together.alias("_group"))
-    groups = grouped.select(*keys, "_group").distinct()
-    sizes = groups.groupBy(*keys).agg(
-        F.floor(F.count(F.lit(1)) * F.lit(fraction)).alias("_train"))
-    numbered = groups.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    ranked = hashed_rank(numbered, [*keys, "round"], ["round", "_group"], str(seed), "_rank")
-    chosen = ranked.join(sizes, list(keys)).where(F.col("_rank") <= F.col("_train"))
-    return grouped.join(chosen.select(*keys, "round", "_group"), [*keys, "_group"]).select(
-        *keys, "round", "row")
+    if rounds > MOST_ROUNDS:
+        raise ValueError(f"{rounds} rounds do not fit one number; at most {MOST_ROUNDS}")
+    together = SPLITTERS[config]
+    grouped = features.withColumn("_group", F.concat_ws(
+        "|", *[F.col(c).cast("string") for c in together]))
+    units = grouped.select(*keys, "_group")
+    # A row number stands in one row already.
+    units = cut_lineage(units if together == ("row",) else units.distinct(), name="units")
+    cuts = cut_digests(units, keys, "_group", lambda n: F.floor(n * F.lit(fraction)), rounds, seed)
+    return with_cuts(grouped, cuts, keys).withColumn(
+        "folds", round_marks(F.col("cuts"), F.col("_group"), rounds, seed)).drop("_group", "cuts")
+
+
+def training_rows(marked: DataFrame, keys: Sequence[str], rounds: int) -> DataFrame:
+    """Training rows `(keys, round, row)` of each round."""
+
+    return marked.select(*keys, F.explode(taken_rounds(rounds)).alias("round"), "row")
+
+
+def split(features: DataFrame, config: str, keys: Sequence[str] = ("therapy_id",),
+          rounds: int = ROUNDS, fraction: float = TRAIN_FRACTION, seed: int = SEED) -> DataFrame:
+    """Training rows `(keys, round, row)` of each round of a named split."""
+
+    return training_rows(mark_folds(features, config, keys, rounds, fraction, seed), keys, rounds)
 
 
 def stratified_partitions(features: DataFrame, keys: Sequence[str] = ("therapy_id",),
@@ -48,17 +67,16 @@ def stratified_partitions(features: DataFrame, keys: Sequence[str] = ("therapy_i
 
     cuts = quantiles(features, keys, "RT_binomial",
                      {f"q{i}": i / strata for i in range(1, strata)})
-    placed = features.join(cuts, list(keys)).select(*keys, "row", sum(
+    placed = cut_lineage(features.join(cuts, list(keys)).select(*keys, "row", sum(
         (F.when(F.col("RT_binomial") > F.col(f"q{i}"), 1).otherwise(0)
          for i in range(2, strata)),
-        F.when(F.col("RT_binomial") > F.col("q1"), 1).otherwise(0)).alias("_stratum"))
-    sizes = placed.groupBy(*keys, "_stratum").agg(
-        F.ceil(F.count(F.lit(1)) * F.lit(fraction)).alias("_train"))
-    numbered = placed.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    ranked = hashed_rank(numbered, [*keys, "round", "_stratum"], ["round", "row"], str(seed),
-                         "_rank")
-    return ranked.join(sizes, [*keys, "_stratum"]).where(
-        F.col("_rank") <= F.col("_train")).select(*keys, "round", "row")
+        F.when(F.col("RT_binomial") > F.col("q1"), 1).otherwise(0)).alias("_stratum"),
+        F.col("row").cast("string").alias("_group")), name="strata")
+    group = [*keys, "_stratum"]
+    taken = cut_digests(placed, group, "_group", lambda n: F.ceil(n * F.lit(fraction)), rounds, seed)
+    marked = with_cuts(placed, taken, group).withColumn(
+        "folds", round_marks(F.col("cuts"), F.col("_group"), rounds, seed))
+    return training_rows(marked, keys, rounds)
 
 
 def improvement(scored: DataFrame, keys: Sequence[str], baseline: str = "B") -> DataFrame:

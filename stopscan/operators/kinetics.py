@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stopscan.functions.binomial import MODELS, Terms, squared_correlation
-from stopscan.functions.fixed import PERMUTATIONS_REQUIRED, SEED, SENSE_CODONS
+from stopscan.functions.fixed import PERMUTATIONS_REQUIRED, ROUNDS, SEED, SENSE_CODONS
 from stopscan.functions.nucleotides import as_dna, residue
 from stopscan.functions.scalars import half_even
 from stopscan.operators.model import evaluate, fit_fold, fold_cells
@@ -108,45 +108,46 @@ def shuffled_within_gene(attached: DataFrame, keys: Sequence[str] = ("drug",),
     return placed.drop("k_up", "k_down").join(given, [*group, "_at"]).drop("_at")
 
 
-def head_to_head(features: DataFrame, rounds: DataFrame, scores: DataFrame,
-                 kind: str | None = None, models: Mapping[str, Terms] | None = None,
-                 keys: Sequence[str] = ("drug",), seed: int = SEED) -> DataFrame:
-    """(keys, round, model, r2) of `models`, on `scores` as given or permuted by rule `kind`."""
+def head_to_head(marked: DataFrame, scores: DataFrame, kind: str | None = None,
+                 models: Mapping[str, Terms] | None = None, keys: Sequence[str] = ("drug",),
+                 seed: int = SEED, rounds: int = ROUNDS) -> DataFrame:
+    """(keys, round, model, r2) of `models`, on `scores` as given or permuted by rule `kind`; rows are
+    marked with the rounds they train in."""
 
     label = kind or "none"
     if kind == "within_gene":
-        moved = shuffled_within_gene(attach(features, scores), keys, seed)
-        cells = fold_cells(moved, rounds, keys, ("k_up", "k_down"))
+        moved = shuffled_within_gene(attach(marked, scores), keys, seed)
+        cells = fold_cells(moved, keys, ("k_up", "k_down"), rounds)
     else:
         used = scores
         if kind is not None:
-            one = features.sparkSession.range(1).select(F.col("id").alias("permutation"))
+            one = marked.sparkSession.range(1).select(F.col("id").alias("permutation"))
             used = permuted_scores(scores, kind, one, seed).drop("permutation")
         # A codon score is a function of the cell, so it is attached to cells, not to rows.
-        cells = attach(fold_cells(features, rounds, keys), used)
+        cells = attach(fold_cells(marked, keys, rounds=rounds), used)
     return evaluate(cells, keys, models or MODELS, derived=kind != "within_gene").withColumn(
         "shuffle", F.lit(label))
 
 
-def baseline_scores(features: DataFrame, rounds: DataFrame,
-                    keys: Sequence[str] = ("drug",)) -> DataFrame:
+def baseline_scores(marked: DataFrame, keys: Sequence[str] = ("drug",),
+                    rounds: int = ROUNDS) -> DataFrame:
     """The baseline's held-out r squared per round, which no permutation changes."""
 
-    return evaluate(fold_cells(features, rounds, keys), keys, {"B": MODELS["B"]}).select(
+    return evaluate(fold_cells(marked, keys, rounds=rounds), keys, {"B": MODELS["B"]}).select(
         *keys, "round", F.col("r2").alias("baseline_r2"))
 
 
-def observed_gains(features: DataFrame, rounds: DataFrame, scores: DataFrame,
-                   baseline: DataFrame) -> DataFrame:
+def observed_gains(marked: DataFrame, scores: DataFrame, baseline: DataFrame,
+                   rounds: int = ROUNDS) -> DataFrame:
     """(drug, round, gain): r2 of K1 on unpermuted scores less `baseline_r2`."""
 
-    scored = head_to_head(features, rounds, scores, models={"K1": MODELS["K1"]})
+    scored = head_to_head(marked, scores, models={"K1": MODELS["K1"]}, rounds=rounds)
     return scored.join(baseline, ["drug", "round"]).select(
         "drug", "round", (F.col("r2") - F.col("baseline_r2")).alias("gain"))
 
 
-def null_gains(features: DataFrame, rounds: DataFrame, scores: DataFrame, baseline: DataFrame,
-               indices: DataFrame, chunk: int = 8, seed: int = SEED) -> DataFrame:
+def null_gains(marked: DataFrame, scores: DataFrame, baseline: DataFrame, indices: DataFrame,
+               chunk: int = 8, seed: int = SEED, rounds: int = ROUNDS) -> DataFrame:
     """`(shuffle, permutation, drug, gain)` for the `(shuffle, permutation)` pairs in `indices`.
 
     One index names one mapping for all drugs. Work units are a drug's round with a chunk of
@@ -159,13 +160,13 @@ def null_gains(features: DataFrame, rounds: DataFrame, scores: DataFrame, baseli
         parts.append(permuted_scores(scores, family, wanted, seed + 1).withColumn(
             "shuffle", F.lit(family)))
     mappings = parts[0].unionByName(parts[1])
-    cells = fold_cells(features, rounds, ("drug",))
+    cells = fold_cells(marked, ("drug",), rounds=rounds)
     chunks = mappings.select(
         "shuffle", F.floor(F.col("permutation") / chunk).alias("chunk")).distinct()
     # Sixty or so drug rounds, each paired with every chunk: one fit task per pair.
-    units = rounds.select("drug", "round").distinct().agg(
-        F.collect_list(F.struct("drug", "round"))).scalar()
-    tasks = chunks.select("shuffle", "chunk", F.inline(units))
+    drugs = marked.select("drug").distinct().agg(F.collect_list("drug")).scalar()
+    tasks = chunks.withColumn("drug", F.explode(drugs)).withColumn(
+        "round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
     left = cells.join(tasks, ["drug", "round"])
     right = tasks.join(mappings.withColumn("chunk", F.floor(F.col("permutation") / chunk)),
                        ["shuffle", "chunk"])
@@ -193,17 +194,17 @@ def null_gains(features: DataFrame, rounds: DataFrame, scores: DataFrame, baseli
     fitted = left.groupBy(*unit).cogroup(right.groupBy(*[f"_u_{u}" for u in unit])).applyInPandas(
         fit, "shuffle string, permutation bigint, drug string, round int, r2 double")
     within = indices.where("shuffle = 'within_gene'").select("permutation")
-    moved = _within_gene_scores(features, rounds, scores, within, seed)
+    moved = _within_gene_scores(marked, scores, within, seed, rounds)
     scored = fitted.unionByName(moved)
     return scored.join(baseline, ["drug", "round"]).groupBy(
         "shuffle", "permutation", "drug").agg(
         F.avg(F.col("r2") - F.col("baseline_r2")).alias("gain"))
 
 
-def _within_gene_scores(features: DataFrame, rounds: DataFrame, scores: DataFrame,
-                        permutations: DataFrame, seed: int) -> DataFrame:
+def _within_gene_scores(marked: DataFrame, scores: DataFrame, permutations: DataFrame, seed: int,
+                        rounds: int) -> DataFrame:
     asked = permutations.agg(F.collect_list("permutation")).scalar()
-    repeated = attach(features, scores).withColumn("permutation", F.explode(asked))
+    repeated = attach(marked, scores).withColumn("permutation", F.explode(asked))
     group = ["permutation", "drug", "gene"]
     to = hashed_rank(repeated, group, ["permutation", "row"], f"{seed + 1}|to", "_at")
     given = hashed_rank(repeated.select(*group, "row", "k_up", "k_down"), group,
@@ -211,8 +212,7 @@ def _within_gene_scores(features: DataFrame, rounds: DataFrame, scores: DataFram
     moved = to.drop("k_up", "k_down").join(
         given.select(*group, "_at", "k_up", "k_down"), [*group, "_at"])
     keys = ("permutation", "drug")
-    drawn = rounds.withColumn("permutation", F.explode(asked))
-    cells = fold_cells(moved, drawn, keys, ("k_up", "k_down"))
+    cells = fold_cells(moved, keys, ("k_up", "k_down"), rounds)
     return evaluate(cells, keys, {"K1": MODELS["K1"]}).select(
         F.lit("within_gene").alias("shuffle"), "permutation", "drug", "round", "r2")
 

@@ -16,9 +16,10 @@ from stopscan.functions.binomial import (
     fit_cells,
     squared_correlation,
 )
-from stopscan.functions.fixed import SUPPORT_STRATA
+from stopscan.functions.fixed import ROUNDS, SUPPORT_STRATA
 from stopscan.functions.scalars import half_even, met
 from stopscan.operators.ranking import quantiles
+from stopscan.operators.selection import in_round, taken_rounds
 from stopscan.operators.wide_fits import evaluate_wide
 from stopscan.session import cut_lineage
 
@@ -112,32 +113,30 @@ def score(contexts: DataFrame, model: DataFrame, spreads: DataFrame,
         *[c for c in ("review_stars",) if c in joined.columns])
 
 
-def fold_cells(features: DataFrame, rounds: DataFrame, keys: Sequence[str] = ("therapy_id",),
-               extra: Sequence[str] = ()) -> DataFrame:
-    """Training and held-out counts of every cell in every round.
+def fold_cells(marked: DataFrame, keys: Sequence[str] = ("therapy_id",),
+               extra: Sequence[str] = (), rounds: int = ROUNDS) -> DataFrame:
+    """Training and held-out counts of every cell in every round, from rows marked with their folds.
 
-    Only the training rows are joined; the held-out side is the whole table less the training side.
+    One pass adds up a cell's rows in each round that its rows train in; no row is copied for a round.
+    The held-out side is the whole cell less its training side.
     """
 
     pattern = [*CELL, *extra]
     y = F.col("RT_binomial")
-    stats = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("y"), F.sum(y * y).alias("yy")]
-    whole = features.groupBy(*keys, *pattern).agg(*stats)
-    train = features.select(*keys, "row", *pattern, "RT_binomial").join(
-        rounds.select(*keys, "round", "row"), [*keys, "row"]
-    ).groupBy(*keys, "round", *pattern).agg(*[
-        s.alias(f"{n}_train") for s, n in zip(
-            (F.count(F.lit(1)), F.sum(y), F.sum(y * y)), ("n", "y", "yy"))])
-    every = whole.join(rounds.select(*keys, "round").distinct(), list(keys))
-    joined = every.join(train, [*keys, "round", *pattern], "left")
-    counted = F.coalesce("n_train", F.lit(0))
-    rest = counted < F.col("n")
-    return joined.select(
-        *keys, "round", *pattern, counted.alias("n_train"),
-        F.coalesce("y_train", F.lit(0.0)).alias("y_train"),
-        (F.col("n") - counted).alias("n_test"),
-        *[F.when(rest, F.col(c) - F.coalesce(f"{c}_train", F.lit(0.0))).otherwise(0.0)
-          .alias(f"{c}_test") for c in ("y", "yy")])
+    whole = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("y"), F.sum(y * y).alias("yy")]
+    train = [s.alias(f"_{n}{r}") for r in range(1, rounds + 1) for n, s in (
+        ("n", F.count_if(in_round(r))), ("y", F.sum(F.when(in_round(r), y))),
+        ("yy", F.sum(F.when(in_round(r), y * y))))]
+    summed = marked.groupBy(*keys, *pattern).agg(*whole, *train)
+    each = summed.select(*keys, *pattern, "n", "y", "yy", F.inline(F.array(*[F.struct(
+        F.lit(r).alias("round"), F.col(f"_n{r}").alias("n_train"),
+        F.coalesce(f"_y{r}", F.lit(0.0)).alias("y_train"),
+        F.coalesce(f"_yy{r}", F.lit(0.0)).alias("_yy")) for r in range(1, rounds + 1)])))
+    rest = F.col("n_train") < F.col("n")
+    return each.select(
+        *keys, "round", *pattern, "n_train", "y_train", (F.col("n") - F.col("n_train")).alias("n_test"),
+        F.when(rest, F.col("y") - F.col("y_train")).otherwise(0.0).alias("y_test"),
+        F.when(rest, F.col("yy") - F.col("_yy")).otherwise(0.0).alias("yy_test"))
 
 
 def fit_fold(rows: pd.DataFrame, terms: Terms) -> tuple[pd.DataFrame, pd.Series]:
@@ -150,6 +149,12 @@ def fit_fold(rows: pd.DataFrame, terms: Terms) -> tuple[pd.DataFrame, pd.Series]
     return test, fitted.predict(test)
 
 
+def trains(rows: pd.DataFrame) -> bool:
+    """Whether any row trains in the round; a key of one row may have none."""
+
+    return bool((rows["n_train"] > 0).any())
+
+
 def evaluate(cells: DataFrame, keys: Sequence[str] = ("therapy_id",),
              models: Mapping[str, Terms] | None = None, derived: bool = False) -> DataFrame:
     """Held-out r squared and row count of each model in each round.
@@ -170,28 +175,29 @@ def evaluate(cells: DataFrame, keys: Sequence[str] = ("therapy_id",),
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         found = []
-        for name, terms in wanted.items():
+        for name, terms in wanted.items() if trains(rows) else ():
             test, predicted = fit_fold(rows, terms)
             n = test["n_test"].to_numpy(dtype=float)
             found.append({**{k: rows[k].iloc[0] for k in names}, "model": name,
                           "r2": squared_correlation(predicted, n, test["y_test"].to_numpy(),
                                                     test["yy_test"].to_numpy()),
                           "held_out": int(n.sum())})
-        return pd.DataFrame(found)
+        return pd.DataFrame(found, columns=[*names, "model", "r2", "held_out"])
 
     return cells.groupBy(*names).applyInPandas(one, _schema(
         cells, names, "model string, r2 double, held_out bigint"))
 
 
-def held_out_predictions(features: DataFrame, rounds: DataFrame,
-                         keys: Sequence[str] = ("therapy_id",),
-                         terms: Terms = BASELINE_TERMS) -> DataFrame:
+def held_out_predictions(marked: DataFrame, keys: Sequence[str] = ("therapy_id",),
+                         terms: Terms = BASELINE_TERMS, rounds: int = ROUNDS) -> DataFrame:
     """`(keys, round, row, predicted, observed)` for the rows each round left out."""
 
-    cells = fold_cells(features, rounds, keys)
+    cells = fold_cells(marked, keys, rounds=rounds)
     names = [*keys, "round"]
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
+        if not trains(rows):
+            return rows[[*names, *CELL]].head(0).assign(predicted=0.0)
         test, predicted = fit_fold(rows, terms)
         out = test[[*names, *CELL]].copy()
         out["predicted"] = predicted
@@ -199,9 +205,8 @@ def held_out_predictions(features: DataFrame, rounds: DataFrame,
 
     grid = cells.groupBy(*names).applyInPandas(one, _schema(
         cells, [*names, *CELL], "predicted double"))
-    every = features.select(*keys, "row", *CELL, F.col("RT_binomial").alias("observed")).join(
-        rounds.select(*keys, "round").distinct(), list(keys))
-    left = every.join(rounds.select(*keys, "round", "row"), [*keys, "round", "row"], "left_anti")
+    left = marked.select(*keys, "row", *CELL, F.col("RT_binomial").alias("observed"), F.explode(
+        taken_rounds(rounds, taken=False)).alias("round"))
     return left.join(grid, [*names, *CELL]).select(*names, "row", "predicted", "observed")
 
 
@@ -242,7 +247,7 @@ def stratified_gain(cells: DataFrame, keys: Sequence[str] = ("therapy_id",),
         strata[support < median] = thin
         strata[support == 0] = unsupported
         found = []
-        for name, terms in wanted.items():
+        for name, terms in wanted.items() if trains(rows) else ():
             test, predicted = fit_fold(rows, terms)
             inside = strata.reindex(test.index).to_numpy()
             for stratum in SUPPORT_STRATA:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from stopscan.operators import decay, editing, landscape, placement, variants
-from stopscan.operators.evaluation import split
+from stopscan.operators.evaluation import mark_folds
 from stopscan.operators.model import fit, held_out_predictions, relative_error, score
 from stopscan.session import cut_lineage, refuse
 
@@ -41,7 +41,7 @@ def amenability(records: DataFrame, features: DataFrame, sequences: DataFrame,
     contexts = cut_lineage(placement.stop_contexts(kept, models))
     refuse(placement.protein_disagreements(contexts, proteins),
            "placements contradict their proteins")
-    held_out = held_out_predictions(library, split(library, config))
+    held_out = held_out_predictions(mark_folds(library, config))
     scores = cut_lineage(score(contexts, fit(library), relative_error(held_out)))
     table = landscape.landscape(contexts, scores)
     return Amenability(

@@ -27,7 +27,7 @@ from stopscan.plans.queries_variants import (
     sql_residue,
 )
 from stopscan.plans.registry import query, rounded
-from stopscan.session import scratch_path
+from stopscan.session import cut_lineage, scratch_path
 from stopscan.streaming import incremental as inc
 
 CELLS = {"C": (("stop",), ("down",), ("stop", "down"))}
@@ -44,6 +44,12 @@ def coarse(t: Tables) -> DataFrame:
         "up_123nt": F.substring("up_123nt", 1, 1), "down_123nt": F.substring("down_123nt", 1, 1)})
 
 
+def folds(t: Tables) -> DataFrame:
+    """The coarse library, its rows marked with the random rounds they train in."""
+
+    return ev.mark_folds(coarse(t), "published_random_cv")
+
+
 # --- Splits -------------------------------------------------------------------------------------
 
 
@@ -124,24 +130,21 @@ held AS (SELECT c.therapy_id, x.round, c.row, m AS predicted, RT_binomial AS obs
 WITH {HELD_SQL} SELECT therapy_id, cast(round AS bigint) AS round, row,
   round(predicted, 6) AS predicted, round(observed, 6) AS observed FROM held""")
 def held_out_predictions(t: Tables) -> DataFrame:
-    rounds = ev.split(coarse(t), "published_random_cv")
-    return rounded(mod.held_out_predictions(coarse(t), rounds, terms=CELLS["C"]))
+    return rounded(mod.held_out_predictions(folds(t), terms=CELLS["C"]))
 
 
 @query("cross_validation", "library", sql=f"""
 WITH {HELD_SQL} SELECT therapy_id, cast(round AS bigint) AS round, 'C' AS model,
   round(corr(predicted, observed) ** 2, 6) AS r2, count(*) AS held_out FROM held GROUP BY 1, 2""")
 def cross_validation(t: Tables) -> DataFrame:
-    rounds = ev.split(coarse(t), "published_random_cv")
-    return rounded(mod.evaluate(mod.fold_cells(coarse(t), rounds), models=CELLS))
+    return rounded(mod.evaluate(mod.fold_cells(folds(t)), models=CELLS))
 
 
 @query("r_squared", "library", sql=f"""
 WITH {HELD_SQL} SELECT therapy_id, cast(round AS bigint) AS round,
   round(corr(predicted, observed) ** 2, 6) AS r2, count(*) AS held_out FROM held GROUP BY 1, 2""")
 def r_squared(t: Tables) -> DataFrame:
-    rounds = ev.split(coarse(t), "published_random_cv")
-    found = mod.held_out_predictions(coarse(t), rounds, terms=CELLS["C"])
+    found = mod.held_out_predictions(folds(t), terms=CELLS["C"])
     return rounded(mod.r_squared(found, ["therapy_id", "round"]))
 
 
@@ -150,9 +153,7 @@ WITH {HELD_SQL} SELECT therapy_id,
   round(quantile_cont(abs(predicted - observed) / predicted, 0.95), 6) AS spread
 FROM held GROUP BY 1""")
 def relative_error(t: Tables) -> DataFrame:
-    rounds = ev.split(coarse(t), "published_random_cv")
-    return rounded(mod.relative_error(
-        mod.held_out_predictions(coarse(t), rounds, terms=CELLS["C"])))
+    return rounded(mod.relative_error(mod.held_out_predictions(folds(t), terms=CELLS["C"])))
 
 
 @query("score_contexts", "contexts", "library", sql=f"""
@@ -194,8 +195,7 @@ SELECT h.therapy_id, cast(h.round AS bigint) AS round, 'C' AS model,
 FROM held h JOIN md ON md.therapy_id = h.therapy_id AND md.round = h.round
 GROUP BY 1, 2, 4 HAVING count(*) >= 3""")
 def stratified_gain(t: Tables) -> DataFrame:
-    rounds = ev.split(coarse(t), "published_random_cv")
-    return rounded(mod.stratified_gain(mod.fold_cells(coarse(t), rounds), models=CELLS))
+    return rounded(mod.stratified_gain(mod.fold_cells(folds(t)), models=CELLS))
 
 
 @query("reliability", sql="""
@@ -226,8 +226,7 @@ SELECT therapy_id AS drug, round_even(avg(r2), 6) AS r2_mean,
   round_even(stddev_samp(r2), 6) AS r2_sd, count(*) AS rounds,
   CASE WHEN therapy_id <> 'th2' THEN 0.9::DOUBLE END AS ceiling FROM m GROUP BY 1""")
 def model_parity(t: Tables) -> DataFrame:
-    rounds = ev.split(coarse(t), "published_random_cv")
-    metrics = mod.evaluate(mod.fold_cells(coarse(t), rounds), models=CELLS).withColumnRenamed(
+    metrics = mod.evaluate(mod.fold_cells(folds(t)), models=CELLS).withColumnRenamed(
         "therapy_id", "drug")
     ceilings = t("library").select(F.col("therapy_id").alias("treatment")).distinct().where(
         "treatment <> 'th2'").withColumn("ceiling", F.lit(0.9))
@@ -349,35 +348,40 @@ def sense_library(t: Tables) -> DataFrame:
     return kept
 
 
-def _drug_rounds(t: Tables, config: str = "grouped_by_gene", rounds: int = 3) -> DataFrame:
-    return ev.split(sense_library(t), config, ("drug",), rounds)
+#: Rounds of the kinetic queries.
+KINETIC_ROUNDS = 3
+
+
+def drug_folds(t: Tables) -> DataFrame:
+    """The library of few levels, written once: several fits read it."""
+
+    return cut_lineage(ev.mark_folds(sense_library(t), "grouped_by_gene", ("drug",), KINETIC_ROUNDS))
 
 
 @query("head_to_head")
 def head_to_head(t: Tables) -> DataFrame:
-    scores = kin.codon_scores(t("codon_table"))
-    features, rounds = sense_library(t), _drug_rounds(t)
-    out = kin.head_to_head(features, rounds, scores)
+    scores, marked = kin.codon_scores(t("codon_table")), drug_folds(t)
+    out = kin.head_to_head(marked, scores, rounds=KINETIC_ROUNDS)
     for kind in kin.FAMILIES:
         out = out.unionByName(kin.head_to_head(
-            features, rounds, scores, kind, {m: MODELS[m] for m in ("B", "K1", "K2")}))
+            marked, scores, kind, {m: MODELS[m] for m in ("B", "K1", "K2")}, rounds=KINETIC_ROUNDS))
     return rounded(out, 5)
 
 
 @query("null_gains")
 def null_gains(t: Tables) -> DataFrame:
-    scores = kin.codon_scores(t("codon_table"))
-    features, rounds = sense_library(t), _drug_rounds(t)
+    scores, marked = kin.codon_scores(t("codon_table")), drug_folds(t)
     wanted = inc.index_range(t.spark, kin.FAMILIES, 4)
-    baseline = kin.baseline_scores(features, rounds)
-    return rounded(kin.null_gains(features, rounds, scores, baseline, wanted), 5)
+    baseline = kin.baseline_scores(marked, rounds=KINETIC_ROUNDS)
+    return rounded(kin.null_gains(marked, scores, baseline, wanted, rounds=KINETIC_ROUNDS), 5)
 
 
 @query("observed_gains")
 def observed_gains(t: Tables) -> DataFrame:
-    features, rounds = sense_library(t), _drug_rounds(t)
-    return rounded(kin.observed_gains(features, rounds, kin.codon_scores(t("codon_table")),
-                                      kin.baseline_scores(features, rounds)), 5)
+    marked = drug_folds(t)
+    return rounded(kin.observed_gains(
+        marked, kin.codon_scores(t("codon_table")),
+        kin.baseline_scores(marked, rounds=KINETIC_ROUNDS), KINETIC_ROUNDS), 5)
 
 
 NULL_SQL = """nul AS (SELECT 'f' || cast(o_custkey % 3 AS varchar) AS shuffle,

@@ -1,13 +1,17 @@
 """Fits, splits, shuffles, the permutation null and resuming it."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from stopscan.functions.binomial import MODELS, fit_cells, identifiable, squared_correlation
 from stopscan.operators import evaluation as ev
 from stopscan.operators import kinetics as kin
 from stopscan.operators import model as mod
+from stopscan.operators import selection
 from stopscan.streaming import incremental as inc
 
 STOPS, UPS, DOWNS = ("uaa", "uag", "uga"), ("aaa", "ccg", "gga"), ("aac", "cuu", "ggg")
@@ -98,10 +102,41 @@ def test_grouped_splits_keep_groups_on_one_side(features, library):
         ev.split(features, "external_transfer_test", ("drug",))
 
 
+def test_cuts_are_the_kth_smallest_digests(spark, monkeypatch):
+    """With few digits a step and nothing sorted early, the selection goes down many steps."""
+
+    units = spark.range(3000).selectExpr("IF(id % 3 = 0, 'a', 'b') AS k", "CAST(id AS string) AS u")
+    want = {}
+    for key, own in units.toPandas().groupby("k")["u"]:
+        for r in (1, 2):
+            digests = sorted(hashlib.md5(f"9|{r}|{u}".encode()).hexdigest() for u in own)
+            want[key, r] = digests[int(len(own) * 0.7) - 1]
+    for digits, sorted_ in ((3, 20_000), (1, 2), (2, 0)):
+        monkeypatch.setattr(selection, "DIGITS", digits)
+        monkeypatch.setattr(selection, "SORTED", sorted_)
+        found = selection.cut_digests(units, ["k"], "u", lambda n: F.floor(n * F.lit(0.7)), 2, 9)
+        assert {(x.k, r): d for x in found.collect() for r, d in x.cuts.items()} == want
+    none = selection.cut_digests(units, ["k"], "u", lambda n: n * 0, 2, 9)
+    assert none.where("cuts IS NULL").count() == 2
+
+
+def test_no_row_is_copied_for_a_round_before_a_shuffle(features):
+    """Shuffles carry cells and digit counts, not rows times rounds."""
+
+    marked = ev.mark_folds(features, "published_random_cv", ("drug",), rounds=2)
+    plan = mod.fold_cells(marked, ("drug",), rounds=2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    one = features.where("row = 1")
+    assert ev.split(one, "published_random_cv", ("drug",), rounds=2).count() == 0
+    alone = ev.mark_folds(one, "published_random_cv", ("drug",), rounds=2)
+    assert mod.evaluate(mod.fold_cells(alone, ("drug",), rounds=2), ("drug",)).count() == 0
+    assert mod.held_out_predictions(alone, ("drug",), rounds=2).count() == 0
+
+
 def test_cross_validation_matches_held_out_rows(features):
-    rounds = ev.split(features, "published_random_cv", ("drug",), rounds=2)
-    cells = mod.evaluate(mod.fold_cells(features, rounds, ("drug",)), ("drug",)).toPandas()
-    rows = mod.r_squared(mod.held_out_predictions(features, rounds, ("drug",)),
+    marked = ev.mark_folds(features, "published_random_cv", ("drug",), rounds=2)
+    cells = mod.evaluate(mod.fold_cells(marked, ("drug",), rounds=2), ("drug",)).toPandas()
+    rows = mod.r_squared(mod.held_out_predictions(marked, ("drug",), rounds=2),
                          ["drug", "round"]).toPandas()
     both = cells.merge(rows, on=["drug", "round"])
     assert len(both) == 4 and (both.held_out_x == both.held_out_y).all()
@@ -148,23 +183,24 @@ def test_within_gene_moves_pairs_together(features, scores, library):
 
 
 def test_baseline_ignores_every_shuffle(features, scores):
-    rounds = ev.split(features, "grouped_by_gene", ("drug",), rounds=2)
+    marked = ev.mark_folds(features, "grouped_by_gene", ("drug",), rounds=2)
     base = None
     for kind in (None, *kin.FAMILIES):
-        found = kin.head_to_head(features, rounds, scores, kind, {m: MODELS[m] for m in ("B", "K1")})
+        found = kin.head_to_head(marked, scores, kind, {m: MODELS[m] for m in ("B", "K1")},
+                                 rounds=2)
         one = found.where("model = 'B'").orderBy("drug", "round").toPandas()["r2"].to_numpy()
         base = one if base is None else base
         assert one == pytest.approx(base, abs=1e-9)
 
 
 def test_null_is_synchronised_complete_and_resumable(spark, features, scores, tmp_path):
-    rounds = ev.split(features, "grouped_by_gene", ("drug",), rounds=2)
-    baseline = kin.baseline_scores(features, rounds)
+    marked = ev.mark_folds(features, "grouped_by_gene", ("drug",), rounds=2)
+    baseline = kin.baseline_scores(marked, rounds=2)
     calls = []
 
     def compute(left):
         calls.append(left.count())
-        return kin.null_gains(features, rounds, scores, baseline, left, chunk=2)
+        return kin.null_gains(marked, scores, baseline, left, chunk=2, rounds=2)
 
     keys, path = ["shuffle", "permutation"], str(tmp_path / "null")
     inc.resume(spark, path, inc.index_range(spark, kin.FAMILIES, 2), keys, compute)
@@ -175,8 +211,8 @@ def test_null_is_synchronised_complete_and_resumable(spark, features, scores, tm
     table = full.toPandas()
     assert len(table) == 3 * 3 * 2 and kin.repeated_permutations(full).count() == 0
     assert len(table.merge(first)) == len(first)
-    again = kin.null_gains(features, rounds, scores, baseline,
-                           inc.index_range(spark, kin.FAMILIES, 3), chunk=5).toPandas()
+    again = kin.null_gains(marked, scores, baseline, inc.index_range(spark, kin.FAMILIES, 3),
+                           chunk=5, rounds=2).toPandas()
     both = table.merge(again, on=["shuffle", "permutation", "drug"])
     assert both.gain_x.to_numpy() == pytest.approx(both.gain_y.to_numpy(), abs=1e-9)
 
@@ -218,11 +254,11 @@ def test_worst_case_is_the_drug_with_the_largest_mean(spark):
 
 
 def test_fits_across_tasks_equal_grouped_fits(features, scores, monkeypatch):
-    rounds = ev.split(features, "grouped_by_gene", ("drug",), rounds=2)
+    marked = ev.mark_folds(features, "grouped_by_gene", ("drug",), rounds=2)
     models = {m: MODELS[m] for m in ("B", "K1")}
-    grouped = kin.head_to_head(features, rounds, scores, "within_gene", models).toPandas()
+    grouped = kin.head_to_head(marked, scores, "within_gene", models, rounds=2).toPandas()
     monkeypatch.setattr(mod, "GROUPED_CELLS", 0)
-    wide = kin.head_to_head(features, rounds, scores, "within_gene", models).toPandas()
+    wide = kin.head_to_head(marked, scores, "within_gene", models, rounds=2).toPandas()
     both = grouped.merge(wide, on=["drug", "round", "model"])
     assert len(both) == 8 and (both.held_out_x == both.held_out_y).all()
     assert both.r2_x.to_numpy() == pytest.approx(both.r2_y.to_numpy(), abs=1e-6)

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopscan.functions.binomial import MODELS
-from stopscan.functions.fixed import SENSE_CODONS
-from stopscan.functions.nucleotides import as_dna
 from stopscan.operators import contracts as ct
 from stopscan.operators import decay as dec
 from stopscan.operators import evaluation as ev
@@ -18,7 +16,7 @@ from stopscan.operators import roadmap as road
 from stopscan.operators import support as sup
 from stopscan.operators.landscape import landscape
 from stopscan.operators.ranking import quantiles
-from stopscan.operators.resampling import bootstrap_mean_ci
+from stopscan.operators.resampling import bootstrap_mean_ci, bootstrap_mean_sql
 from stopscan.plans.carriers import Tables
 from stopscan.plans.queries_variants import (
     DNA_SQL,
@@ -270,14 +268,13 @@ _SCORES_SQL = "sc AS (SELECT codon, occupancy FROM codon_table WHERE site = 'a')
 
 @query("attach_kinetics", "library", "codon_table", sql=f"""
 WITH {_SCORES_SQL} SELECT row, round(a.occupancy, 6) AS k_up, round(b.occupancy, 6) AS k_down
-FROM library l JOIN sc a ON a.codon = {DNA_SQL.format('up_123nt')}
-JOIN sc b ON b.codon = {DNA_SQL.format('down_123nt')}""")
+FROM library l LEFT JOIN sc a ON a.codon = {DNA_SQL.format('up_123nt')}
+LEFT JOIN sc b ON b.codon = {DNA_SQL.format('down_123nt')}""")
 def attach_kinetics(t: Tables) -> DataFrame:
+    """Every row of the library; a stop triplet has no score, and a strict attach refuses it."""
+
     scores = kin.codon_scores(t("codon_table"))
-    # A stop codon has no score, and attaching one is an error.
-    sense = t("library").where(as_dna(F.col("up_123nt")).isin(*SENSE_CODONS)
-                               & as_dna(F.col("down_123nt")).isin(*SENSE_CODONS))
-    return rounded(kin.attach(sense, scores).select("row", "k_up", "k_down"))
+    return rounded(kin.attach(t("library"), scores, strict=False).select("row", "k_up", "k_down"))
 
 
 @query("unscored_triplets", "library", "codon_table", sql=f"""
@@ -501,30 +498,61 @@ def leakage(t: Tables) -> DataFrame:
     return rounded(ev.leakage(gains.where("model = 'K1'"), gains.where("model = 'K2'")))
 
 
-@query("bootstrap_mean_ci")
+def interval_sql(columns: str, places: int = 6) -> str:
+    return f"""SELECT {columns}, round(point, {places}) AS point, round(ci_low, {places}) AS ci_low,
+  round(ci_high, {places}) AS ci_high, ci_low <= 0 AND ci_high >= 0 AS includes_zero FROM spread"""
+
+
+@query("bootstrap_mean_ci", sql=f"""
+WITH {GAINS_SQL}, {bootstrap_mean_sql("gains", ["drug", "model"], ["round"], "gain", 2000, 721)}
+{interval_sql("drug, model")}""")
 def bootstrap_ci(t: Tables) -> DataFrame:
     gains = ev.improvement(scored_rounds(t), ["drug"])
     return rounded(bootstrap_mean_ci(gains, ["drug", "model"], ["round"], "gain", 2000))
 
 
-@query("bootstrap_large_group")
+_READ_IDENTITY = ("transcript", "length", "flag", "value")
+
+
+@query("bootstrap_large_group", "reads", sql=f"""
+WITH rd AS (SELECT sample, transcript, length, flag, cast(t AS DOUBLE) AS value FROM reads),
+{bootstrap_mean_sql("rd", ["sample"], _READ_IDENTITY, "value", 50, 721, 5000)}
+{interval_sql("sample", 4)}""")
 def bootstrap_large_group(t: Tables) -> DataFrame:
     """The mean of one column over whole libraries, resampled bucket by bucket."""
 
     rows = t("reads").select("sample", "transcript", "length", "flag",
                              F.col("t").cast("double").alias("value"))
-    return rounded(bootstrap_mean_ci(rows, ["sample"], ["transcript", "length", "flag", "value"],
-                                     "value", 50), 4)
-
-
-@query("control_outcomes")
+    return rounded(bootstrap_mean_ci(rows, ["sample"], _READ_IDENTITY, "value", 50,
+                                     bucket_rows=5000), 4)
+
+
+@query("control_outcomes", sql=f"""
+WITH {GAINS_SQL}, lk AS (SELECT a.drug, a.round, b.gain - a.gain AS gain FROM gains a JOIN gains b
+  ON b.drug = a.drug AND b.round = a.round AND b.model = 'K2' WHERE a.model = 'K1'),
+cs AS (SELECT 'grouped_gain' AS control, drug, round, gain FROM gains WHERE model = 'K1'
+  UNION ALL SELECT 'global', drug, round, gain FROM gains WHERE model = 'K2'
+  UNION ALL SELECT 'grouped_split_leakage', drug, round, gain FROM lk),
+{bootstrap_mean_sql("cs", ["control", "drug"], ["round"], "gain", 1000, 721, named=["drug"])}
+SELECT control, CASE WHEN control = 'grouped_gain' THEN drug ELSE 'worst case' END AS drug,
+  round(point, 6) AS gain, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high,
+  ci_low <= 0 AND ci_high >= 0 AS includes_zero FROM spread
+QUALIFY row_number() OVER (PARTITION BY control ORDER BY point DESC, drug) = 1""")
 def control_outcomes(t: Tables) -> DataFrame:
     gains = ev.improvement(scored_rounds(t), ["drug"])
     one, two = gains.where("model = 'K1'"), gains.where("model = 'K2'")
     return rounded(ev.control_outcomes(one, {"global": two}, two, draws=1000))
 
 
-@query("head_to_head_intervals")
+@query("head_to_head_intervals", sql=f"""
+WITH {GAINS_SQL}, gs AS (SELECT drug, 'none' AS shuffle, model, round, gain FROM gains),
+{bootstrap_mean_sql("gs", ["drug", "shuffle", "model"], ["round"], "gain", 1000, 721)},
+b AS (SELECT drug, avg(r2) AS r2 FROM m WHERE model = 'B' GROUP BY 1)
+SELECT s.drug, shuffle, model, round(point, 6) AS gain, round(ci_low, 6) AS ci_low,
+  round(ci_high, 6) AS ci_high, NOT (ci_low <= 0 AND ci_high >= 0) AS excludes_zero,
+  round(r2, 6) AS baseline_r2, 0.9::DOUBLE AS ceiling, round(0.9 - r2, 6) AS headroom,
+  round(CASE WHEN 0.9 - r2 <> 0 THEN point / (0.9 - r2) END, 6) AS share_of_headroom
+FROM spread s JOIN b ON b.drug = s.drug""")
 def head_to_head_intervals(t: Tables) -> DataFrame:
     scored = scored_rounds(t).withColumn("shuffle", F.lit("none"))
     ceilings = scored.select(F.col("drug").alias("treatment")).distinct().withColumn(

@@ -15,7 +15,7 @@ from stopscan.operators import effects as eff
 from stopscan.operators import footprints as fp
 from stopscan.operators import native_stops as nat
 from stopscan.operators import payloads as pay
-from stopscan.operators.resampling import bootstrap_mean_ci, bootstrap_sums
+from stopscan.operators.resampling import STEP, bootstrap_mean_ci, bootstrap_sums, mixed
 
 COUNTS = ("transcript string, sample string, length int, extension int, l_cds int, l_utr3 int, "
           + ", ".join(f"{c} bigint" for c in COUNT_COLUMNS))
@@ -226,6 +226,20 @@ def test_bucketed_bootstrap_is_a_multinomial_resample(spark):
     assert ci.ci_low < ci.point < ci.ci_high and not ci.includes_zero
 
 
+def test_picks_are_spread_and_repeat_in_plain_integers():
+    draws, slots = np.arange(2000, dtype=np.int64)[:, None], np.arange(10, dtype=np.int64)[None, :]
+    picks = mixed(721, 5, 0, draws, slots) % 10
+    counts = np.bincount(picks.ravel(), minlength=10)
+    assert ((counts - 2000) ** 2 / 2000).sum() < 30
+    # Slots of one draw, and one slot of neighbouring draws, are as good as unrelated.
+    assert abs(np.corrcoef(picks[:, 0], picks[:, 1])[0, 1]) < 0.08
+    assert abs(np.corrcoef(picks[:-1, 3], picks[1:, 3])[0, 1]) < 0.08
+    found, prime = 0, (1 << 31) - 1
+    for number in (721, 5, 0, 17, 3, 0):
+        found = pow(found + number + STEP, 5, prime)
+    assert picks[17, 3] == found % 10
+
+
 def test_codon_occupancy_counts_empty_positions(spark):
     sequence = "ATG" + "AAA" * 3 + "CCC" * 40 + "GGG" * 40 + "TAA" + "C" * 30
     annotation = spark.createDataFrame([("t", 0, len(sequence) - 30, 30)],

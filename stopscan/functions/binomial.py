@@ -6,8 +6,9 @@ needs; Spark does the counting, and a fit sees at most one row per pattern.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,9 @@ import pandas as pd
 FACTORS = {"stop": "stop_type", "up": "up_123nt", "down": "down_123nt"}
 NUMERIC = ("k_up", "k_down")
 RANK_TOLERANCE = 1e-7
+DEVIANCE_TOLERANCE = 1e-10
+#: Steps a fit may take; one that stops here is reported as not converged.
+STEPS = 100
 
 Terms = tuple[tuple[str, ...], ...]
 
@@ -61,50 +65,78 @@ def design(cells: pd.DataFrame, terms: Terms, levels: dict[str, list[str]]
     return np.concatenate(blocks, axis=1), names
 
 
-def identifiable(matrix: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Columns that are not combinations of earlier ones: the later of a dependent set is dropped."""
+def independent(weighted: np.ndarray) -> np.ndarray:
+    """Columns that are not combinations of earlier ones: the later of a dependent set is dropped.
 
-    weighted = matrix * np.sqrt(rows)[:, None]
-    scale = np.maximum(np.linalg.norm(weighted, axis=0), 1.0)
-    live = np.flatnonzero(np.linalg.norm(weighted, axis=0) > RANK_TOLERANCE)
-    if len(live) > len(weighted):
-        weighted = np.vstack([weighted, np.zeros((len(live) - len(weighted), matrix.shape[1]))])
-    residual = np.abs(np.diag(np.linalg.qr(weighted[:, live], mode="r")))
-    return live[residual > RANK_TOLERANCE * scale[live]]
+    Only lengths and angles of columns count, so a design's triangular factor, or those of its parts
+    one above the other, give the same answer. After a dependent column the rest is factored anew, so
+    that its rounding noise takes nothing from the columns behind it.
+    """
 
+    norms = np.linalg.norm(weighted, axis=0)
+    columns = np.flatnonzero(norms > RANK_TOLERANCE)
+    rest, kept = weighted[:, columns], []
+    while len(columns) and len(rest):
+        rest = np.linalg.qr(rest, mode="r")
+        length = np.zeros(len(columns))
+        length[:len(rest)] = np.abs(np.diag(rest))
+        short = np.flatnonzero(length <= RANK_TOLERANCE * np.maximum(norms[columns], 1.0))
+        stop = short[0] if len(short) else len(columns)
+        kept.append(columns[:stop])
+        rest, columns = rest[stop:, stop + 1:], columns[stop + 1:]
+    return np.concatenate(kept) if kept else np.zeros(0, dtype=int)
 
-def _deviance(rows: np.ndarray, y: np.ndarray, mu: np.ndarray) -> float:
+
+def triangle(matrix: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The triangular factor of a design, each cell weighted by its rows."""
+
+    return np.linalg.qr(matrix * np.sqrt(rows)[:, None], mode="r")
+
+
+def normal_sums(matrix: np.ndarray, rows: np.ndarray, y: np.ndarray,
+                beta: np.ndarray | None) -> np.ndarray:
+    """Cross products, right-hand side and deviance of one step at `beta`, in one array that adds up."""
+
+    if beta is None:
+        mu = (y + 0.5) / 2.0
+        eta = np.log(mu / (1.0 - mu))
+    else:
+        eta = np.clip(matrix @ beta, -36.0, 36.0)
+        mu = 1.0 / (1.0 + np.exp(-eta))
+    spread = np.clip(mu * (1.0 - mu), 1e-12, None)
+    weighted = matrix * (rows * spread)[:, None]
     with np.errstate(divide="ignore", invalid="ignore"):
         up = np.where(y > 0, y * np.log(y / mu), 0.0)
         down = np.where(y < 1, (1 - y) * np.log((1 - y) / (1 - mu)), 0.0)
-    return float(2.0 * np.sum(rows * (up + down)))
-
-
-def solve(matrix: np.ndarray, rows: np.ndarray, y: np.ndarray, tolerance: float = 1e-10,
-          limit: int = 100) -> np.ndarray:
-    """Coefficients by reweighted least squares."""
-
-    mu = (y + 0.5) / 2.0
-    eta = np.log(mu / (1.0 - mu))
-    before = np.inf
-    beta = np.zeros(matrix.shape[1])
-    for _ in range(limit):
-        spread = np.clip(mu * (1.0 - mu), 1e-12, None)
-        weight = rows * spread
-        target = eta + (y - mu) / spread
-        root = np.sqrt(weight)
-        gram = matrix.T @ (matrix * weight[:, None])
+    return np.concatenate([(matrix.T @ weighted).ravel(), weighted.T @ (eta + (y - mu) / spread),
+                           [2.0 * float(rows @ (up + down))]])
+
+
+@dataclass(frozen=True)
+class Progress:
+    """Where a fit stands: `done` at the deviance tolerance, which is `converged`, or at the limit."""
+
+    beta: np.ndarray | None = None
+    deviance: float = np.inf
+    steps: int = 0
+    done: bool = False
+    converged: bool = False
+
+    def after(self, sums: np.ndarray) -> Progress:
+        """The fit after the sums of all its cells at `beta`."""
+
+        now = float(sums[-1]) if self.steps else np.inf
+        if abs(self.deviance - now) <= DEVIANCE_TOLERANCE * max(1.0, abs(now)):
+            return replace(self, done=True, converged=True)
+        if self.steps == STEPS:
+            return replace(self, done=True)
+        size = (math.isqrt(4 * len(sums) - 3) - 1) // 2
+        gram, side = sums[:size * size].reshape(size, size), sums[size * size:-1]
         try:
-            beta = np.linalg.solve(gram, matrix.T @ (weight * target))
+            beta = np.linalg.solve(gram, side)
         except np.linalg.LinAlgError:
-            beta = np.linalg.lstsq(matrix * root[:, None], target * root, rcond=None)[0]
-        eta = np.clip(matrix @ beta, -36.0, 36.0)
-        mu = 1.0 / (1.0 + np.exp(-eta))
-        now = _deviance(rows, y, mu)
-        if abs(before - now) <= tolerance * max(1.0, abs(now)):
-            break
-        before = now
-    return beta
+            beta = np.linalg.lstsq(gram, side, rcond=None)[0]
+        return Progress(beta, now, self.steps + 1)
 
 
 @dataclass(frozen=True)
@@ -114,6 +146,7 @@ class CellFit:
     kept: np.ndarray
     names: list[str]
     beta: np.ndarray
+    converged: bool
 
     def known(self, cells: pd.DataFrame) -> np.ndarray:
         found = np.ones(len(cells), dtype=bool)
@@ -131,12 +164,14 @@ def fit_cells(cells: pd.DataFrame, rows: Sequence[float], response: Sequence[flo
     """Fit one formula on cells with `rows` observations summing to `response`."""
 
     n = np.asarray(rows, dtype=float)
-    y = np.asarray(response, dtype=float) / n
+    y = np.clip(np.asarray(response, dtype=float) / n, 0.0, 1.0)
     levels = levels_of(cells)
     matrix, names = design(cells, terms, levels)
-    kept = identifiable(matrix, n)
-    return CellFit(terms, levels, kept, [names[i] for i in kept],
-                   solve(matrix[:, kept], n, np.clip(y, 0.0, 1.0)))
+    kept = independent(triangle(matrix, n))
+    matrix, at = matrix[:, kept], Progress()
+    while not at.done:
+        at = at.after(normal_sums(matrix, n, y, at.beta))
+    return CellFit(terms, levels, kept, [names[i] for i in kept], at.beta, at.converged)
 
 
 def squared_correlation(predicted: np.ndarray, n: np.ndarray, y: np.ndarray,

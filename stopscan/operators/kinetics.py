@@ -13,8 +13,8 @@ from stopscan.functions.binomial import MODELS, Terms, squared_correlation
 from stopscan.functions.fixed import PERMUTATIONS_REQUIRED, ROUNDS, SEED, SENSE_CODONS
 from stopscan.functions.nucleotides import as_dna, residue
 from stopscan.functions.scalars import half_even
-from stopscan.operators.model import evaluate, fit_fold, fold_cells
-from stopscan.operators.ranking import hashed_rank
+from stopscan.operators.model import CELL, KINETIC, evaluate, fit_fold, fold_cells
+from stopscan.operators.permutation import numbered, permuted
 
 FAMILIES = ("global", "within_gene", "context_matched")
 
@@ -95,17 +95,12 @@ def permuted_scores(scores: DataFrame, family: str, permutations: DataFrame,
 
 def shuffled_within_gene(attached: DataFrame, keys: Sequence[str] = ("drug",),
                          seed: int = SEED) -> DataFrame:
-    """Permute the kinetic pair among a gene's rows, every other column left in place.
-
-    Rows are numbered twice inside a gene by two hash orders, and row `i` of one order takes the
-    pair of row `i` of the other. A gene with a large share of the rows spreads over hash blocks.
-    """
+    """Permute the kinetic pair among a gene's rows, every other column left in place."""
 
     group = [*keys, "gene"]
-    placed = hashed_rank(attached, group, ["row"], f"{seed}|to", "_at")
-    given = hashed_rank(attached.select(*group, "row", "k_up", "k_down"), group, ["row"],
-                        f"{seed}|from", "_at").select(*group, "_at", "k_up", "k_down")
-    return placed.drop("k_up", "k_down").join(given, [*group, "_at"]).drop("_at")
+    rows = numbered(attached, group, ["row"], seed)
+    return permuted(rows, group, ["k_up", "k_down"], F.array(F.lit(0).cast("bigint")), seed).drop(
+        "permutation")
 
 
 def head_to_head(marked: DataFrame, scores: DataFrame, kind: str | None = None,
@@ -179,12 +174,12 @@ def null_gains(marked: DataFrame, scores: DataFrame, baseline: DataFrame, indice
         for permutation, one in moved.groupby("permutation"):
             score = dict(zip(one["codon"], one["occupancy"]))
             used = rows.assign(k_up=up.map(score), k_down=down.map(score))
-            test, predicted = fit_fold(used, terms)
+            test, fitted = fit_fold(used, terms)
             n = test["n_test"].to_numpy(dtype=float)
             found.append({
                 "shuffle": one["_u_shuffle"].iloc[0], "permutation": permutation,
                 "drug": rows["drug"].iloc[0], "round": rows["round"].iloc[0],
-                "r2": squared_correlation(predicted, n, test["y_test"].to_numpy(),
+                "r2": squared_correlation(fitted.predict(test), n, test["y_test"].to_numpy(),
                                           test["yy_test"].to_numpy())})
         return pd.DataFrame(found)
 
@@ -203,14 +198,14 @@ def null_gains(marked: DataFrame, scores: DataFrame, baseline: DataFrame, indice
 
 def _within_gene_scores(marked: DataFrame, scores: DataFrame, permutations: DataFrame, seed: int,
                         rounds: int) -> DataFrame:
-    asked = permutations.agg(F.collect_list("permutation")).scalar()
-    repeated = attach(marked, scores).withColumn("permutation", F.explode(asked))
-    group = ["permutation", "drug", "gene"]
-    to = hashed_rank(repeated, group, ["permutation", "row"], f"{seed + 1}|to", "_at")
-    given = hashed_rank(repeated.select(*group, "row", "k_up", "k_down"), group,
-                        ["permutation", "row"], f"{seed + 1}|from", "_at")
-    moved = to.drop("k_up", "k_down").join(
-        given.select(*group, "_at", "k_up", "k_down"), [*group, "_at"])
+    """K1 under each permutation. The library is numbered and shuffled once; a permutation is arithmetic
+    in the row, and what leaves a task is its cells."""
+
+    group = ["drug", "gene"]
+    used = attach(marked, scores).select(*group, "row", *CELL, "RT_binomial", "folds", *KINETIC)
+    rows = numbered(used, group, ["row"], seed + 1).drop("row")
+    moved = permuted(rows, group, KINETIC, permutations.agg(F.collect_list("permutation")).scalar(),
+                     seed + 1)
     keys = ("permutation", "drug")
     cells = fold_cells(moved, keys, ("k_up", "k_down"), rounds)
     return evaluate(cells, keys, {"K1": MODELS["K1"]}).select(
@@ -225,9 +220,16 @@ def repeated_permutations(null: DataFrame) -> DataFrame:
 
 
 def familywise_pvalues(observed: DataFrame, null: DataFrame) -> DataFrame:
-    """Each drug's gain against the largest gain any drug reached under the same mapping."""
+    """Each drug's gain against the largest gain any drug reached under the same mapping.
+
+    A permutation written twice for a drug would be counted twice and is an error.
+    """
 
-    maxima = null.groupBy("shuffle", "permutation").agg(F.max("gain").alias("largest"))
+    once = null.groupBy("shuffle", "permutation", "drug").agg(
+        F.when(F.count(F.lit(1)) == 1, F.max("gain")).otherwise(F.raise_error(F.concat_ws(
+            " ", F.lit("permutation written more than once:"), "shuffle",
+            F.col("permutation").cast("string"), "drug"))).alias("gain"))
+    maxima = once.groupBy("shuffle", "permutation").agg(F.max("gain").alias("largest"))
     shape = maxima.groupBy("shuffle").agg(
         F.count(F.lit(1)).alias("permutations"), F.avg("largest").alias("null_mean"),
         F.stddev_samp("largest").alias("null_sd"), F.max("largest").alias("null_max"))

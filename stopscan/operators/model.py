@@ -12,6 +12,7 @@ from stopscan.functions.binomial import (
     BASELINE_TERMS,
     FACTORS,
     MODELS,
+    CellFit,
     Terms,
     fit_cells,
     squared_correlation,
@@ -25,7 +26,8 @@ from stopscan.session import cut_lineage
 
 CELL = tuple(FACTORS.values())
 KINETIC = ("k_up", "k_down")
-GROUPED_CELLS = 100_000
+#: Cells of one fit that one task holds; a fit of more adds its sums up over as many tasks as it needs.
+TASK_CELLS = 100_000
 
 
 def training_cells(features: DataFrame, keys: Sequence[str] = ("therapy_id",)) -> DataFrame:
@@ -63,20 +65,21 @@ def fit(features: DataFrame, keys: Sequence[str] = ("therapy_id",),
 
 def coefficients(features: DataFrame, keys: Sequence[str] = ("therapy_id",),
                  terms: Terms = BASELINE_TERMS) -> DataFrame:
-    """`(keys, term, estimate)` for the identifiable columns."""
+    """`(keys, term, estimate, converged)` for the identifiable columns."""
 
     cells = training_cells(features, keys)
     names = list(keys)
 
     def listed(rows: pd.DataFrame) -> pd.DataFrame:
         fitted = fit_cells(rows, rows["n"], rows["y"], terms)
-        out = pd.DataFrame({"term": fitted.names, "estimate": fitted.beta})
+        out = pd.DataFrame({"term": fitted.names, "estimate": fitted.beta,
+                            "converged": fitted.converged})
         for position, k in enumerate(names):
             out.insert(position, k, rows[k].iloc[0])
         return out
 
     return cells.groupBy(*keys).applyInPandas(listed, _schema(
-        cells, keys, "term string, estimate double"))
+        cells, keys, "term string, estimate double, converged boolean"))
 
 
 def relative_error(held_out: DataFrame, keys: Sequence[str] = ("therapy_id",),
@@ -139,14 +142,14 @@ def fold_cells(marked: DataFrame, keys: Sequence[str] = ("therapy_id",),
         F.when(rest, F.col("yy") - F.col("_yy")).otherwise(0.0).alias("yy_test"))
 
 
-def fit_fold(rows: pd.DataFrame, terms: Terms) -> tuple[pd.DataFrame, pd.Series]:
-    """One round's held-out cells whose levels were all seen, and their predictions."""
+def fit_fold(rows: pd.DataFrame, terms: Terms) -> tuple[pd.DataFrame, CellFit]:
+    """One round's held-out cells whose levels were all seen, and the fit."""
 
     train = rows[rows["n_train"] > 0]
     fitted = fit_cells(train, train["n_train"], train["y_train"], terms)
     test = rows[(rows["n_test"] > 0)]
     test = test[fitted.known(test)]
-    return test, fitted.predict(test)
+    return test, fitted
 
 
 def trains(rows: pd.DataFrame) -> bool:
@@ -157,35 +160,42 @@ def trains(rows: pd.DataFrame) -> bool:
 
 def evaluate(cells: DataFrame, keys: Sequence[str] = ("therapy_id",),
              models: Mapping[str, Terms] | None = None, derived: bool = False) -> DataFrame:
-    """Held-out r squared and row count of each model in each round.
+    """(keys, round, model, r2, held_out, converged): each model on the rows each round left out.
 
-    Cells of the three factors are at most 3 * 64 * 64 per round and are fitted as a group. Cells
-    told apart by row-level kinetics have no such bound: they are counted first, and a round with
-    more than `GROUPED_CELLS` of them is fitted across tasks. `derived` says the kinetic columns are
-    functions of the cell, which keeps the bound.
+    Cells of the three factors are at most 3 * 64 * 64 per round. Cells told apart by row-level kinetics
+    have no such bound, so a round's cells are counted; where one task cannot hold them, every step of
+    the same iteration is added up over several. `derived` says the kinetic columns are functions of
+    the cell, which keeps the bound. `converged` is false where a fit stopped at its limit of steps.
     """
 
     wanted = dict(models or {"B": MODELS["B"]})
     names = [*keys, "round"]
+    wide = None
     if set(KINETIC) & set(cells.columns) and not derived:
         cells = cut_lineage(cells)
-        largest = cells.groupBy(*names).count().agg(F.max("count")).first()[0]
-        if (largest or 0) > GROUPED_CELLS:
-            return evaluate_wide(cells, names, wanted)
+        sizes = cells.groupBy(*names).count().where(F.col("count") > TASK_CELLS)
+        largest = sizes.agg(F.max("count")).first()[0]
+        if largest:
+            large = sizes.select(*names)
+            wide = evaluate_wide(cells.join(large, names, "left_semi"), names, wanted,
+                                 -(-largest // TASK_CELLS))
+            cells = cells.join(large, names, "left_anti")
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         found = []
         for name, terms in wanted.items() if trains(rows) else ():
-            test, predicted = fit_fold(rows, terms)
+            test, fitted = fit_fold(rows, terms)
             n = test["n_test"].to_numpy(dtype=float)
             found.append({**{k: rows[k].iloc[0] for k in names}, "model": name,
-                          "r2": squared_correlation(predicted, n, test["y_test"].to_numpy(),
+                          "r2": squared_correlation(fitted.predict(test), n,
+                                                    test["y_test"].to_numpy(),
                                                     test["yy_test"].to_numpy()),
-                          "held_out": int(n.sum())})
-        return pd.DataFrame(found, columns=[*names, "model", "r2", "held_out"])
+                          "held_out": int(n.sum()), "converged": fitted.converged})
+        return pd.DataFrame(found, columns=[*names, "model", "r2", "held_out", "converged"])
 
-    return cells.groupBy(*names).applyInPandas(one, _schema(
-        cells, names, "model string, r2 double, held_out bigint"))
+    near = cells.groupBy(*names).applyInPandas(one, _schema(
+        cells, names, "model string, r2 double, held_out bigint, converged boolean"))
+    return near if wide is None else near.unionByName(wide)
 
 
 def held_out_predictions(marked: DataFrame, keys: Sequence[str] = ("therapy_id",),
@@ -198,9 +208,9 @@ def held_out_predictions(marked: DataFrame, keys: Sequence[str] = ("therapy_id",
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         if not trains(rows):
             return rows[[*names, *CELL]].head(0).assign(predicted=0.0)
-        test, predicted = fit_fold(rows, terms)
+        test, fitted = fit_fold(rows, terms)
         out = test[[*names, *CELL]].copy()
-        out["predicted"] = predicted
+        out["predicted"] = fitted.predict(test)
         return out
 
     grid = cells.groupBy(*names).applyInPandas(one, _schema(
@@ -248,7 +258,8 @@ def stratified_gain(cells: DataFrame, keys: Sequence[str] = ("therapy_id",),
         strata[support == 0] = unsupported
         found = []
         for name, terms in wanted.items() if trains(rows) else ():
-            test, predicted = fit_fold(rows, terms)
+            test, fitted = fit_fold(rows, terms)
+            predicted = fitted.predict(test)
             inside = strata.reindex(test.index).to_numpy()
             for stratum in SUPPORT_STRATA:
                 at = inside == stratum

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopscan.session import cut_lineage
@@ -40,6 +40,18 @@ def mixed(*numbers: int | np.ndarray) -> np.ndarray:
     return found
 
 
+def mixed_column(*numbers: Column) -> Column:
+    """The same number as `mixed`, in the row."""
+
+    def step(found: Column, number: Column) -> Column:
+        x = (found + number + STEP) % PRIME
+        square = x * x % PRIME
+        return square * square % PRIME * x % PRIME
+
+    zero = F.lit(0).cast("bigint")
+    return F.aggregate(F.array(*[n.cast("bigint") for n in numbers], zero), zero, step)
+
+
 def mixed_sql(*numbers: str) -> str:
     """Select items that give the same number as `mixed`, under the name of the last one."""
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopscan.functions.binomial import MODELS
+from stopscan.functions.fixed import SEED
 from stopscan.operators import contracts as ct
 from stopscan.operators import decay as dec
 from stopscan.operators import evaluation as ev
@@ -15,6 +16,7 @@ from stopscan.operators import payloads as pay
 from stopscan.operators import roadmap as road
 from stopscan.operators import support as sup
 from stopscan.operators.landscape import landscape
+from stopscan.operators.permutation import permuted_sql
 from stopscan.operators.ranking import quantiles
 from stopscan.operators.resampling import bootstrap_mean_ci, bootstrap_mean_sql
 from stopscan.plans.carriers import Tables
@@ -133,7 +135,8 @@ def held_out_predictions(t: Tables) -> DataFrame:
 
 @query("cross_validation", "library", sql=f"""
 WITH {HELD_SQL} SELECT therapy_id, cast(round AS bigint) AS round, 'C' AS model,
-  round(corr(predicted, observed) ** 2, 6) AS r2, count(*) AS held_out FROM held GROUP BY 1, 2""")
+  round(corr(predicted, observed) ** 2, 6) AS r2, count(*) AS held_out, TRUE AS converged
+FROM held GROUP BY 1, 2""")
 def cross_validation(t: Tables) -> DataFrame:
     return rounded(mod.evaluate(mod.fold_cells(folds(t)), models=CELLS))
 
@@ -322,13 +325,10 @@ def permuted_scores_context_matched(t: Tables) -> DataFrame:
     return permuted(t, "context_matched")
 
 
-@query("shuffle_within_gene", "library", sql="""
-WITH k AS (SELECT drug, gene, row, RT_binomial AS ku, RT_binomial * 2 AS kd,
-  row_number() OVER (PARTITION BY drug, gene ORDER BY md5('721|to|' || cast(row AS varchar))) AS a,
-  row_number() OVER (PARTITION BY drug, gene ORDER BY md5('721|from|' || cast(row AS varchar)))
-    AS b FROM library)
-SELECT x.drug, x.gene, x.row, round(y.ku, 6) AS k_up, round(y.kd, 6) AS k_down
-FROM k x JOIN k y ON y.drug = x.drug AND y.gene = x.gene AND y.b = x.a""")
+@query("shuffle_within_gene", "library", sql=f"""
+WITH k AS (SELECT drug, gene, row, RT_binomial AS ku, RT_binomial * 2 AS kd FROM library),
+{permuted_sql("k", ("drug", "gene"), ("ku", "kd"), SEED)}
+SELECT drug, gene, row, round(ku, 6) AS k_up, round(kd, 6) AS k_down FROM moved""")
 def shuffle_within_gene(t: Tables) -> DataFrame:
     attached = t("library").select("drug", "gene", "row", F.col("RT_binomial").alias("k_up"),
                                    (F.col("RT_binomial") * 2).alias("k_down"))

@@ -7,11 +7,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stopscan.functions.binomial import MODELS, fit_cells, identifiable, squared_correlation
+from stopscan.functions import binomial
+from stopscan.functions.binomial import MODELS, fit_cells, independent, squared_correlation
 from stopscan.operators import evaluation as ev
 from stopscan.operators import kinetics as kin
 from stopscan.operators import model as mod
-from stopscan.operators import selection
+from stopscan.operators import permutation as perm
+from stopscan.operators import selection, wide_fits
 from stopscan.streaming import incremental as inc
 
 STOPS, UPS, DOWNS = ("uaa", "uag", "uga"), ("aaa", "ccg", "gga"), ("aac", "cuu", "ggg")
@@ -37,8 +39,8 @@ def features(spark, library):
 
 def test_a_later_dependent_column_is_dropped():
     x = np.array([[1.0, 0, 1, 2], [0, 1, 1, 0], [1, 1, 2, 1], [0, 0, 0, 3]])
-    assert list(identifiable(x, np.ones(4))) == [0, 1, 3]
-    assert list(identifiable(np.array([[1.0, 0], [2, 0]]), np.ones(2))) == [0]
+    assert list(independent(x)) == [0, 1, 3]
+    assert list(independent(np.array([[1.0, 0], [2, 0]]))) == [0]
 
 
 def test_cells_give_the_row_level_likelihood(library):
@@ -182,6 +184,76 @@ def test_within_gene_moves_pairs_together(features, scores, library):
     assert (joined.up_123nt_x == joined.up_123nt_y).all()
 
 
+def test_every_permutation_is_a_bijection_in_both_layouts(spark, features, scores, library):
+    rows = perm.numbered(kin.attach(features, scores).withColumn("k_up", F.col("row").cast("double")),
+                         ["drug", "gene"], ["row"], 5)
+    asked = F.array(*[F.lit(p).cast("bigint") for p in range(4)])
+    near, far, some = (perm.permuted(rows, ["drug", "gene"], ["k_up", "k_down"], asked, 5, n)
+                       .toPandas().sort_values(["permutation", "row"]).reset_index(drop=True)
+                       for n in (4096, 0, 38))
+    assert len(near) == 4 * len(library)
+    pd.testing.assert_frame_equal(near, far)
+    pd.testing.assert_frame_equal(near, some)
+    for _, one in near.groupby(["permutation", "drug", "gene"]):
+        assert sorted(one.k_up) == sorted(one.row)
+    stayed = (near.k_up == near.row).mean()
+    assert 0.01 < stayed < 0.06  # A random permutation keeps one row of a gene, of 37 or so.
+    wide = near.pivot(index="row", columns="permutation", values="k_up")
+    assert all((wide[a] == wide[b]).mean() < 0.06 for a in range(4) for b in range(a))
+
+
+def test_a_permutation_is_worked_out_without_a_shuffle_of_its_own(features, scores):
+    rows = perm.numbered(kin.attach(features, scores), ["drug", "gene"], ["row"], 5)
+
+    def shuffles(permutations):
+        out = perm.permuted(rows, ["drug", "gene"], ["k_up", "k_down"],
+                            F.sequence(F.lit(0).cast("bigint"), F.lit(permutations)), 5)
+        return out._jdf.queryExecution().executedPlan().toString()
+
+    plan = shuffles(50)
+    near = plan[:plan.index("SortMergeJoin")] if "SortMergeJoin" in plan else plan
+    assert near.count("Exchange hashpartitioning") + near.count("REPARTITION_BY_NUM") >= 1
+    assert near.index("Generate") < near.index("Exchange")  # Exploded above the only exchange.
+
+
+def test_pairs_of_numbers_part_company(spark):
+    """Where two neighbours of 40 land is near uniform over pairs: a chi-square over 4 x 4 cells."""
+
+    rows = spark.range(40).selectExpr("id AS row", "'a' AS g", "id AS v", "id AS _at", "40L AS _n")
+    asked = F.sequence(F.lit(0).cast("bigint"), F.lit(1999))
+    found = perm.permuted(rows, ["g"], ["v"], asked, 3).where("row < 2").toPandas().pivot(
+        index="permutation", columns="row", values="v") // 10
+    cells = found.groupby([0, 1]).size().to_numpy()
+    wanted = np.where(np.eye(4).ravel() == 1, 10 * 9, 10 * 10) / (40 * 39) * 2000
+    assert ((cells - wanted) ** 2 / wanted).sum() < 37.7  # 15 degrees of freedom, one in a thousand
+
+
+def test_a_permutation_written_twice_is_an_error(spark):
+    null = spark.createDataFrame([("f", 1, "x", 0.1), ("f", 1, "x", 0.1)],
+                                 "shuffle string, permutation bigint, drug string, gain double")
+    observed = spark.createDataFrame([("x", 0.3)], "drug string, gain double")
+    with pytest.raises(Exception, match="permutation written more than once: f 1 x"):
+        kin.familywise_pvalues(observed, null).collect()
+
+
+def test_a_dependent_column_takes_nothing_from_those_behind_it():
+    """The third column repeats the first; what is left of the fourth lies where its noise would."""
+
+    x = np.array([[1.0, 0, 1, 0], [0, 1, 0, 0], [0, 0, 0, 1], [0, 0, 0, 0]])
+    assert list(independent(x)) == [0, 1, 3]
+    halves = [np.linalg.qr(part, mode="r") for part in (x[:2], x[2:])]
+    assert list(independent(np.vstack(halves))) == [0, 1, 3]
+
+
+def test_a_fit_at_its_limit_is_reported(library, monkeypatch):
+    one = library[library.drug == "D"]
+    cells = one.groupby(["stop_type", "up_123nt", "down_123nt"])["RT_binomial"].agg(
+        ["size", "sum"]).reset_index()
+    assert fit_cells(cells, cells["size"], cells["sum"], MODELS["S"]).converged
+    monkeypatch.setattr(binomial, "STEPS", 1)
+    assert not fit_cells(cells, cells["size"], cells["sum"], MODELS["S"]).converged
+
+
 def test_baseline_ignores_every_shuffle(features, scores):
     marked = ev.mark_folds(features, "grouped_by_gene", ("drug",), rounds=2)
     base = None
@@ -257,8 +329,10 @@ def test_fits_across_tasks_equal_grouped_fits(features, scores, monkeypatch):
     marked = ev.mark_folds(features, "grouped_by_gene", ("drug",), rounds=2)
     models = {m: MODELS[m] for m in ("B", "K1")}
     grouped = kin.head_to_head(marked, scores, "within_gene", models, rounds=2).toPandas()
-    monkeypatch.setattr(mod, "GROUPED_CELLS", 0)
+    monkeypatch.setattr(mod, "TASK_CELLS", 20)
+    monkeypatch.setattr(wide_fits, "FITS_AT_ONCE", 3)
     wide = kin.head_to_head(marked, scores, "within_gene", models, rounds=2).toPandas()
     both = grouped.merge(wide, on=["drug", "round", "model"])
     assert len(both) == 8 and (both.held_out_x == both.held_out_y).all()
-    assert both.r2_x.to_numpy() == pytest.approx(both.r2_y.to_numpy(), abs=1e-6)
+    assert both.r2_x.to_numpy() == pytest.approx(both.r2_y.to_numpy(), abs=1e-9)
+    assert both.converged_x.all() and both.converged_y.all()

@@ -18,8 +18,9 @@ from stopscan.functions.fixed import (
 )
 from stopscan.functions.nucleotides import codons_of, residue
 from stopscan.functions.scalars import ratio
+from stopscan.operators.effects import treated_libraries
 from stopscan.operators.ranking import quantiles
-from stopscan.session import cut_lineage
+from stopscan.session import cut_lineage, refuse
 
 
 def scorable_windows(annotation: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -100,6 +101,18 @@ def aggregate_libraries(tables: DataFrame) -> DataFrame:
         F.min("positions").alias("positions"), F.count(F.lit(1)).alias("libraries"))
 
 
+def control_table(counts: DataFrame, arms: DataFrame, control: str, windows: DataFrame,
+                  site: str = "a", **floors) -> DataFrame:
+    """The codon table of control libraries, as a feature that may predict response to a treatment.
+
+    Built from a treated library it would be circular: a library that `arms` does not name, or names
+    under another treatment, is an error, found before any codon is counted.
+    """
+
+    refuse(treated_libraries(counts, arms, control), "not control libraries, so no codon feature")
+    return aggregate_libraries(library_table(counts, windows, site, **floors))
+
+
 def extremes(table: DataFrame, n: int = 5) -> DataFrame:
     """The slowest and fastest codons; the table has 61 rows per site."""
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,7 +15,11 @@ from stopscan.functions.fixed import AMINO_ACIDS
 from stopscan.functions.scalars import half_even, met
 from stopscan.operators.landscape import conservative
 from stopscan.operators.variants import named_entities
-from stopscan.session import cut_lineage
+from stopscan.session import cut_lineage, within
+
+
+#: Pairs of signature and design that one task holds when it finishes a greedy order.
+TASK_PAIRS = 200_000
 
 
 def design_id() -> Column:
@@ -53,13 +60,37 @@ def _finished(steps: DataFrame) -> DataFrame:
                  .otherwise("")).drop("_last")
 
 
+def lazy_gains(pairs: pd.DataFrame) -> pd.DataFrame:
+    """`(design_id, marginal)` of the greedy order of a few designs, those that add something.
+
+    A design's last known gain bounds its gain from above, since gains never grow; only the design at
+    the top of the heap is counted anew, and it is taken when its bound was right.
+    """
+
+    size = dict(zip(pairs["signature"], pairs["elements"]))
+    held = pairs.groupby("design_id")["signature"].agg(list).to_dict()
+    heap = [(-sum(size[s] for s in mine), d) for d, mine in held.items()]
+    heapq.heapify(heap)
+    taken = []
+    while heap:
+        bound, d = heapq.heappop(heap)
+        gain = -sum(size[s] for s in held[d])
+        if gain == bound:
+            taken.append((d, -gain))
+            size.update(dict.fromkeys(held[d], 0))
+        elif gain:
+            heapq.heappush(heap, (gain, d))
+    return pd.DataFrame(taken, columns=["design_id", "marginal"])
+
+
 def greedy_panel(sets: DataFrame) -> DataFrame:
     """The greedy maximum-coverage order of a set family, ties to the smaller id.
 
-    Elements are first collapsed to the set of designs that hold them. A design that comes first
-    among all designs it shares an uncovered element with keeps its gain until the greedy order
-    reaches it, so every such design is settled in one round, however many there are; gains never
-    grow, so the order is their sort. A disjoint family takes one round.
+    Elements are first collapsed to the set of designs that hold them. While the signatures left are
+    more than one task should hold, every design that comes first among all designs it shares an
+    uncovered element with is settled, however many there are: it keeps its gain until the greedy
+    order reaches it. What then fits a task is finished there. Gains never grow, so the order is
+    their sort.
     """
 
     signatures = (
@@ -68,7 +99,7 @@ def greedy_panel(sets: DataFrame) -> DataFrame:
     numbered = cut_lineage(signatures.withColumn("signature", F.monotonically_increasing_id()))
     left = numbered.select("signature", F.explode("by").alias("design_id"), "elements")
     settled = []
-    while not left.isEmpty():
+    while not within(left, TASK_PAIRS):
         gains = left.groupBy("design_id").agg(
             F.sum("elements").alias("marginal"), F.count(F.lit(1)).alias("held"))
         first = cut_lineage(left.join(gains, "design_id").groupBy("signature").agg(
@@ -80,7 +111,7 @@ def greedy_panel(sets: DataFrame) -> DataFrame:
         settled.append(chosen)
         covered = first.join(chosen, "design_id", "left_semi")
         left = cut_lineage(left.join(covered, "signature", "left_anti"))
-    sizes = left.select("design_id", F.col("elements").alias("marginal"))
+    sizes = left.groupBy().applyInPandas(lazy_gains, "design_id string, marginal bigint")
     for chosen in settled:
         sizes = sizes.unionByName(chosen)
     return _finished(disjoint_panel(sizes))

@@ -720,15 +720,21 @@ tab AS (SELECT l.sample, c.codon, {sql_residue('c.codon')} AS amino_acid,
   LEFT JOIN obs ON obs.sample = l.sample AND obs.codon = c.codon)"""
 
 
-def codon_library(t: Tables, site: str = "a") -> DataFrame:
-    counts = t.table("lineitem").select(
+def codon_counts_of(t: Tables) -> DataFrame:
+    return t.table("lineitem").select(
         F.concat(F.lit("s"), (F.col("l_suppkey") % 6).cast("string")).alias("sample"),
         F.concat(F.lit("t"), F.col("l_partkey").cast("string")).alias("transcript"),
         F.lit(30).alias("length"), (F.col("l_orderkey") % 75).cast("int").alias("codon_index"),
         F.col("l_quantity").cast("bigint").alias("n"))
-    windows = cod.scorable_windows(t("seqs").drop("sequence"),
-                                   t("seqs").select("accession", "sequence"))
-    return cod.library_table(counts, windows, site, lengths=(30,))
+
+
+def codon_windows(t: Tables) -> DataFrame:
+    return cod.scorable_windows(t("seqs").drop("sequence"),
+                                t("seqs").select("accession", "sequence"))
+
+
+def codon_library(t: Tables, site: str = "a") -> DataFrame:
+    return cod.library_table(codon_counts_of(t), codon_windows(t), site, lengths=(30,))
 
 
 @query("codon_occupancy", "seqs", sql=f"""
@@ -753,6 +759,23 @@ def codon_table(t: Tables) -> DataFrame:
     return rounded(cod.aggregate_libraries(codon_library(t)))
 
 
+@query("control_codon_table", "seqs", sql=f"""
+WITH {_codon_sql(1)} SELECT codon, amino_acid, site, round(avg(occupancy), 6) AS occupancy,
+  round(stddev_samp(occupancy), 6) AS occupancy_sd, min(positions) AS positions,
+  count(*) AS libraries FROM tab WHERE sample IN (SELECT 's' || cast(s_suppkey % 6 AS varchar)
+    FROM supplier WHERE s_suppkey % 2 = 0) GROUP BY 1, 2, 3""")
+def control_codon_table(t: Tables) -> DataFrame:
+    """Every second library is the control; the others would be refused."""
+
+    k = F.col("s_suppkey")
+    arms = t.table("supplier").select(
+        F.concat(F.lit("s"), (k % 6).cast("string")).alias("sample"),
+        F.when(k % 2 == 0, "control").otherwise("treated").alias("treatment")).distinct()
+    counts = codon_counts_of(t).join(F.broadcast(arms.where("treatment = 'control'").select(
+        "sample")), "sample", "left_semi")
+    return rounded(cod.control_table(counts, arms, "control", codon_windows(t), lengths=(30,)))
+
+
 @query("codon_extremes", "seqs", sql=f"""
 WITH {_codon_sql(1)}, agg AS (SELECT codon, amino_acid, avg(occupancy) AS occupancy FROM tab
   GROUP BY 1, 2)

@@ -11,6 +11,7 @@ from stopscan.operators import coverage as cov
 from stopscan.operators import intervals as itv
 from stopscan.operators import roadmap as road
 from stopscan.operators import support as sup
+from stopscan.session import cut_lineage
 
 
 def family(spark, sets):
@@ -47,7 +48,21 @@ def test_overlapping_panel_follows_the_greedy_rule_and_its_bound(spark):
     assert empty.count() == 0
 
 
-def test_over_five_thousand_overlapping_designs_are_all_ranked(spark):
+def test_a_chain_of_overlapping_designs_settles_in_one_task(spark, monkeypatch):
+    """Each design shares an element with the next, so only one could be settled at a time."""
+
+    chain = {f"d{i:04d}": (str(i), str(i + 1)) for i in range(2000)}
+    writes = []
+    monkeypatch.setattr(cov, "cut_lineage", lambda df: writes.append(1) or cut_lineage(df))
+    steps = cov.greedy_panel(family(spark, chain)).orderBy("rank").collect()
+    assert [(s.design_id, s.marginal) for s in steps] == [
+        (f"d{i:04d}", 2) for i in range(0, 2000, 2)] + [("d1999", 1)]
+    assert len(writes) == 1
+
+
+@pytest.mark.parametrize("pairs", [0, 5_000, 200_000])
+def test_over_five_thousand_overlapping_designs_are_all_ranked(spark, monkeypatch, pairs):
+    monkeypatch.setattr(cov, "TASK_PAIRS", pairs)
     rng = np.random.default_rng(9)
     sets = {f"d{i}": set(map(int, rng.choice(9000, rng.integers(1, 6), replace=False)))
             for i in range(5200)}

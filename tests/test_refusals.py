@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from stopscan.operators import codons as cod
 from stopscan.operators import footprints as fp
 from stopscan.operators import kinetics as kin
 from stopscan.operators import model as mod
@@ -107,3 +108,21 @@ def test_offsets_beyond_the_bound_are_joined_by_shuffle(spark, monkeypatch):
     two = fp.assign_psites(reads, offsets, annotation)
     assert sorted(map(tuple, one.select("end5", "psite").collect())) == sorted(
         map(tuple, two.select("end5", "psite").collect())) == [(10, 22), (11, 24)]
+
+
+def test_a_codon_feature_is_not_built_from_a_treated_or_unnamed_library(spark):
+    counts = spark.createDataFrame(
+        [(s, "t", 30, 6, 10) for s in ("c", "x", "u")],
+        "sample string, transcript string, length int, codon_index int, n bigint")
+    arms = spark.createDataFrame([("c", "control"), ("x", "drug")], "sample string, treatment string")
+    windows = spark.createDataFrame([("t", "CCC" * 60)], "transcript string, codons string")
+
+    def table(*samples):
+        return cod.control_table(counts.where(F.col("sample").isin(*samples)), arms, "control",
+                                 windows, minimum_psites=1, minimum_codons=1)
+
+    assert table("c").where("positions > 0").count() == 1
+    for samples, named in ((("c", "x"), "sample=x, treatment=drug"),
+                           (("c", "u"), "sample=u, treatment=None")):
+        with pytest.raises(ValueError, match=f"not control libraries.*{named}"):
+            table(*samples)

@@ -15,6 +15,8 @@ from stopscan.functions.nucleotides import as_dna, residue
 from stopscan.functions.scalars import half_even
 from stopscan.operators.model import CELL, KINETIC, evaluate, fit_fold, fold_cells
 from stopscan.operators.permutation import numbered, permuted
+from stopscan.session import cut_lineage
+from stopscan.streaming.incremental import resume
 
 FAMILIES = ("global", "within_gene", "context_matched")
 
@@ -132,6 +134,26 @@ def baseline_scores(marked: DataFrame, keys: Sequence[str] = ("drug",),
         *keys, "round", F.col("r2").alias("baseline_r2"))
 
 
+def kept_baseline(marked: DataFrame, path: str, rounds: int = ROUNDS) -> DataFrame:
+    """The baseline as `baseline_scores` gives it, kept at `path` and computed once per drug.
+
+    A drug's key is a digest of its rows and their folds, so that other rows, labels or splits get
+    entries of their own and every later run on the same ones reads what is there.
+    """
+
+    told = F.xxhash64("row", "folds", *CELL, "RT_binomial").cast("decimal(38,0)")
+    stamps = cut_lineage(marked.groupBy("drug").agg(
+        F.concat_ws("-", F.sum(told).cast("string"), F.count(F.lit(1)).cast("string"),
+                    F.lit(str(rounds))).alias("library")))
+    keys = ["drug", "library"]
+
+    def compute(left: DataFrame) -> DataFrame:
+        own = marked.join(F.broadcast(left), "drug")  # One row per drug.
+        return baseline_scores(own, rounds=rounds).join(F.broadcast(left), "drug")
+
+    return resume(marked.sparkSession, path, stamps, keys, compute).drop("library")
+
+
 def observed_gains(marked: DataFrame, scores: DataFrame, baseline: DataFrame,
                    rounds: int = ROUNDS) -> DataFrame:
     """(drug, round, gain): r2 of K1 on unpermuted scores less `baseline_r2`."""

@@ -276,7 +276,7 @@ def test_null_is_synchronised_complete_and_resumable(spark, features, scores, tm
 
     keys, path = ["shuffle", "permutation"], str(tmp_path / "null")
     inc.resume(spark, path, inc.index_range(spark, kin.FAMILIES, 2), keys, compute)
-    first = spark.read.parquet(path).toPandas()
+    first = spark.read.parquet(path).drop(inc.BATCH).toPandas()
     full = inc.resume(spark, path, inc.index_range(spark, kin.FAMILIES, 3), keys, compute)
     inc.resume(spark, path, inc.index_range(spark, kin.FAMILIES, 3), keys, compute)
     assert calls == [6, 3]
@@ -289,6 +289,52 @@ def test_null_is_synchronised_complete_and_resumable(spark, features, scores, tm
     assert both.gain_x.to_numpy() == pytest.approx(both.gain_y.to_numpy(), abs=1e-9)
 
 
+def test_overlapping_writers_leave_no_key_twice(spark, tmp_path):
+    """The second run starts and ends while the first one computes; both append the keys they share."""
+
+    path, keys = str(tmp_path / "shared"), ["k"]
+
+    def rows(left, by):
+        return left.selectExpr("k", f"'{by}' AS writer", "explode(array(1, 2)) AS part")
+
+    def slow(left):
+        inc.resume(spark, path, spark.range(5, 15).toDF("k"), keys, lambda x: rows(x, "second"))
+        return rows(left, "first")
+
+    inc.resume(spark, path, spark.range(10).toDF("k"), keys, slow)
+    assert spark.read.parquet(path).count() == 40
+    found = inc.written(spark, path, keys).toPandas()
+    assert len(found) == 30 and found.groupby(["k", "part"]).size().max() == 1
+    assert set(found[found.k < 10].writer) == {"first"} and set(found[found.k > 9].writer) == {"second"}
+    again = inc.resume(spark, path, spark.range(15).toDF("k"), keys, lambda x: 1 / 0)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, found.to_numpy().tolist()))
+
+
+def test_only_a_path_without_a_table_counts_as_unwritten(spark, tmp_path):
+    assert inc.batches(spark, str(tmp_path / "none")) is None
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_bytes(b"PAR1 not a table")
+    with pytest.raises(Exception):  # noqa: B017 - the reader's own error, whichever it is
+        inc.resume(spark, str(tmp_path / "broken"), spark.range(3).toDF("k"), ["k"], lambda x: x)
+    assert len(list((tmp_path / "broken").iterdir())) == 1
+
+
+def test_the_baseline_is_kept_until_rows_or_folds_change(features, tmp_path, monkeypatch):
+    marked, path = ev.mark_folds(features, "grouped_by_gene", ("drug",), rounds=2), str(tmp_path / "b")
+    calls, plain = [], kin.baseline_scores
+    monkeypatch.setattr(kin, "baseline_scores", lambda m, **k: calls.append(
+        sorted(r[0] for r in m.select("drug").distinct().collect())) or plain(m, **k))
+    order = ["drug", "round"]
+    first = kin.kept_baseline(marked, path, 2).orderBy(*order).toPandas()
+    pd.testing.assert_frame_equal(kin.kept_baseline(marked, path, 2).orderBy(*order).toPandas(), first)
+    pd.testing.assert_frame_equal(plain(marked, rounds=2).orderBy(*order).toPandas()[
+        first.columns], first)
+    other = marked.withColumn("RT_binomial", F.when(F.col("drug") == "E", F.col("RT_binomial") / 2)
+                              .otherwise(F.col("RT_binomial")))
+    assert kin.kept_baseline(other, path, 2).count() == len(first)
+    assert calls == [["D", "E"], ["E"]]
+
+
 def test_familywise_p_takes_the_maximum_inside_a_permutation(spark):
     null = spark.createDataFrame(
         [("f", p, d, g) for p, pair in enumerate(((0.1, 0.5), (0.2, 0.1), (0.3, 0.0)))

@@ -20,6 +20,7 @@ from stopscan.functions.nucleotides import (
 )
 from stopscan.functions.scalars import half_even, met, ratio
 from stopscan.operators.ranking import average_ranks, hashed_rank, quantiles
+from stopscan.operators.resampling import PRIME, mixed, mixed_sql
 from stopscan.session import within
 
 
@@ -166,9 +167,9 @@ def concordance(df: DataFrame, x: str, y: str, identity: str, draws: int = 2000,
                 seed: int = 20240724) -> DataFrame:
     """Spearman's rho with a paired percentile bootstrap; nulls under twenty pairs; one row.
 
-    Rows are numbered by a hash of their identity and every draw picks numbers from one seeded
-    stream, so the interval is the same whichever way the picked rows are fetched: a table of up to
-    `COMPACT_ROWS` pairs (one per gene) travels to the tasks, a larger one is joined.
+    Rows are numbered by a hash of their identity, and what a slot of a draw picks is mixed from seed,
+    draw and slot, so the interval is the same whichever way the picked rows are fetched: a table of
+    up to `COMPACT_ROWS` pairs (one per gene) travels to the tasks, a larger one is joined.
     """
 
     paired = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
@@ -193,8 +194,35 @@ def _average_rank(values: np.ndarray) -> np.ndarray:
 def _picked(seed: int, draw: int, part: int, rows: int) -> np.ndarray:
     """The 0-based numbers of the rows that fill one part of a draw, `COMPACT_ROWS` slots long."""
 
-    slots = min(COMPACT_ROWS, rows - part * COMPACT_ROWS)
-    return np.random.default_rng([seed, draw, part]).integers(0, rows, slots)
+    slots = np.arange(part * COMPACT_ROWS, min((part + 1) * COMPACT_ROWS, rows))
+    return (mixed(seed, draw, slots) * PRIME + mixed(seed, draw, slots, 1)) % rows
+
+
+def concordance_sql(pairs: str, x: str, y: str, identity: str, draws: int = 2000,
+                    seed: int = 20240724) -> str:
+    """Common table `agreed` (n, rho, low, high) that states `concordance` of CTE `pairs` in SQL."""
+
+    def ranked(by: str, group: str) -> str:
+        part = f"PARTITION BY {group}" if group else ""
+        each = f"PARTITION BY {group + ', ' if group else ''}{by}"
+        return f"rank() OVER ({part} ORDER BY {by}) + (count(*) OVER ({each}) - 1) / 2"
+
+    return f"""nb AS (SELECT {x} AS x, {y} AS y, count(*) OVER () AS n, row_number() OVER (
+    ORDER BY md5('rows{seed}|' || cast({identity} AS varchar))) - 1 AS row FROM {pairs}
+  WHERE {x} IS NOT NULL AND {y} IS NOT NULL),
+sl AS (SELECT d, row AS i, n FROM nb, (SELECT unnest(range(0, {draws})) AS d) AS r),
+pa AS (SELECT d, i, n, m3 AS a FROM (SELECT *, {mixed_sql(str(seed), "d", "i")} FROM sl)),
+pb AS (SELECT d, cast(a * {PRIME} + m4 AS BIGINT) % n AS row FROM (
+    SELECT *, {mixed_sql(str(seed), "d", "i", "1")} FROM pa)),
+rk AS (SELECT d, {ranked("x", "d")} AS a, {ranked("y", "d")} AS b FROM pb JOIN nb USING (row)),
+rh AS (SELECT d, corr(a, b) AS rho FROM rk GROUP BY d),
+iv AS (SELECT quantile_cont(rho, 0.025) AS low, quantile_cont(rho, 0.975) AS high FROM rh
+  WHERE NOT isnan(rho)),
+pt AS (SELECT count(*) AS n, corr(a, b) AS rho FROM (
+    SELECT {ranked("x", "")} AS a, {ranked("y", "")} AS b FROM nb)),
+agreed AS (SELECT n, CASE WHEN n >= 20 THEN round_even(rho, 4) END AS rho,
+    CASE WHEN n >= 20 THEN round_even(low, 4) END AS low,
+    CASE WHEN n >= 20 THEN round_even(high, 4) END AS high FROM pt, iv)"""
 
 
 def _numbered(paired: DataFrame, identity: str, seed: int) -> DataFrame:

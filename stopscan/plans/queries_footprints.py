@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopscan.functions import nucleotides as nuc
-from stopscan.functions.fixed import QUANTITIES, SENSE_CODONS, STOP_CODONS
+from stopscan.functions.fixed import QUADRANTS, QUANTITIES, SENSE_CODONS, STOP_CODONS
 from stopscan.functions.scalars import t_quantile_value
 from stopscan.operators import codons as cod
 from stopscan.operators import detectability as det
@@ -670,12 +670,21 @@ def spearman(t: Tables) -> DataFrame:
     return rounded(nat.spearman(t("paired_scores"), ["mane_select"], "predicted", "measured"))
 
 
-@query("concordance")
+@query("concordance", "paired_scores", sql=f"""
+WITH own AS (SELECT * FROM paired_scores WHERE mane_select),
+{nat.concordance_sql("own", "predicted", "measured", "id")} SELECT n, rho, low, high FROM agreed""")
 def concordance(t: Tables) -> DataFrame:
     return nat.concordance(t("paired_scores").where("mane_select"), "predicted", "measured", "id")
 
 
-@query("safety_summary")
+@query("safety_summary", "paired_scores", sql=f"""
+WITH {_PAIRS_SQL}, own AS (SELECT * FROM labelled WHERE mane_select),
+{nat.concordance_sql("own", "predicted", "measured", "id", 1000)},
+counted AS (SELECT count(*) AS canonical_stops_scored,
+  count(*) FILTER (predicted IS NOT NULL AND measured IS NOT NULL) AS analysed,
+  {", ".join(f"""count(*) FILTER (grp = '{q}' AND predicted IS NOT NULL AND measured IS NOT NULL)
+    AS {q.replace(" ", "_")}""" for q in QUADRANTS)} FROM own)
+SELECT counted.*, rho, low, high FROM counted, agreed""")
 def safety_summary(t: Tables) -> DataFrame:
     return pay.safety_summary(quadrants(t), "predicted", "measured", "id")
 

@@ -110,6 +110,36 @@ def fit_readthrough_model(t: Tables) -> DataFrame:
     return rounded(mod.fit(t("library")))
 
 
+#: The columns of the declared formula, as the groups whose sums its likelihood equations fix.
+EQUATIONS = {"stop": ("stop_type",), "down": ("down_123nt",), "up": ("up_123nt",),
+             "stop:down": ("stop_type", "down_123nt")}
+
+
+def _equations_sql() -> str:
+    return " UNION ALL ".join(f"""SELECT therapy_id, '{term}' AS term, {" || '|' || ".join(columns)}
+  AS level, count(*) AS n, round(sum(RT_binomial), 6) AS observed, TRUE AS met
+FROM library GROUP BY 1, 2, 3""" for term, columns in EQUATIONS.items())
+
+
+@query("score_equations", "library", sql=_equations_sql())
+def score_equations(t: Tables) -> DataFrame:
+    """At the maximum of the likelihood, and nowhere else, fitted sums equal the observed sums over
+    the rows of every column of the design."""
+
+    rows = t("library").join(mod.fit(t("library")), ["therapy_id", *mod.CELL])
+    cells = cut_lineage(rows.groupBy("therapy_id", *mod.CELL).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("RT_binomial").alias("observed"),
+        F.sum("predicted").alias("fitted")))
+    out = None
+    for term, columns in EQUATIONS.items():
+        summed = cells.groupBy("therapy_id", F.lit(term).alias("term"), F.concat_ws(
+            "|", *columns).alias("level")).agg(*[F.sum(c).alias(c) for c in (
+                "n", "observed", "fitted")])
+        out = summed if out is None else out.unionByName(summed)
+    return rounded(out.select("therapy_id", "term", "level", "n", "observed", (F.abs(
+        F.col("observed") - F.col("fitted")) <= 1e-5 * F.col("n")).alias("met")))
+
+
 @query("model_coefficients")
 def model_coefficients(t: Tables) -> DataFrame:
     return rounded(mod.coefficients(coarse(t)), 5)

@@ -1041,23 +1041,40 @@ def dataset_arms(t: Tables) -> DataFrame:
 
 
 @query("file_manifest", sql="""
-SELECT c AS sample, count(*) AS documents, 0 AS missing FROM
-  (SELECT doc_id, 'p' || cast(doc_id % 4 AS varchar) AS c FROM documents) AS d GROUP BY 1""")
+WITH lines AS (SELECT c_nationkey, c_custkey || ':' || c_name || chr(10) AS line, c_custkey
+               FROM customer),
+held AS (SELECT 'n' || c_nationkey AS name, sum(strlen(line))::BIGINT AS bytes,
+  sha256(string_agg(line, '' ORDER BY c_custkey)) AS sha256, FALSE AS missing
+  FROM lines GROUP BY c_nationkey)
+SELECT * FROM held UNION ALL
+SELECT name, NULL, NULL, TRUE FROM (SELECT 'n' || n_nationkey AS name FROM nation
+                                    UNION SELECT 'absent')
+WHERE name NOT IN (SELECT name FROM held)""")
 def file_manifest(t: Tables) -> DataFrame:
-    """Documents written in four folders, listed with size and digest, none missing."""
+    """A file per nation listing its customers, by size and digest, and expected names not there.
+
+    Digests are of known bytes; a chunk of 2,048 bytes makes the longer files be read in pieces.
+    """
 
     path = scratch_path(t.spark, "manifest")
-    parts = t.table("documents").select("doc_id", F.concat(
-        F.lit("p"), (F.col("doc_id") % 4).cast("string")).alias("sample"))
-    parts.write.partitionBy("sample").parquet(path)
-    listed = src.file_manifest(t.spark, [path]).where(
-        F.length("sha256") == 64).where("path like '%.parquet'").withColumn(
-        "sample", F.regexp_extract("path", "sample=([^/]+)/", 1))
-    expected = listed.select(F.substring_index("path", "/", -1).alias("name"))
-    gone = src.missing_files(listed, expected).agg(F.count(F.lit(1))).scalar()
-    held = t.spark.read.parquet(path).groupBy("sample").agg(F.count(F.lit(1)).alias("documents"))
-    return listed.select("sample").distinct().join(held, "sample").select(
-        "sample", "documents", gone.alias("missing"))
+    lines = t.table("customer").select(
+        F.col("c_nationkey").alias("name"), "c_custkey",
+        F.concat_ws(":", F.col("c_custkey").cast("string"), "c_name").alias("value"))
+    # All customers of a nation are one file, in order, so one task writes each.
+    lines.repartition("name").sortWithinPartitions("name", "c_custkey").select(
+        "name", "value").write.partitionBy("name").text(path)
+    listed = src.file_manifest(t.spark, [path], chunk=2048).where("path like '%/part-%'").select(
+        F.concat(F.lit("n"), F.regexp_extract("path", "name=([^/]+)/", 1)).alias("path"), "bytes",
+        "sha256")
+    listed = cut_lineage(listed, name="manifest-digests")
+    expected = t.table("nation").select(
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("name")).union(
+        t.spark.range(1).select(F.lit("absent")))
+    gone = src.missing_files(listed, expected).select(
+        "name", F.lit(None).cast("bigint").alias("bytes"),
+        F.lit(None).cast("string").alias("sha256"), F.lit(True).alias("missing"))
+    return listed.select(F.col("path").alias("name"), "bytes", "sha256",
+                         F.lit(False).alias("missing")).unionByName(gone)
 
 
 @query("tsv_roundtrip", "contexts", sql="""

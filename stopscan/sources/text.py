@@ -6,8 +6,11 @@ Column expressions. `read_numbered_lines` restores file order where a format nee
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +19,8 @@ from stopscan.functions.fixed import STRUCTURAL_BIOTYPES
 
 INFO_FIELDS = ("CLNVC", "MC", "CLNSIG", "GENEINFO", "CLNREVSTAT", "CLNHGVS", "ALLELEID",
                "CLNDN", "CLNDISDB")
+#: Bytes of a file that one task holds while it takes a digest.
+DIGEST_BYTES = 64 << 20
 
 
 def read_tsv(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
@@ -249,12 +254,39 @@ def read_gene_counts(spark: SparkSession, path: str) -> DataFrame:
     return named.unpivot(["gene_id", "length"], list(libraries.values()), "library", "count")
 
 
-def file_manifest(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """`(path, bytes, sha256)` of every file under `paths`."""
+def file_manifest(spark: SparkSession, paths: Sequence[str],
+                  chunk: int = DIGEST_BYTES) -> DataFrame:
+    """`(path, bytes, sha256)` of every file under `paths` that is not empty, of any size.
+
+    Spark's listing leaves out empty files, so an expected file of no bytes counts as missing.
+    A file of up to `chunk` bytes is one value that Spark reads and digests. A longer one is never
+    held: a task reads it `chunk` bytes at a time, for which its file system must be one that Arrow
+    opens by its address (local folders, HDFS, S3 and the like).
+    """
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
-    return files.select("path", F.col("length").alias("bytes"),
-                        F.sha2("content", 256).alias("sha256"))
+    short = files.where(F.col("length") <= chunk).select(
+        "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = []
+            for path in batch.column(0).to_pylist():
+                if path.startswith("file:"):
+                    system, at = pa.fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+                else:
+                    system, at = pa.fs.FileSystem.from_uri(path)
+                held = hashlib.sha256()
+                with system.open_input_stream(at, compression=None) as stream:
+                    while piece := stream.read(chunk):
+                        held.update(piece)
+                told.append(held.hexdigest())
+            yield batch.append_column("sha256", pa.array(told, pa.string()))
+
+    # Files differ in size, so each is dealt by itself; only names and lengths travel.
+    long = files.where(F.col("length") > chunk).select("path", F.col("length").alias("bytes"))
+    return short.unionByName(long.repartition("path").mapInArrow(
+        digests, "path string, bytes bigint, sha256 string"))
 
 
 def missing_files(manifest: DataFrame, expected: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Text formats read back from files, also when a file is split between tasks."""
 
+import hashlib
 import json
 
 import pytest
@@ -120,3 +121,19 @@ def test_a_repeated_info_key_takes_its_first_value(spark):
     line = "1\t5\t.\tA\tT\t.\t.\tCLNSIG=Benign;CLNSIG=Pathogenic;CLNVC=x=y"
     row = src.parse_vcf(spark.createDataFrame([(line,)], "value string")).first()
     assert row.CLNSIG == "Benign" and row.CLNVC == "x=y"
+
+
+def test_digests_of_files_above_and_below_a_chunk(spark, tmp_path):
+    held = {"small": b"abc", "empty": b"", "long name.fastq.gz": bytes(range(256)) * 300,
+            "exact": b"x" * 1000}
+    for name, body in held.items():
+        (tmp_path / name).write_bytes(body)
+    found = src.file_manifest(spark, [str(tmp_path)], chunk=1000)
+    rows = {r.path.rsplit("/", 1)[-1].replace("%20", " "): (r.bytes, r.sha256)
+            for r in found.collect()}
+    # Spark's listing leaves out files of no bytes.
+    assert rows == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in held.items() if b}
+    assert src.file_manifest(spark, [str(tmp_path)]).select("sha256").exceptAll(
+        found.select("sha256")).isEmpty()
+    gone = src.missing_files(found, spark.createDataFrame([("small",), ("absent",)], "name string"))
+    assert [r.name for r in gone.collect()] == ["absent"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ from stopscan.operators import decay as dec
 from stopscan.operators import editing as ed
 from stopscan.operators import landscape as land
 from stopscan.operators import placement as plc
+from stopscan.operators import text_index as tix
 from stopscan.operators import variants as var
 from stopscan.plans.carriers import Tables
 from stopscan.plans.registry import query, rounded
@@ -252,6 +255,28 @@ def search_documents(t: Tables) -> DataFrame:
         "doc_id", "lang", "source", "total")
 
 
+#: Searched one after another through one index: a common word, a rare one, two characters, nothing.
+SEARCHES = ("The ", "er and", " q", "no such passage")
+
+
+@query("indexed_search", sql=f"""
+WITH q AS (SELECT unnest({list(SEARCHES)!r}) AS query),
+found AS (SELECT query, doc_id, lang, source FROM q JOIN documents
+          ON contains(lower(coalesce(text, '') || ' ' || coalesce(source, '')),
+                      lower(trim(query)))),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY query) AS total,
+  row_number() OVER (PARTITION BY query ORDER BY doc_id) AS place FROM found)
+SELECT query, doc_id, lang, source, total FROM ranked WHERE place <= 12""")
+def indexed_search(t: Tables) -> DataFrame:
+    """Several searches of all documents, whose posting lists are written once."""
+
+    index = tix.build_index(t.table("documents").select("doc_id", "lang", "source", "text"),
+                            ["text", "source"])
+    shown = [tix.indexed_search(t.spark, index, q, "doc_id").select(
+        F.lit(q).alias("query"), "doc_id", "lang", "source", "total") for q in SEARCHES]
+    return reduce(DataFrame.unionByName, shown)
+
+
 # --- Annotation and placement -------------------------------------------------------------------
 
 

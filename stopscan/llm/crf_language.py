@@ -6,7 +6,7 @@ transitions between labels are learned with them, by maximum likelihood with for
 chains of words; every second training chain is spliced from two documents, so that switching
 languages inside a text is something the model has seen. Forward-backward over a whole text gives
 each word's label probabilities; the text takes the label with the largest mean probability, and
-that mean is its score.
+that mean is its score. `switches` returns the runs of words of one label.
 
 Learning reads a bounded sample of the labelled rows: about `SAMPLE_DOCS` whole texts, shared evenly
 among the labels and chosen by a hash of the id. Prediction reads every whole text.
@@ -108,14 +108,14 @@ class Crf:
             self.rows = np.concatenate(blocks)
         return self.rows[np.fromiter((known[w] for w in words), np.int64, len(words))]
 
-    def posteriors(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Mean label probabilities of each text; texts lie one after another, longest first."""
+    def marginals(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Label probabilities of each word; texts lie one after another, longest first."""
 
         scores = np.exp(scores - scores.max(axis=1, keepdims=True))
         move = np.exp(self.moves - self.moves.max())
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         live = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
-        ahead = np.empty_like(scores)
+        found = np.empty_like(scores)
         now = np.exp(self.first - self.first.max()) * scores[starts]
         for step in range(lengths[0]):
             if step:
@@ -124,8 +124,7 @@ class Crf:
             else:
                 at = starts
             now = now / now.sum(axis=1, keepdims=True)
-            ahead[at] = now
-        total = np.zeros((len(lengths), len(self.labels)))
+            found[at] = now
         back = np.ones((0, len(self.labels)))
         for step in range(lengths[0] - 1, -1, -1):
             n = live[step]
@@ -134,14 +133,19 @@ class Crf:
                 back = (scores[at[:len(back)] + 1] * back) @ move.T
                 back = back / back.sum(axis=1, keepdims=True)
             back = np.concatenate((back, np.ones((n - len(back), len(self.labels)))))
-            both = ahead[at] * back
-            total[:n] += both / both.sum(axis=1, keepdims=True)
-        return total / lengths[:, None]
+            both = found[at] * back
+            found[at] = both / both.sum(axis=1, keepdims=True)
+        return found
+
+    def posteriors(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Mean label probabilities of each text; texts lie one after another, longest first."""
+
+        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        return np.add.reduceat(self.marginals(scores, lengths), starts, axis=0) / lengths[:, None]
+
+    def pieces(self, texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """(numbers of texts, their word counts, emissions of their words), longest text first."""
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        labels, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        if not self.labels:
-            return labels, scores
         # Long texts together: a step of the recursion then serves many of them.
         order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: -len(texts[i]))
         at = 0
@@ -163,22 +167,53 @@ class Crf:
             starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
             shuffled = np.concatenate([np.arange(starts[k], starts[k] + lengths[k])
                                        for k in longest])
-            mean = self.posteriors(emitted[shuffled], lengths[longest])
+            yield [owners[k] for k in longest], lengths[longest], emitted[shuffled]
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        labels, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        if not self.labels:
+            return labels, scores
+        for owners, lengths, emitted in self.pieces(texts):
+            mean = self.posteriors(emitted, lengths)
             best = mean.argmax(axis=1)
-            for place, k in enumerate(longest):
-                labels[owners[k]] = self.labels[best[place]]
-                scores[owners[k]] = min(1.0, mean[place, best[place]])
+            for place, owner in enumerate(owners):
+                labels[owner] = self.labels[best[place]]
+                scores[owner] = min(1.0, mean[place, best[place]])
         return labels, scores
 
+    def runs(self, texts: list[str | None]) -> list[list[dict]]:
+        """For each text its runs of words of one label: first word, words, label, probability."""
+
+        told: list[list[dict]] = [[] for _ in texts]
+        if not self.labels:
+            return told
+        for owners, lengths, emitted in self.pieces(texts):
+            found = self.marginals(emitted, lengths)
+            best = found.argmax(axis=1)
+            ends = np.cumsum(lengths)
+            for owner, end, length in zip(owners, ends.tolist(), lengths.tolist()):
+                own = best[end - length:end]
+                cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), length]
+                for i, j in zip(cuts, cuts[1:]):
+                    told[owner].append({
+                        "first_word": i, "words": j - i, "lang": self.labels[own[i]],
+                        "score": min(1.0, float(found[end - length + i:end - length + j,
+                                                      own[i]].mean()))})
+        return told
+
 
 def chains(words: list[list[str]], labels: list[int], rng: np.random.Generator
            ) -> tuple[list[str], np.ndarray]:
-    """Training chains of CHAIN words and their labels, every second one spliced from two texts."""
+    """Training chains of CHAIN words and their labels, every second one spliced from two texts.
+
+    Every word of the sample is in a piece: the words left at the end of a text make one with those
+    before them, and a text shorter than a chain is repeated until the chain is full.
+    """
 
     pieces = [(row[i:i + CHAIN], label) for row, label in zip(words, labels)
               for i in range(0, len(row) - CHAIN + 1, CHAIN)]
-    if not pieces:
-        pieces = [((row * CHAIN)[:CHAIN], label) for row, label in zip(words, labels) if row]
+    pieces += [((row * CHAIN)[:CHAIN] if len(row) < CHAIN else row[-CHAIN:], label)
+               for row, label in zip(words, labels) if len(row) % CHAIN]
     by_label: dict[int, list] = {}
     for row, label in pieces:
         by_label.setdefault(label, []).append(row)
@@ -288,7 +323,8 @@ def learned(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Crf:
                           for k, n in counts.items()])
     drawn = F.pmod(F.xxhash64(id_text(), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(drawn < chance).select("text", "lang", F.xxhash64(
-        id_text(), "text").alias("order")).limit(2 * sample_docs).toPandas()
+        id_text(), "text").alias("order")).orderBy("order", "lang").limit(
+        2 * sample_docs).toPandas()
     sample = sample.sort_values(["order", "lang"], kind="stable").groupby("lang").head(each)
     return fit(list(sample["text"]), list(sample["lang"]))
 
@@ -311,6 +347,30 @@ def identified(docs: DataFrame, model: Crf) -> DataFrame:
     return chosen.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def switches(docs: DataFrame, model: Crf) -> DataFrame:
+    """(doc_id, runs): where each text changes its language, as runs of words of one label.
+
+    Words are numbered from 0; a text without a letter has no run. The probabilities whose mean
+    labels the whole text are the same.
+    """
+
+    chosen = docs.select("doc_id", "text")
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    run_type = pa.list_(pa.struct([("first_word", pa.int64()), ("words", pa.int64()),
+                                   ("lang", pa.string()), ("score", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, 1, TEXT_BYTES):
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(shipped.value.runs(part.column(1).to_pylist()),
+                                              run_type)], names=["doc_id", "runs"])
+
+    kind = dict(chosen.dtypes)["doc_id"]
+    return chosen.mapInArrow(run, f"doc_id {kind}, runs array<struct<first_word: bigint, "
+                                  "words: bigint, lang: string, score: double>>")
+
+
 def languages(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row, learned from the rows not held out."""
 

@@ -56,6 +56,31 @@ def test_code_switched_words_get_their_own_label(spark):
     assert label[0] in ("en", "de") and 0.3 < score[0] < 0.75
 
 
+def test_a_switch_is_found_at_its_word(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    by = {r.lang: r.text for r in docs.where("n_chars > 2000").collect()}
+    words = [crf_language.LETTERS.findall(by[v].lower())[:30] for v in ("en", "de")]
+    rows = [(1, " ".join(words[0] + words[1])), (2, None), (3, "12 !"), (4, " ".join(words[1]))]
+    found = {r.doc_id: [x.asDict() for x in r.runs] for r in crf_language.switches(
+        spark.createDataFrame(rows, "doc_id long, text string"), crf_language.learned(docs)).collect()}
+    assert found[2] == found[3] == [] and [x["lang"] for x in found[4]] == ["de"]
+    assert [x["lang"] for x in found[1]] == ["en", "de"]
+    assert abs(found[1][1]["first_word"] - 30) <= 2
+    assert sum(x["words"] for x in found[1]) == 60
+
+
+def test_a_language_of_short_texts_only_is_learned(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("lang in ('en', 'fr', 'de')")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    cut = [(r.doc_id, " ".join(r.text.split()[:6]) if r.lang == "de" else r.text, r.lang)
+           for r in rows if r.text]
+    found = crf_language.languages(spark.createDataFrame(
+        cut, "doc_id long, text string, lang string")).where("held_out").collect()
+    short = {k for k, t, v in cut if v == "de" and len(crf_language.LETTERS.findall(t)) > 4}
+    told = [r.lang_pred for r in found if r.doc_id in short]
+    assert len(told) > 10 and np.mean([v == "de" for v in told]) > 0.9
+
+
 def test_languages_of_odd_rows(spark, odd, empty):
     found = {r.doc_id: r for r in crf_language.languages(odd).collect()}
     assert all(found[k].lang_pred == "und" and found[k].score == 0 for k in (1, 2, 3, 7))

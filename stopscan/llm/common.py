@@ -87,12 +87,42 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     return joined.select(*rows.columns, *[found[c].alias(c) for c in facts])
 
 
-def keep_rows_by_id(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """`docs` without the ids in the settled table `dropped`; broadcast only after a count."""
+def row_key(docs: DataFrame) -> Column:
+    """What tells rows apart where ids repeat or are missing: the id and a hash of all columns.
 
-    gone = dropped.select(F.col(key).alias("__gone")).distinct()
-    return docs.join(if_small(gone, dropped.count(), 16), F.col(key).eqNullSafe(F.col("__gone")),
-                     "left_anti")
+    Keys sort by id, missing ids last. Rows of one key are the same in every column.
+    """
+
+    return F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"),
+                    F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("mark"))
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): the documents under their row keys, for operators that decide by doc_id."""
+
+    return docs.select(row_key(docs).alias("doc_id"), "text")
+
+
+def keep_rows(docs: DataFrame, dropped: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """`docs` without the rows whose keys are in the settled table `dropped`, column `key`.
+
+    Of rows whose key is in the settled table `once`, one stays. Tables of keys are broadcast only
+    after a count.
+    """
+
+    named = docs.withColumn("__row", row_key(docs))
+    gone = dropped.select(F.col("key").alias("__gone")).distinct()
+    left = named.join(if_small(gone, dropped.count(), 48), F.col("__row") == F.col("__gone"),
+                      "left_anti")
+    again = once.count() if once is not None else 0
+    if again:
+        single = if_small(once.select(F.col("key").alias("__once")).distinct(), again, 48)
+        same = F.col("__row") == F.col("__once")
+        # Equal rows: their repeats add up to one in every task before the shuffle.
+        one = left.join(single, same, "left_semi").groupBy("__row").agg(
+            *[F.first(f"`{c}`").alias(c) for c in docs.columns])
+        left = left.join(single, same, "left_anti").select("__row", *docs.columns).unionByName(one)
+    return left.select(*docs.columns)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -11,7 +11,8 @@ tests by going through all placements), so the join loses none; further masks ma
 
 Defined results: tokens are maximal runs of letters and digits of the lower-cased text. A null or
 empty text has no token and matches nothing. An item of fewer tokens than `WINDOW` must occur
-whole and unchanged; one shorter than a mask is too short to tell from chance and matches nothing.
+whole and unchanged; one shorter than a mask is told from chance only where it is the whole
+document, token for token.
 Repeated rows of one id count as one document; a null id is an id of its own. An empty table on
 either side gives an empty result. Further columns of either table are not read.
 """
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stopscan.llm.common import if_small, settle
+from stopscan.llm.common import if_small, keep_rows, keyed_rows, settle, table
 
 MASKS = ("11010011",)
 #: The bitmap of test seeds has at most 2 to this power bits; a fuller one only passes more windows
@@ -104,6 +105,13 @@ def best_window(near: Column, item: Column, window: Column) -> Column:
     return F.when(F.size(near) >= window, F.get(best, F.lit(0)))
 
 
+def if_measured(rows: DataFrame) -> DataFrame:
+    """`rows` marked for broadcast if their token rows `t`, added up, fit the bound."""
+
+    size = rows.agg(F.sum(F.size("t").cast("bigint") * 8 + 96)).first()[0] or 0
+    return if_small(rows, size, 1)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS,
                  window: int = WINDOW, substitutions: int = SUBSTITUTIONS) -> DataFrame:
     """(doc_id, item_id, agreeing, compared): one row per contaminated document and item.
@@ -126,10 +134,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
         .join(lookup, F.col("seed") == F.col("item_seed"))
         .select("doc_id", "item_id", (F.col("from_doc") - F.col("from_item")).alias("diagonal"))
         .distinct(), "hits")
-    wanted = hits.join(
-        if_small(items.select(F.col("item_id").alias("__item"), token_hashes().alias("t")),
-                 items.count(), 2000),
-        F.col("item_id").eqNullSafe(F.col("__item"))).select(
+    tokens, _ = settle(items.select(F.col("item_id").alias("__item"),
+                                    token_hashes().alias("t")).where(F.size("t") > 0), "tokens")
+    wanted = hits.join(if_measured(tokens), F.col("item_id").eqNullSafe(F.col("__item"))).select(
         F.col("doc_id").alias("hit_doc"), "item_id", "diagonal", "t")
     holders = hits.select(F.col("doc_id").alias("hit_doc")).distinct()
     hashed = texts.join(if_small(holders, hits.count(), 16),
@@ -138,7 +145,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     first = F.greatest(F.lit(0), -F.col("diagonal"))
     length = F.least(F.size("t"), F.size("h") - F.col("diagonal")) - first
     compared = hashed.join(
-        if_small(wanted, hits.count(), 600), F.col("doc_id").eqNullSafe(F.col("hit_doc"))).where(
+        if_measured(wanted), F.col("doc_id").eqNullSafe(F.col("hit_doc"))).where(
         length >= F.least(F.lit(window), F.size("t"))).select(
         "doc_id", "item_id", F.size("t").alias("n_item"),
         F.slice("h", first + F.col("diagonal") + 1, length).alias("near"),
@@ -148,15 +155,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
         .alias("agreeing"))
     need = F.least(F.lit(window), F.col("n_item"))
     allowed = F.when(F.col("n_item") >= window, substitutions).otherwise(0)
-    return compared.where(F.col("agreeing") >= need - allowed).groupBy("doc_id", "item_id").agg(
-        F.max("agreeing").cast("int").alias("agreeing"), F.max(need).cast("int").alias("compared"))
+    found = compared.where(F.col("agreeing") >= need - allowed).select(
+        "doc_id", "item_id", "agreeing", need.alias("compared"))
+    span = len(masks[0])
+    short, _ = settle(tokens.where(F.size("t") < span), "short-items")
+    if short.count():
+        equal = texts.select("doc_id", token_hashes().alias("h")).where(F.size("h") < span).join(
+            if_measured(short), F.col("h") == F.col("t"))
+        found = found.unionByName(equal.select(
+            "doc_id", F.col("__item").alias("item_id"), F.size("t").alias("agreeing"),
+            F.size("t").alias("compared")))
+    return found.groupBy("doc_id", "item_id").agg(
+        F.max("agreeing").cast("int").alias("agreeing"),
+        F.max("compared").cast("int").alias("compared"))
 
 
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
-
-    from stopscan.llm.common import keep_rows_by_id, table
+    """Documents that hold no benchmark passage; of an id with two texts each by itself."""
 
-    found, _ = settle(contaminated(docs, table(spark, folder, "benchmark")).select("doc_id"),
-                      "leaks")
-    return keep_rows_by_id(docs, found)
+    found, _ = settle(contaminated(keyed_rows(docs), table(spark, folder, "benchmark")).select(
+        F.col("doc_id").alias("key")), "leaks")
+    return keep_rows(docs, found)

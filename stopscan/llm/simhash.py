@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stopscan.llm.common import attach_groups, components, if_small, keep_rows_by_id, settle
+from stopscan.llm.common import attach_groups, components, if_small, keep_rows, keyed_rows, settle
 from stopscan.llm.shingle_similarity import similar_groups
 
 WORDS = 4
@@ -295,10 +295,14 @@ def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
     Copies here are texts that share 80% of their five-word shingles. That is further apart than
-    fingerprints can tell, so the groups come from `shingle_similarity`.
+    fingerprints can tell, so the groups come from `shingle_similarity`. Rows are told apart by id
+    and content: of an id with two texts each is kept or dropped by itself, a row without an id
+    stays only where its group has no row with one, and of equal rows one stays.
     """
 
-    found, _ = settle(similar_groups(docs), "near-copies")
-    dropped, _ = settle(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"),
-                        "near-copies-dropped")
-    return keep_rows_by_id(docs, dropped)
+    found, _ = settle(similar_groups(keyed_rows(docs)), "near-copies")
+    dropped, _ = settle(found.where(F.col("doc_id") != F.col("component_id")).select(
+        F.col("doc_id").alias("key")), "near-copies-dropped")
+    repeated, _ = settle(found.where(F.col("doc_id") == F.col("component_id")).groupBy(
+        F.col("doc_id").alias("key")).count().where("count > 1").select("key"), "repeated-rows")
+    return keep_rows(docs, dropped, repeated)

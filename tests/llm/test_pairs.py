@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tempfile
 from itertools import combinations
 
 import numpy as np
@@ -160,6 +161,32 @@ def test_near_duplicates_of_odd_rows(spark, odd, empty):
     kept = simhash.stage(spark, odd, "")
     assert kept.columns == odd.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 4, 7, 8]
+    assert kept.where("doc_id is null").count() == 1
+    assert simhash.stage(spark, empty, "").count() == 0
+
+
+def test_stages_decide_by_row_where_ids_repeat(spark):
+    one, two, three = (" ".join(f"{k}{n}" for n in range(40)) for k in "abc")
+    rows = [(5, one, "x"), (5, two, "x"), (7, two, "x"), (1, one, "x"), (9, three, "x"),
+            (9, three, "x"), (9, three, "y"), (None, two, "x"), (None, three + " more", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = simhash.stage(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, one), (5, two), (9, three)]
+    folder = f"{tempfile.mkdtemp()}"
+    spark.createDataFrame([(1, two)], "item_id long, text string").write.parquet(
+        f"{folder}/benchmark.parquet")
+    clean = decontamination.stage(spark, docs, folder).collect()
+    assert sorted(map(tuple, clean), key=str) == sorted((r for r in rows if r[1] != two), key=str)
+
+
+def test_short_items_match_whole_documents_only(spark):
+    docs = [(1, "What is, two plus two"), (2, "well what is two plus two"), (3, "ONE"), (4, None),
+            (1, "What is two plus two?"), (5, "")]
+    items = [(1, "what is two plus two?"), (2, "one"), (3, "!"), (4, None)]
+    found = decontamination.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(map(tuple, found)) == [(1, 1, 5, 5), (3, 2, 1, 1)]
 
 
 def test_the_stage_links_texts_from_four_fifths_similarity(spark, monkeypatch):

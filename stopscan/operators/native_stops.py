@@ -24,11 +24,18 @@ from stopscan.operators.resampling import PRIME, mixed, mixed_sql
 from stopscan.session import within
 
 
+def _named(sequences: DataFrame) -> DataFrame:
+    """Sequences under their transcript, to be joined by sorting: derived ones are far wider than
+    the planner takes a string to be, and it would broadcast them."""
+
+    return sequences.select(F.col("accession").alias("transcript"), "sequence").hint("merge")
+
+
 def extension_windows(annotation: DataFrame, sequences: DataFrame) -> DataFrame:
     """The extension window of every coding transcript that has a sequence."""
 
     joined = annotation.where("l_cds > 0").join(
-        sequences.select(F.col("accession").alias("transcript"), "sequence"), "transcript")
+        _named(sequences), "transcript")
     start = (F.col("l_utr5") + F.col("l_cds") - 3).cast("int")
     return joined.select("transcript", next_stop_distance(F.col("sequence"), start)
                          .alias("extension"))
@@ -39,9 +46,8 @@ def extension_peptides(annotation: DataFrame, sequences: DataFrame,
     """The peptide past each native stop, over whole codons the sequence holds."""
 
     joined = (extensions.where("extension is not null")
-              .join(annotation.select("transcript", "l_utr5", "l_cds"), "transcript")
-              .join(sequences.select(F.col("accession").alias("transcript"), "sequence"),
-                    "transcript"))
+              .join(annotation.select("transcript", "l_utr5", "l_cds").hint("merge"), "transcript")
+              .join(_named(sequences), "transcript"))
     start = (F.col("l_utr5") + F.col("l_cds")).cast("int")
     window = F.least(F.col("extension") - 3, F.length("sequence") - start)
     tail = F.upper(F.substring("sequence", start + 1, F.greatest(window, F.lit(0)).cast("int")))
@@ -55,7 +61,7 @@ def native_stop_features(annotation: DataFrame, sequences: DataFrame) -> DataFra
     """The stop, the last sense codon and the first codon past it; non-stops are left out."""
 
     joined = annotation.where("l_cds >= 6").join(
-        sequences.select(F.col("accession").alias("transcript"), "sequence"), "transcript")
+        _named(sequences), "transcript")
     start = (F.col("l_utr5") + F.col("l_cds") - 3).cast("int")
     read = joined.select("transcript", *[
         base_at(F.col("sequence"), start + shift, 3).alias(name)

@@ -33,7 +33,8 @@ def transcript_models(features: DataFrame, sequences: DataFrame) -> DataFrame:
     """One row per transcript with exons, coding bounds and sequence; incomplete ones are left out.
 
     Added per transcript, once: exons in reading order with their spliced offset, the offsets of
-    the coding sequence's two ends, and the junction offsets.
+    the coding sequence's two ends, and the junction offsets. Sequences are joined by sorting: they
+    may be derived, and the planner would broadcast what it takes to be short strings.
     """
 
     coding, exon = F.col("feature") == "CDS", F.col("feature") == "exon"
@@ -49,7 +50,7 @@ def transcript_models(features: DataFrame, sequences: DataFrame) -> DataFrame:
         F.min(order).alias("first_seen"),
     ).where((F.size("exons") > 0) & F.col("cds_start").isNotNull())
     return with_offsets(built.join(sequences.select(
-        F.col("accession").alias("transcript_id"), "sequence"), "transcript_id"))
+        F.col("accession").alias("transcript_id"), "sequence").hint("merge"), "transcript_id"))
 
 
 def with_offsets(models: DataFrame) -> DataFrame:
@@ -98,10 +99,10 @@ def placed(variants: DataFrame, models: DataFrame) -> DataFrame:
     """Each variant on its gene's transcript: offset, codon, mutated codon and failure reason.
 
     The model side is one row per gene, so a gene holding many variants is a skewed equi-join that
-    adaptive execution splits on the variant side.
+    adaptive execution splits on the variant side. It carries sequences, so it is not broadcast.
     """
 
-    sides = models.select("gene_id", *_MODEL_COLUMNS)
+    sides = models.select("gene_id", *_MODEL_COLUMNS).hint("merge")
     joined = variants.join(sides, "gene_id", "left")
     forward, coding, last = F.col("strand") == "+", F.col("coding_offset"), F.col(
         "coding_end_offset")
@@ -191,7 +192,7 @@ def protein_disagreements(contexts: DataFrame, proteins: DataFrame) -> DataFrame
     carried = F.substring("protein", F.col("protein_position"), F.lit(1))
     checked = contexts.where("scoreable").join(
         proteins.select(F.col("accession").alias("protein_id"),
-                        F.col("sequence").alias("protein")), "protein_id")
+                        F.col("sequence").alias("protein")).hint("merge"), "protein_id")
     return checked.where(
         (F.col("protein_position") <= F.length("protein")) & (F.col("original_aa") != carried)
     ).select("variant_id", "transcript_id", "protein_position",

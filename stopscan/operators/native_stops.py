@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from stopscan.functions.nucleotides import (
 from stopscan.functions.scalars import half_even, met, ratio
 from stopscan.operators.ranking import average_ranks, hashed_rank, quantiles
 from stopscan.operators.resampling import PRIME, mixed, mixed_sql
-from stopscan.session import within
+from stopscan.session import cut_lineage, within
 
 
 def _named(sequences: DataFrame) -> DataFrame:
@@ -166,7 +167,10 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"))
 
 
-COMPACT_ROWS = 100_000
+#: Pairs that one task holds, some tens of bytes each; more are joined.
+COMPACT_ROWS = 8_000_000
+SLOTS = 100_000
+DRAWS_AT_ONCE = 20
 
 
 def concordance(df: DataFrame, x: str, y: str, identity: str, draws: int = 2000,
@@ -175,7 +179,7 @@ def concordance(df: DataFrame, x: str, y: str, identity: str, draws: int = 2000,
 
     Rows are numbered by a hash of their identity, and what a slot of a draw picks is mixed from seed,
     draw and slot, so the interval is the same whichever way the picked rows are fetched: a table of
-    up to `COMPACT_ROWS` pairs (one per gene) travels to the tasks, a larger one is joined.
+    up to `COMPACT_ROWS` pairs (one per gene) is shuffled to the tasks, a larger one is joined.
     """
 
     paired = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
@@ -192,15 +196,10 @@ def concordance(df: DataFrame, x: str, y: str, identity: str, draws: int = 2000,
           for c in ("low", "high")])
 
 
-def _average_rank(values: np.ndarray) -> np.ndarray:
-    _, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
-    return (np.cumsum(counts) - (counts - 1) / 2.0)[inverse]
-
-
 def _picked(seed: int, draw: int, part: int, rows: int) -> np.ndarray:
-    """The 0-based numbers of the rows that fill one part of a draw, `COMPACT_ROWS` slots long."""
+    """The 0-based numbers of the rows that fill one part of a draw, `SLOTS` slots long."""
 
-    slots = np.arange(part * COMPACT_ROWS, min((part + 1) * COMPACT_ROWS, rows))
+    slots = np.arange(part * SLOTS, min((part + 1) * SLOTS, rows))
     return (mixed(seed, draw, slots) * PRIME + mixed(seed, draw, slots, 1)) % rows
 
 
@@ -236,25 +235,72 @@ def _numbered(paired: DataFrame, identity: str, seed: int) -> DataFrame:
 
 
 def compact_draws(paired: DataFrame, identity: str, draws: int, seed: int) -> DataFrame:
-    """`(draw, rho)` with the pairs in every task; for at most `COMPACT_ROWS` of them."""
+    """`(draw, rho)` for at most `COMPACT_ROWS` pairs, `DRAWS_AT_ONCE` draws to a task.
 
-    spark = paired.sparkSession
-    rows = _numbered(paired, identity, seed).toPandas().sort_values("row")
-    pairs = spark.sparkContext.broadcast((rows["x"].to_numpy(), rows["y"].to_numpy()))
+    The pairs are packed into blocks that are dealt to the groups of draws in a shuffle, so nothing
+    passes through the driver. Every draw counts how often it picks each pair: the ranks follow from
+    the counts by value and need no sorting of the draw.
+    """
 
-    def resample(batches):
-        xs, ys = pairs.value
-        for batch in batches:
-            found = []
-            for draw in batch["id"]:
-                take = _picked(seed, int(draw), 0, len(xs))
-                a, b = _average_rank(xs[take]), _average_rank(ys[take])
-                a, b = a - a.mean(), b - b.mean()
-                scale = np.sqrt((a @ a) * (b @ b))
-                found.append((a @ b) / scale if scale > 0 else np.nan)
-            yield pd.DataFrame({"draw": batch["id"], "rho": found})
+    spark = paired.sparkSession
+    numbered = _numbered(paired, identity, seed)
 
-    return spark.range(draws if len(rows) else 0).mapInPandas(resample, "draw long, rho double")
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        return pa.table({"rows": [rows.num_rows], **{
+            c: pa.array([rows.column(c).to_numpy().tobytes()], pa.binary())
+            for c in ("row", "x", "y")}})
+
+    blocks = numbered.withColumn("block", F.floor((F.col("row") - 1) / SLOTS)).groupBy(
+        "block").applyInArrow(pack, "rows long, row binary, x binary, y binary")
+    # Settled before it is dealt out, so that no group packs the pairs again.
+    blocks = cut_lineage(blocks)
+    groups = -(-draws // DRAWS_AT_ONCE)
+
+    def resample(key: tuple, held: pa.Table) -> pa.Table:
+        total = sum(held.column("rows").to_pylist())
+
+        def column(name: str, kind: type) -> np.ndarray:
+            return np.concatenate([np.frombuffer(b.as_buffer(), kind) for b in held.column(name)])
+
+        order = column("row", np.int64) - 1
+        codes, sizes = [], []
+        for name in ("x", "y"):
+            values = np.empty(total)
+            values[order] = column(name, np.float64)
+            distinct, code = np.unique(values, return_inverse=True)
+            codes.append(code.astype(np.int32))
+            sizes.append(len(distinct))
+        first = key[0].as_py() * DRAWS_AT_ONCE
+        numbers = range(first, min(first + DRAWS_AT_ONCE, draws))
+        return pa.table({"draw": pa.array(numbers, pa.int64()), "rho": pa.array(
+            [_drawn_rho(codes, sizes, seed, d, total) for d in numbers], pa.float64(),
+            from_pandas=False)})
+
+    dealt = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    # Counted partitions, which are not merged: each holds few bytes, but work for every draw.
+    return dealt.repartition(groups, "group").groupBy("group").applyInArrow(
+        resample, "draw long, rho double")
+
+
+def _drawn_rho(codes: Sequence[np.ndarray], sizes: Sequence[int], seed: int, draw: int,
+               total: int) -> float:
+    """Spearman's rho of one draw from the value codes of all pairs, NaN without spread."""
+
+    weights = np.zeros(total, np.int32)
+    for part in range(-(-total // SLOTS)):
+        row, w = np.unique(_picked(seed, draw, part, total), return_counts=True)
+        weights[row] += w.astype(np.int32)
+    ranks = []
+    for code, size in zip(codes, sizes):
+        counts = np.bincount(code, weights, size)
+        ranks.append(np.cumsum(counts) - (counts - 1) / 2.0 - (total + 1) / 2)
+    sums = np.zeros(3)
+    for at in range(0, total, SLOTS):
+        w = weights[at:at + SLOTS]
+        a, b = (rank[code[at:at + SLOTS]] for rank, code in zip(ranks, codes))
+        sums += (w * a) @ b, (w * a) @ a, (w * b) @ b
+    scale = np.sqrt(sums[1] * sums[2])
+    return float(sums[0] / scale) if scale > 0 else float("nan")
 
 
 def joined_draws(paired: DataFrame, identity: str, draws: int, seed: int) -> DataFrame:
@@ -267,7 +313,7 @@ def joined_draws(paired: DataFrame, identity: str, draws: int, seed: int) -> Dat
     spark = paired.sparkSession
     numbered = _numbered(paired, identity, seed)
     total = numbered.count()
-    parts = -(-total // COMPACT_ROWS)
+    parts = -(-total // SLOTS)
 
     def pick(batches):
         for batch in batches:

@@ -1,5 +1,9 @@
 """Plans and paths that large tables need, seen on small ones."""
 
+import numpy as np
+import pandas as pd
+import pytest
+
 from stopscan.operators import native_stops as nat
 from stopscan.operators import placement as plc
 from stopscan.plans import carriers
@@ -31,3 +35,22 @@ def test_sequences_are_not_broadcast(spark):
     annotation, fasta = t("seqs").drop("sequence"), t("seqs").select("accession", "sequence")
     assert "Broadcast" not in plan(nat.extension_peptides(
         annotation, fasta, nat.extension_windows(annotation, fasta)))
+
+
+def test_pairs_of_a_bootstrap_do_not_pass_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=250), 1)
+    pairs = spark.createDataFrame(pd.DataFrame(
+        {"id": np.arange(250), "x": x, "y": np.round(x + rng.normal(size=250), 1)}))
+    monkeypatch.setattr(nat, "SLOTS", 100)
+    two = nat.joined_draws(pairs, "id", 30, 1).toPandas().sort_values("draw")["rho"].to_numpy()
+
+    def refused(self):
+        raise AssertionError("collected")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(pairs), "toPandas", refused)
+        one = nat.compact_draws(pairs, "id", 30, 1).orderBy("draw").collect()
+    assert [r["draw"] for r in one] == list(range(30))
+    assert [r["rho"] for r in one] == pytest.approx(two.tolist(), abs=1e-12)
+    assert "Broadcast" not in plan(Tables(spark, FOLDER)("paired_scores"))

@@ -28,8 +28,8 @@ def scorable_windows(annotation: DataFrame, sequences: DataFrame) -> DataFrame:
     CDS_FROM_STOP_NT or more before the stop; transcripts without a coding part give no row.
     """
 
-    joined = annotation.where("l_cds > 0").join(
-        sequences.select(F.col("accession").alias("transcript"), "sequence"), "transcript")
+    named = sequences.select(F.col("accession").alias("transcript"), "sequence")
+    joined = annotation.where("l_cds > 0").join(named.hint("merge"), "transcript")
     last = F.floor((F.col("l_cds") - 1 + CDS_FROM_STOP_NT) / 3).cast("int")
     width = (last - FIRST_SCORABLE_CODON + 1) * 3
     window = F.upper(F.substring(
@@ -58,7 +58,7 @@ def library_table(counts: DataFrame, windows: DataFrame, site: str = "a",
     window = windows.select("transcript", "codons", positions.alias("positions"))
     scored = counts.groupBy("sample", "transcript", (
         F.col("codon_index") + SITE_SHIFT[site]).alias("index")).agg(F.sum("n").alias("n"))
-    inside = scored.join(window, "transcript").where(
+    inside = scored.join(window.hint("merge"), "transcript").where(
         F.col("index").between(F.lit(FIRST_SCORABLE_CODON),
                                F.col("positions") + FIRST_SCORABLE_CODON - 1))
     at = (F.col("index") - FIRST_SCORABLE_CODON) * 3 + 1
@@ -76,10 +76,15 @@ def library_table(counts: DataFrame, windows: DataFrame, site: str = "a",
         (F.col("n") * F.col("positions") / F.col("psites")).alias("normalised")))
     kept = kept_codons.select("sample", "transcript").distinct()
     observed = kept_codons.groupBy("sample", "codon").agg(F.sum("normalised").alias("psites"))
-    per_transcript = window.select("transcript", F.explode(codons_of(F.col("codons")))
-                                   .alias("codon")).groupBy("transcript", "codon").agg(
-        F.count(F.lit(1)).alias("held"))
-    available = kept.join(per_transcript, "transcript").groupBy("sample", "codon").agg(
+    # Transcripts kept in the same libraries are counted together, so that a task holds one count
+    # per codon of such a set and not one per codon of a transcript.
+    together = kept.groupBy("transcript").agg(
+        F.sort_array(F.collect_set("sample")).alias("samples"))
+    available = window.select("transcript", "codons").hint("merge").join(
+        together, "transcript").select(
+        "samples", F.explode(codons_of(F.col("codons"))).alias("codon")).groupBy(
+        "samples", "codon").agg(F.count(F.lit(1)).alias("held")).select(
+        "codon", "held", F.explode("samples").alias("sample")).groupBy("sample", "codon").agg(
         F.sum("held").alias("positions"))
     libraries = kept.groupBy("sample").agg(F.count(F.lit(1)).alias("transcripts"))
     grid = libraries.select("sample", "transcripts", F.explode(

@@ -1,9 +1,12 @@
 """Plans and paths that large tables need, seen on small ones."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
 
+from stopscan.operators import codons as cod
 from stopscan.operators import native_stops as nat
 from stopscan.operators import placement as plc
 from stopscan.plans import carriers
@@ -37,6 +40,19 @@ def test_sequences_are_not_broadcast(spark):
         annotation, fasta, nat.extension_windows(annotation, fasta)))
 
 
+def test_codons_are_counted_for_sets_of_libraries(spark):
+    codons = "AAA" * 70
+    windows = spark.createDataFrame([("a", codons), ("b", codons)], "transcript string, codons string")
+    counts = spark.createDataFrame(
+        [(s, t, 30, i, 2) for s, t in (("s", "a"), ("s", "b"), ("u", "b")) for i in range(5, 75)],
+        "sample string, transcript string, length int, codon_index int, n long")
+    found = cod.library_table(counts, windows)
+    assert not re.search(r"Aggregate \[transcript#\d+, codon#",
+                         found._jdf.queryExecution().optimizedPlan().toString())
+    assert {(r["sample"], r["positions"], r["transcripts"]) for r in found.where(
+        "codon = 'AAA'").collect()} == {("s", 140, 2), ("u", 70, 1)}
+
+
 def test_pairs_of_a_bootstrap_do_not_pass_the_driver(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = np.round(rng.normal(size=250), 1)

@@ -674,7 +674,9 @@ WITH {PLACED_SQL}, {_guides_sql(False)} SELECT variant_id, editor, arm,
   restores, nc AS new_codon, (SELECT count(*) FROM touched WHERE touched.gid = g.gid) AS bystanders,
   m AS missense FROM full_guides g""")
 def editing_guides(t: Tables) -> DataFrame:
-    rows = guided(t).where("scoreable").select("variant_id", F.explode("guides").alias("g"))
+    # A filter on the guides would be pushed below the search and search every variant again.
+    rows = guided(t).select("variant_id", F.explode_outer("guides").alias("g")).where(
+        F.col("g").isNotNull())
     missense = F.size(F.filter("g.bystanders", lambda b: ~b["silent"]))
     return rounded(rows.select(
         "variant_id", *[f"g.{c}" for c in (

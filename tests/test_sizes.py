@@ -9,7 +9,7 @@ import pytest
 from stopscan.operators import codons as cod
 from stopscan.operators import native_stops as nat
 from stopscan.operators import placement as plc
-from stopscan.plans import carriers
+from stopscan.plans import carriers, load
 from stopscan.plans.carriers import Tables
 from stopscan.plans.queries_variants import models
 
@@ -70,3 +70,13 @@ def test_pairs_of_a_bootstrap_do_not_pass_the_driver(spark, monkeypatch):
     assert [r["draw"] for r in one] == list(range(30))
     assert [r["rho"] for r in one] == pytest.approx(two.tolist(), abs=1e-12)
     assert "Broadcast" not in plan(Tables(spark, FOLDER)("paired_scores"))
+
+
+@pytest.mark.parametrize("name, folder", [
+    ("editing_guides", FOLDER), ("panel_comparison", FOLDER),
+    ("amenability_run", "/root/testdata/sf0.01")])
+def test_a_variant_is_placed_and_searched_once(spark, name, folder):
+    found = load()[0][name](spark, folder)
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    # A filter pushed below the search would spell the placement and its reasons again.
+    assert text.count("reference_mismatch") == 1

@@ -184,6 +184,18 @@ def stop_guides(variants: DataFrame, models: DataFrame,
         F.col("_found.guides").alias("guides"))
 
 
+def _reach_class(guides: Column) -> Column:
+    return (F.when(~F.col("scoreable"), "")
+            .when(F.exists(guides, lambda g: g["restores"] == "exact_wildtype"),
+                  "base_editable_exact")
+            .when(F.size(guides) > 0, "base_editable_alternative")
+            .otherwise("not_base_editable_under_panel"))
+
+
+def _listed(guided: DataFrame) -> Column:
+    return F.coalesce("guides", F.array().cast(guided.schema["guides"].dataType))
+
+
 def reachability(guided: DataFrame) -> DataFrame:
     """One summary row per variant: class, counts and a representative guide.
 
@@ -191,24 +203,21 @@ def reachability(guided: DataFrame) -> DataFrame:
     fewest, then was found first.
     """
 
-    guides = F.coalesce("guides", F.array().cast(guided.schema["guides"].dataType))
+    guides = _listed(guided)
     exact = F.filter(guides, lambda g: g["restores"] == "exact_wildtype")
     best = F.array_min(F.transform(guides, lambda g, i: F.struct(
         (g["restores"] != "exact_wildtype").alias("inexact"), (_missense(g) > 0).alias("missense"),
         _missense(g).alias("changes"), i.alias("found"), g.alias("guide"))))["guide"]
     any_guide = F.size(guides) > 0
     primary = F.exists(guides, lambda g: g["arm"] == "primary")
-    reach = (F.when(~F.col("scoreable"), "")
-             .when(F.size(exact) > 0, "base_editable_exact")
-             .when(any_guide, "base_editable_alternative")
-             .otherwise("not_base_editable_under_panel"))
     carried = [c for c in guided.columns if c not in ("guides", "reference_codon")]
     ok = F.col("scoreable")
     chosen = {c: F.when(ok, F.coalesce(F.col("_best")[c], F.lit("")))
               for c in ("editor", "arm", "strand", "restores")}
     return guided.withColumn("_best", best).select(
         *carried, any_guide.alias("reachable"), primary.alias("primary_reachable"),
-        (any_guide & ~primary).alias("requires_relaxed_pam"), reach.alias("reach_class"),
+        (any_guide & ~primary).alias("requires_relaxed_pam"),
+        _reach_class(guides).alias("reach_class"),
         F.when(ok, F.size(guides)).alias("n_guides"), F.when(ok, F.size(exact)).alias("n_exact"),
         F.when(ok, F.exists(guides, lambda g: _missense(g) == 0)).alias("bystander_free"),
         *[c.alias(n) for n, c in chosen.items()],
@@ -230,20 +239,31 @@ def escape_summary(reach: DataFrame) -> DataFrame:
         F.count_if(ok & exact & free).alias("exact_bystander_free"))
 
 
-def panel_comparison(primary: DataFrame, relaxed: DataFrame) -> DataFrame:
-    """Class counts under two panels, what only the relaxed one reaches, and what stays out."""
+def panel_comparison(guided: DataFrame) -> DataFrame:
+    """Class counts under two panels, what only the relaxed one reaches, and what stays out.
+
+    `guided` was searched with both panels: guides of the arm `primary` are those of the primary one.
+    Variants are counted by their two classes and reason, and only these few counts are spread.
+    """
 
     def tag(panel: str, measure: Column) -> Column:
         return F.struct(F.lit(panel).alias("panel"), measure.alias("measure"))
 
-    ok, kind = F.col("scoreable"), F.col("reach_class")
-    one = [F.when(ok, tag("primary", kind))]
-    two = [F.when(ok, tag("relaxed", kind)),
-           F.when(ok & F.col("requires_relaxed_pam"), tag("relaxed", F.lit("incremental"))),
-           F.when(kind == "not_base_editable_under_panel", tag("residual", F.col("reason")))]
-    rows = primary.select(F.inline(F.array_compact(F.array(*one)))).unionByName(
-        relaxed.select(F.inline(F.array_compact(F.array(*two)))))
-    return rows.groupBy("panel", "measure").agg(F.count(F.lit(1)).alias("variants"))
+    guides = _listed(guided)
+    primary = F.filter(guides, lambda g: g["arm"] == "primary")
+    classes = guided.select(
+        "scoreable", "reason", _reach_class(primary).alias("first"),
+        _reach_class(guides).alias("second"),
+        ((F.size(guides) > 0) & (F.size(primary) == 0)).alias("incremental"))
+    counted = classes.groupBy(*classes.columns).agg(F.count(F.lit(1)).alias("n"))
+    ok, second = F.col("scoreable"), F.col("second")
+    rows = F.array_compact(F.array(
+        F.when(ok, tag("primary", F.col("first"))), F.when(ok, tag("relaxed", second)),
+        F.when(ok & F.col("incremental"), tag("relaxed", F.lit("incremental"))),
+        F.when(second == "not_base_editable_under_panel", tag("residual", F.col("reason")))))
+    # Outer, since a filter on what is spread would be pushed below the search and repeat it.
+    return counted.select("n", F.inline_outer(rows)).where("panel is not null").groupBy(
+        "panel", "measure").agg(F.sum("n").alias("variants"))
 
 
 def escape_map(reach: DataFrame, scores: DataFrame) -> DataFrame:

@@ -710,9 +710,7 @@ UNION ALL SELECT 'relaxed', 'incremental', count(*) FROM reach WHERE requires_re
 UNION ALL SELECT 'residual', reason, count(*) FROM reach
   WHERE reach_class = 'not_base_editable_under_panel' GROUP BY 1, 2""")
 def panel_comparison(t: Tables) -> DataFrame:
-    return ed.panel_comparison(
-        ed.reachability(guided(t)),
-        ed.reachability(guided(t, PRIMARY_PANEL + SENSITIVITY_PANEL)))
+    return ed.panel_comparison(guided(t, PRIMARY_PANEL + SENSITIVITY_PANEL))
 
 
 @query("pam_match", "seqs", sql="""

@@ -79,11 +79,14 @@ def amenability_run(t: Tables) -> DataFrame:
     """The predicted arm from archive records to editability, counted at each step."""
 
     run = amenability(**amenability_inputs(t))
-    counts = {"variants": run.variants, "scoreable": run.contexts.where("scoreable"),
-              "scored": run.scores,
-              "landscape_rows": run.landscape, "reachable": run.reachability.where("reachable")}
+    every = F.count(F.lit(1))
+    # Counted by value: a filter would be pushed below the guide search and repeat the placement.
+    counts = {"variants": (run.variants, every),
+              "scoreable": (run.contexts, F.count_if("scoreable")), "scored": (run.scores, every),
+              "landscape_rows": (run.landscape, every),
+              "reachable": (run.reachability, F.count_if("reachable"))}
     return t.spark.range(1).select(*[
-        df.agg(F.count(F.lit(1))).scalar().alias(n) for n, df in counts.items()])
+        df.agg(count).scalar().alias(n) for n, (df, count) in counts.items()])
 
 
 def amenability_inputs(t: Tables) -> dict[str, DataFrame]:

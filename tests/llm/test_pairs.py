@@ -287,3 +287,18 @@ def test_the_index_inserts_deletes_and_resizes(spark):
     first = cuckoo_dedup.updated(None, row([0, 1, 2]))
     then = cuckoo_dedup.updated(first, row([2, 3]), row([0]).select("digest"))
     assert sorted((r.keep_id, r.group_size) for r in then.collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_the_stage_compares_what_fingerprints_link(spark, monkeypatch):
+    """Without any band, copies that fingerprints link are still checked and found."""
+
+    words = [f"w{n}" for n in range(300)]
+    phrase = "one two three four five " * 200
+    texts = [" ".join(words), " ".join([*words, "more"]), "apart from both",
+             *[phrase + " ".join(f"{k}{n}" for n in range(20)) for k in "ab"]]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id bigint, text string")
+    prints = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert (prints[2], prints[5]) == (1, 4)
+    monkeypatch.setattr(shingle_similarity, "ROUNDS", ())
+    # The last two are linked by their phrase, but most of their shingles differ.
+    assert sorted(r.doc_id for r in simhash.stage(spark, docs, "").collect()) == [1, 3, 4, 5]

@@ -730,16 +730,18 @@ tab AS (SELECT l.sample, c.codon, {sql_residue('c.codon')} AS amino_acid,
 
 
 def codon_counts_of(t: Tables) -> DataFrame:
-    return t.table("lineitem").select(
+    return t.dealt(t.table("lineitem").select(
         F.concat(F.lit("s"), (F.col("l_suppkey") % 6).cast("string")).alias("sample"),
         F.concat(F.lit("t"), F.col("l_partkey").cast("string")).alias("transcript"),
         F.lit(30).alias("length"), (F.col("l_orderkey") % 75).cast("int").alias("codon_index"),
-        F.col("l_quantity").cast("bigint").alias("n"))
+        F.col("l_quantity").cast("bigint").alias("n")), "lineitem", "transcript")
 
 
 def codon_windows(t: Tables) -> DataFrame:
-    return cod.scorable_windows(t("seqs").drop("sequence"),
-                                t("seqs").select("accession", "sequence"))
+    # Dealt like the counts, so that both meet without another exchange.
+    return t.dealt(cod.scorable_windows(t("seqs").drop("sequence"),
+                                        t("seqs").select("accession", "sequence")),
+                   "lineitem", "transcript")
 
 
 def codon_library(t: Tables, site: str = "a") -> DataFrame:

@@ -5,12 +5,15 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from stopscan.operators import codons as cod
 from stopscan.operators import native_stops as nat
 from stopscan.operators import placement as plc
+from stopscan.operators import resampling as res
 from stopscan.plans import carriers, load
 from stopscan.plans.carriers import Tables
+from stopscan.plans.queries_footprints import codon_counts_of, codon_windows
 from stopscan.plans.queries_variants import models
 
 FOLDER = "/root/testdata/sf0.001"
@@ -80,3 +83,34 @@ def test_a_variant_is_placed_and_searched_once(spark, name, folder):
     text = found._jdf.queryExecution().optimizedPlan().toString()
     # A filter pushed below the search would spell the placement and its reasons again.
     assert text.count("reference_mismatch") == 1
+
+
+def test_codon_counts_meet_in_tasks_of_bounded_rows(spark, monkeypatch):
+    whole = sorted(map(str, load()[0]["codon_occupancy"](spark, FOLDER).collect()))
+    monkeypatch.setattr(carriers, "DEALT_ROWS", 1000)
+    t = Tables(spark, FOLDER)
+    tasks = -(-t.table("lineitem").count() // 1000)
+    assert codon_counts_of(t).rdd.getNumPartitions() == codon_windows(t).rdd.getNumPartitions() == tasks
+    assert sorted(map(str, load()[0]["codon_occupancy"](spark, FOLDER).collect())) == whole
+
+
+def test_buckets_of_a_bootstrap_meet_in_tasks_of_bounded_rows(spark, monkeypatch):
+    rows = spark.range(3000).select((F.col("id") % 2).alias("g"), "id", F.sin("id").alias("v"))
+
+    def sums():
+        return res.bootstrap_sums(rows, ["g"], ["id"], ["v"], 5, 1, bucket_rows=100)
+
+    whole = {(r.g, r.draw): (r.n, r.v) for r in sums().collect()}
+    monkeypatch.setattr(res, "TASK_ROWS", 500)
+    assert "REPARTITION_BY_NUM" in plan(sums())
+    found = {(r.g, r.draw): (r.n, r.v) for r in sums().collect()}
+    assert found.keys() == whole.keys()
+    assert all(found[k] == pytest.approx(whole[k]) for k in whole)
+
+
+def test_replicates_meet_in_tasks_of_bounded_rows(spark, monkeypatch):
+    whole = sorted(map(str, load()[0]["reliability"](spark, FOLDER).collect()))
+    monkeypatch.setattr(carriers, "DEALT_ROWS", 1000)
+    found = load()[0]["reliability"](spark, FOLDER)
+    assert "REPARTITION_BY_NUM" in plan(found)
+    assert sorted(map(str, found.collect())) == whole

@@ -24,6 +24,8 @@ from stopscan.session import cut_lineage
 
 BUCKET_ROWS = 20_000
 PICKS_AT_ONCE = 1_000_000
+#: Rows of buckets that are sorted in one task.
+TASK_ROWS = 400_000
 PRIME = (1 << 31) - 1
 #: Added in each step, so that small numbers do not stay small.
 STEP = 1_013_904_223
@@ -109,6 +111,10 @@ def bootstrap_sums(df: DataFrame, keys: Sequence[str], identity: Sequence[str],
     kinds = dict(df.dtypes)
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in names] + ["draw int", "n bigint"]
                        + [f"`{m}` double" for m in columns])
+    # Small compressed blocks would be put together until a task sorts millions of rows.
+    tasks = -(-df.count() // max(TASK_ROWS, bucket_rows))
+    if tasks > 1:
+        placed = placed.repartition(tasks, *keys, "_bucket")
     parts = placed.groupBy(*keys, "_bucket").applyInPandas(resample, schema)
     return parts.groupBy(*keys, "draw").agg(
         F.sum("n").alias("n"), *[F.sum(m).alias(m) for m in columns])

@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stopscan.functions.fixed import STRUCTURAL_BIOTYPES
+from stopscan.session import cut_lineage, within
 
 INFO_FIELDS = ("CLNVC", "MC", "CLNSIG", "GENEINFO", "CLNREVSTAT", "CLNHGVS", "ALLELEID",
                "CLNDN", "CLNDISDB")
 #: Bytes of a file that one task holds while it takes a digest.
 DIGEST_BYTES = 64 << 20
+#: Splits of files whose line counts are broadcast.
+SPLIT_ROWS = 100_000
 
 
 def read_tsv(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
@@ -65,8 +68,11 @@ def read_numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataF
         F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(
         Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_before", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)))
-    return lines.join(splits, ["file", "block"]).select(
+    splits = cut_lineage(splits.withColumn(
+        "_before", F.coalesce(F.sum("_lines").over(earlier), F.lit(0))))
+    # Joined by shuffle, a whole split would meet in one task; the few rows of splits travel instead.
+    known = F.broadcast(splits) if within(splits, SPLIT_ROWS) else splits
+    return lines.join(known, ["file", "block"]).select(
         "file", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line"), "value")
 
 

@@ -15,6 +15,7 @@ from stopscan.plans import carriers, load
 from stopscan.plans.carriers import Tables
 from stopscan.plans.queries_footprints import codon_counts_of, codon_windows
 from stopscan.plans.queries_variants import models
+from stopscan.sources import text as src
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -114,3 +115,16 @@ def test_replicates_meet_in_tasks_of_bounded_rows(spark, monkeypatch):
     found = load()[0]["reliability"](spark, FOLDER)
     assert "REPARTITION_BY_NUM" in plan(found)
     assert sorted(map(str, found.collect())) == whole
+
+
+def test_lines_of_a_split_are_not_shuffled(spark, tmp_path, request):
+    folder = str(tmp_path / "reads")
+    spark.range(4000, numPartitions=3).select(F.col("id").cast("string")).write.text(folder)
+    # As on large files, which the planner does not take for small ones.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    lines = src.read_numbered_lines(spark, folder)
+    assert "SortMergeJoin" not in plan(lines) and "ShuffledHashJoin" not in plan(lines)
+    assert lines.count() == 4000
+    assert lines.groupBy("file").agg((F.max("line") + 1 == F.count("line")).alias("ok")).where(
+        "not ok").count() == 0

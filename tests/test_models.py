@@ -216,6 +216,22 @@ def test_a_permutation_is_worked_out_without_a_shuffle_of_its_own(features, scor
     assert near.index("Generate") < near.index("Exchange")  # Exploded above the only exchange.
 
 
+def test_rows_of_large_genes_are_sent_in_batches_by_the_same_numbers(spark):
+    """Groups of several sizes in one batch; the plan of large groups spells no swap per row."""
+
+    sizes = {"a": 1, "b": 2, "c": 7, "d": 40}
+    rows = spark.createDataFrame([(f"{g}{i}", g, float(i), i, n) for g, n in sizes.items()
+                                  for i in range(n)], "row string, g string, v double, _at long, _n long")
+    asked = F.array(*[F.lit(p).cast("bigint") for p in (0, 1, 17)])
+    near, far = (perm.permuted(rows, ["g"], ["v"], asked, 3, n) for n in (4096, 0))
+    wanted, found = (sorted(map(tuple, df.select("g", "permutation", "row", "v").collect()))
+                     for df in (near, far))
+    assert len(found) == 150 and wanted == found
+    plan = far._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan
+    assert "_turns" not in plan[plan.index("Join"):]
+
+
 def test_pairs_of_numbers_part_company(spark):
     """Where two neighbours of 40 land is near uniform over pairs: a chi-square over 4 x 4 cells."""
 

@@ -8,6 +8,8 @@ the offset of a block, and only one block is sorted at a time.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from stopscan.session import cut_lineage
 BLOCKS = 256
 ONE_BLOCK = 200_000
 STRIDE = 16
+#: Ranks of a quantile's sketch are off by at most one in this many of the group's rows.
+SKETCH = 10_000
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -141,45 +145,74 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str,
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float],
-              blocks: int = BLOCKS) -> DataFrame:
+              accuracy: int = SKETCH) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per entry of `probabilities`.
 
-    Only the blocks that hold a wanted rank are sorted; the others enter by their totals.
+    A sketch, whose rank error has a bound, puts each wanted rank between two values. Rows below them
+    are only counted, and only the distinct values between them are shuffled and sorted. The rows are
+    written once, because two passes read them. A group whose count shows a rank outside its values is
+    taken over all of them.
     """
 
-    same = F.lit(1)
-    counted = counted_values(df, keys, value, blocks)
-    totals = counted.groupBy(*keys, "_block").agg(F.sum("n").alias("_total"))
-    whole = Window.partitionBy(*(keys or [same]))
-    earlier = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "_block", "_total", F.sum("_total").over(whole).alias("_rows"),
-        F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
-
-    def ranks(p: float) -> tuple[Column, Column]:
-        at = (F.col("_rows") - 1) * F.lit(float(p))
-        return F.floor(at), F.ceil(at)
-
-    wanted = F.lit(False)
-    for p in probabilities.values():
-        for at in ranks(p):
-            wanted = wanted | ((F.col("_offset") <= at)
-                               & (at < F.col("_offset") + F.col("_total")))
-    inside = Window.partitionBy(*keys, "_block").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, -1)
-    sorted_rows = _join_on_keys(counted, offsets.where(wanted), [*keys, "_block"]).withColumn(
-        "before", F.col("_offset") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    found = []
-    for name, p in probabilities.items():
-        for side, at in zip(("lo", "hi"), ranks(p)):
-            holds = (F.col("before") <= at) & (at < F.col("before") + F.col("n"))
-            found.append(F.max(F.when(holds, F.col(value))).alias(f"_{name}_{side}"))
-        rank = (F.col("_rows") - 1) * F.lit(float(p))
-        found.append(F.max(rank - F.floor(rank)).alias(f"_{name}_part"))
-    picked = sorted_rows.groupBy(*keys).agg(*found)
-    return picked.select(*keys, *[
+    names = list(probabilities)
+    rows = cut_lineage(df.where(F.col(value).isNotNull()), *keys, value, name="values")
+    # The sketch is off by at most one rank in `accuracy`; the margin is twice that.
+    margin = 2.0 / accuracy
+    asked = [min(max(p + side * margin, 0.0), 1.0)
+             for p in probabilities.values() for side in (-1, 1)]
+    cuts = cut_lineage(rows.groupBy(*keys).agg(
+        F.percentile_approx(value, asked, accuracy).alias("_cuts"),
+        F.min(value).alias("_least"), F.max(value).alias("_most"),
+        F.count(F.lit(1)).alias("_rows")), name="cuts")
+    whole = F.flatten(F.array_repeat(F.array("_least", "_most"), len(names)))
+
+    def bracketed(cuts: DataFrame) -> DataFrame:
+        """Per group and probability: rows below its values, and the distinct values with counts."""
+
+        ends = [F.struct(F.lit(i).alias("_i"), F.get("_cuts", F.lit(2 * i)).alias("_lo"),
+                         F.get("_cuts", F.lit(2 * i + 1)).alias("_hi")) for i in range(len(names))]
+        wide = cuts.select(*keys, F.inline(F.array(*ends)))
+        sides = wide.groupBy(*keys).agg(F.collect_list(F.struct("_i", "_lo", "_hi")).alias("_ends"))
+        # One row per group, with two values for each probability.
+        joined = _join_on_keys(rows, sides, keys) if keys else rows.crossJoin(F.broadcast(sides))
+        each = joined.select(*keys, value, F.inline("_ends")).where(F.col(value) <= F.col("_hi"))
+        below = F.col(value) < F.col("_lo")
+        return each.groupBy(*keys, "_i", F.when(~below, F.col(value)).alias("_v")).agg(
+            F.count(F.lit(1)).alias("n"))
+
+    def picked(cuts: DataFrame) -> DataFrame:
+        upto = F.sum("n").over(Window.partitionBy(*keys, "_i").orderBy(F.asc_nulls_first("_v")))
+        placed = bracketed(cuts).withColumn("_upto", upto)
+        facts = cuts.select(*keys, "_rows")
+        placed = (_join_on_keys(placed, facts, keys) if keys
+                  else placed.crossJoin(F.broadcast(facts)))
+        found = []
+        for i, (name, p) in enumerate(probabilities.items()):
+            rank = (F.col("_rows") - 1) * F.lit(float(p))
+            for side, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
+                holds = (F.col("_i") == i) & F.col("_v").isNotNull() & (
+                    F.col("_upto") - F.col("n") <= at) & (at < F.col("_upto"))
+                found.append(F.max(F.when(holds, F.col("_v"))).alias(f"_{name}_{side}"))
+            found.append(F.max(rank - F.floor(rank)).alias(f"_{name}_part"))
+        return placed.groupBy(*keys).agg(*found)
+
+    # Where the margin is a row or so, all values are taken.
+    met = cut_lineage(picked(cuts.withColumn("_cuts", F.when(
+        F.col("_rows") <= 4 * accuracy, whole).otherwise(F.col("_cuts")))), name="quantiles")
+    lacks = F.lit(False)
+    for name in names:
+        lacks = lacks | F.col(f"_{name}_lo").isNull() | F.col(f"_{name}_hi").isNull()
+    again = met.where(lacks).select(*keys)
+    if not again.isEmpty():
+        missed = again.select(*[F.col(k).alias(f"_m_{k}") for k in keys])
+        left = cuts.withColumn("_cuts", whole)
+        if keys:
+            left = left.join(missed, reduce(and_, [
+                F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in keys]), "left_semi")
+        met = met.where(~lacks).unionByName(picked(left))
+    return met.select(*keys, *[
         (F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_part"))
-        .alias(n) for n in probabilities])
+        .alias(n) for n in names])
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, into: str,

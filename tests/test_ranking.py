@@ -29,6 +29,27 @@ def test_quantiles_match_linear_interpolation(spark, skewed, monkeypatch, one_bl
             list(np.quantile(values, [0.05, 0.5, 0.95])))
 
 
+@pytest.mark.parametrize("accuracy", [10, 200])
+def test_quantiles_sort_only_values_beside_the_ranks(spark, skewed, monkeypatch, accuracy):
+    """Brackets of any width are exact, of ties too, with a null group; one written pass each."""
+
+    written = []
+    kept = rk.cut_lineage
+    monkeypatch.setattr(rk, "cut_lineage", lambda df, *a, **k: written.append(kept(df, *a, **k))
+                        or written[-1])
+    rows = skewed.assign(w=(skewed.v * 2).round() / 2)
+    df = spark.createDataFrame(rows).withColumn("g", F.nullif("g", F.lit("a")))
+    for value in ("v", "w"):
+        found = rk.quantiles(df, ["g"], value, {"least": 0.0, "mid": 0.5, "hi": 0.95, "most": 1.0},
+                             accuracy=accuracy).toPandas()
+        assert len(found) == 4
+        for row in found.itertuples():
+            values = rows.loc[rows.g == (row.g if isinstance(row.g, str) else "a"), value]
+            assert [row.least, row.mid, row.hi, row.most] == pytest.approx(
+                list(np.quantile(values, [0.0, 0.5, 0.95, 1.0])))
+    assert [df.count() for df in written] == [3000, 4, 4] * 2
+
+
 def test_quantile_without_groups_skips_missing_values(spark):
     df = spark.createDataFrame([(1.0,), (None,), (2.0,), (4.0,)], "v double")
     assert rk.quantiles(df, [], "v", {"m": 0.5}).first().m == 2.0

@@ -5,6 +5,7 @@ query starts; the second group lies inside the first. So the number of overlappi
 `starts below the query's end` minus `ends at or below the query's start`: two rank lookups. Doing
 this over all genes and again over the query's own gene gives the overlaps with other genes. Cost
 is a few shuffles of the input however many pairs overlap, and one crowded locus is cut in blocks.
+Where only the existence of an overlap is asked, one sweep keeps the furthest end of two genes.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stopscan.functions.fixed import UTR_FEATURES
 from stopscan.operators.ranking import running_total
@@ -85,14 +87,76 @@ def overlap_counts(queries: DataFrame, intervals: DataFrame, keys: Sequence[str]
         F.sum(F.col("found") * F.col("_sign")).alias("overlaps"))
 
 
+def _two_best(events: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """`events` with the largest of `_one` and `_two` so far, `_first`, and of another gene, `_second`.
+
+    Both are structs `(end, gene)`. While one gene holds the first place, the second is the largest of
+    the others among what held the first place before and what has come since.
+    """
+
+    so_far = Window.partitionBy(*keys).orderBy(*order)
+    upto = so_far.rowsBetween(Window.unboundedPreceding, 0)
+    first, before = F.col("_first"), F.col("_before")
+    led = events.withColumn("_first", F.max(F.greatest("_one", "_two")).over(upto)).withColumn(
+        "_before", F.lag("_first").over(so_far))
+    changed = F.coalesce(first["gene"] != before["gene"], F.lit(False))
+    led = led.withColumn("_held", F.sum(changed.cast("int")).over(upto))
+    others = F.greatest(
+        F.when(F.col("_one")["gene"] != first["gene"], F.col("_one")),
+        F.when(F.col("_two")["gene"] != first["gene"], F.col("_two")), F.when(changed, before))
+    since = Window.partitionBy(*keys, "_held").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, 0)
+    return led.withColumn("_second", F.max(others).over(since)).drop("_before", "_held")
+
+
+def furthest_ends(coding: DataFrame, asked: DataFrame, keys: Sequence[str],
+                  block: int = 1 << 16) -> DataFrame:
+    """Distinct `(keys, at)` of `asked` with the furthest end of the intervals that start at or below
+    it, `_first`, and the furthest of another gene, `_second`; structs `(end, gene)`.
+
+    One sweep over starts and places asked for, cut into blocks: a block begins with what the blocks
+    before it hold, so only one block is sorted at a time.
+    """
+
+    kind = coding.select(F.struct("end", F.col("gene_id").alias("gene")).alias("_one")).schema[0].dataType
+    points = coding.groupBy(*keys, F.col("start").alias("_at"), "gene_id").agg(
+        F.max("end").alias("end")).select(
+        *keys, "_at", F.lit(0).alias("_query"),
+        F.struct("end", F.col("gene_id").alias("gene")).cast(kind).alias("_one"))
+    places = asked.select(*keys, F.col("at").alias("_at")).distinct().select(
+        *keys, "_at", F.lit(1).alias("_query"), F.lit(None).cast(kind).alias("_one"))
+    events = points.unionByName(places).withColumn("_block", F.floor(F.col("_at") / block))
+    inside = [*keys, "_block"]
+    genes = events.groupBy(*inside, F.col("_one")["gene"].alias("_gene")).agg(
+        F.max("_one").alias("_e"))
+    top = F.max("_e").over(Window.partitionBy(*inside))
+    blocks = genes.withColumn("_top", top).groupBy(*inside).agg(
+        F.max("_e").alias("_one"),
+        F.max(F.when(F.col("_e")["gene"] != F.col("_top")["gene"], F.col("_e"))).alias("_two"))
+    earlier = Window.partitionBy(*keys).orderBy("_block")
+    begun = _two_best(blocks, keys, ["_block"]).select(
+        *inside, F.lit(None).cast("bigint").alias("_at"), F.lit(0).alias("_query"),
+        F.lag("_first").over(earlier).alias("_one"), F.lag("_second").over(earlier).alias("_two"))
+    # A missing place sorts first: what was held before the block.
+    swept = _two_best(events.withColumn("_two", F.lit(None).cast(kind)).unionByName(begun), inside,
+                      ["_at", "_query", "_one"])
+    return swept.where("_query = 1").select(*keys, F.col("_at").alias("at"), "_first", "_second")
+
+
 def overlapping_other_genes(features: DataFrame) -> DataFrame:
     """(transcript_id) with a downstream region that shares a base and a strand with the coding
-    part of a different gene, counted by `overlap_counts` and not by pairs.
+    part of a different gene.
+
+    Of the coding intervals of other genes that start before a region ends, one reaches into it if the
+    one that ends last does; no pairs are formed.
     """
 
     coding, untranslated = coding_and_untranslated(features)
     # Written once: the regions are looked up and then matched back to their transcripts.
-    regions = cut_lineage(downstream_regions(coding, untranslated))
-    counted = overlap_counts(regions, coding, ["chrom", "strand"], "gene_id")
-    hit = counted.where("overlaps > 0").drop("overlaps")
-    return regions.join(hit, hit.columns, "left_semi").select("transcript_id").distinct()
+    regions = cut_lineage(downstream_regions(coding, untranslated).withColumn(
+        "at", F.col("end") - 1))
+    found = furthest_ends(coding, regions, ["chrom", "strand"])
+    other = F.when(F.col("_first")["gene"] != F.col("gene_id"), F.col("_first")).otherwise(
+        F.col("_second"))
+    return regions.join(found, ["chrom", "strand", "at"]).where(
+        other["end"] > F.col("start")).select("transcript_id").distinct()

@@ -19,7 +19,7 @@ from stopscan.functions.nucleotides import (
     next_stop_distance,
     translate_sequence,
 )
-from stopscan.functions.scalars import half_even, met, ratio
+from stopscan.functions.scalars import half_even, let, met, ratio
 from stopscan.operators.ranking import average_ranks, hashed_rank, quantiles
 from stopscan.operators.resampling import PRIME, mixed, mixed_sql
 from stopscan.session import cut_lineage, within
@@ -43,19 +43,33 @@ def extension_windows(annotation: DataFrame, sequences: DataFrame) -> DataFrame:
 
 
 def extension_peptides(annotation: DataFrame, sequences: DataFrame,
-                       extensions: DataFrame) -> DataFrame:
-    """The peptide past each native stop, over whole codons the sequence holds."""
+                       extensions: DataFrame | None = None) -> DataFrame:
+    """The peptide past each native stop, over whole codons the sequence holds.
 
-    joined = (extensions.where("extension is not null")
-              .join(annotation.select("transcript", "l_utr5", "l_cds").hint("merge"), "transcript")
-              .join(_named(sequences), "transcript"))
+    Without `extensions` the windows are found on the way, from the one join that brings the sequence.
+    """
+
+    if extensions is None:
+        joined = annotation.where("l_cds > 0").join(_named(sequences), "transcript")
+        stop = (F.col("l_utr5") + F.col("l_cds") - 3).cast("int")
+        extension = next_stop_distance(F.col("sequence"), stop)
+    else:
+        joined = (extensions.where("extension is not null")
+                  .join(annotation.select("transcript", "l_utr5", "l_cds").hint("merge"),
+                        "transcript").join(_named(sequences), "transcript"))
+        extension = F.col("extension")
     start = (F.col("l_utr5") + F.col("l_cds")).cast("int")
-    window = F.least(F.col("extension") - 3, F.length("sequence") - start)
-    tail = F.upper(F.substring("sequence", start + 1, F.greatest(window, F.lit(0)).cast("int")))
-    peptide = translate_sequence(tail)
-    return joined.select("transcript", F.col("extension").alias("extension_nt"),
-                         F.length(peptide).alias("extension_aa"),
-                         peptide.alias("extension_peptide"))
+
+    def read(past: Column) -> Column:
+        window = F.least(past - 3, F.length("sequence") - start)
+        tail = F.upper(F.substring("sequence", start + 1, F.greatest(window, F.lit(0)).cast("int")))
+        return let(F.when(past.isNotNull(), translate_sequence(tail)), lambda peptide: F.struct(
+            past.alias("extension_nt"), F.length(peptide).alias("extension_aa"),
+            peptide.alias("extension_peptide")))
+
+    # Outer, since a filter on what is read would be pushed below the reading and repeat it.
+    return joined.select("transcript", F.inline_outer(F.array(let(extension, read)))).where(
+        "extension_nt is not null")
 
 
 def native_stop_features(annotation: DataFrame, sequences: DataFrame) -> DataFrame:

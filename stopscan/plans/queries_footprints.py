@@ -566,8 +566,7 @@ WITH {EXTENSION_SQL} SELECT transcript, cast(extension AS bigint) AS extension_n
 FROM ext WHERE extension IS NOT NULL""")
 def extension_peptides(t: Tables) -> DataFrame:
     annotation, fasta = t("seqs").drop("sequence"), t("seqs").select("accession", "sequence")
-    return rounded(nat.extension_peptides(
-        annotation, fasta, nat.extension_windows(annotation, fasta)))
+    return rounded(nat.extension_peptides(annotation, fasta))
 
 
 @query("native_stop_features", "seqs", sql=f"""

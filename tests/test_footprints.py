@@ -275,6 +275,22 @@ def test_next_stop_and_peptide(spark):
         ("a", "uga", "aaa", "ccc"), ("b", "uag", "aaa", "ccc")}
 
 
+def test_peptides_find_their_windows_in_one_join(spark):
+    annotation = spark.createDataFrame(
+        [("a", 3, 9), ("b", 0, 9), ("c", 0, 8), ("d", 0, 6)],
+        "transcript string, l_utr5 int, l_cds int")
+    fasta = spark.createDataFrame(
+        [("a", "GGGATGAAATGACCCGGGTAACC"), ("b", "ATGAAATAGCCCC"), ("c", "ATGAAATAGTAA"),
+         ("d", "ATGTGATAA")], "accession string, sequence string")
+    found = nat.extension_peptides(annotation, fasta)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    rows = sorted(tuple(r) for r in found.collect())
+    assert rows == [("a", 9, 2, "PG"), ("d", 3, 0, "")]
+    windows = nat.extension_windows(annotation, fasta)
+    assert rows == sorted(tuple(r) for r in nat.extension_peptides(
+        annotation, fasta, windows).collect())
+
+
 def test_joined_bootstrap_agrees_with_the_compact_one(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=60)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopscan.functions.fixed import SUPPORT_KEYS
@@ -12,6 +12,8 @@ from stopscan.functions.nucleotides import as_dna
 from stopscan.operators.ranking import quantiles, top_per_group
 
 TERMS = ("stop_type", "up_123nt", "down_123nt")
+#: Names of variants that one task compares.
+NAMES_PER_TASK = 1_000_000
 
 
 def normalised(df: DataFrame) -> DataFrame:
@@ -69,29 +71,49 @@ def context_analogues(scored: DataFrame, library: DataFrame, label: str,
     the top `limit` rows are kept, and per context the top `2 * limit`. If the variant's gene has
     fewer than `limit` rows there, at least `limit` rows of other genes are among those, and if it
     has more they fill the list alone: each variant meets at most `3 * limit` rows and the
-    result is the exact one.
+    result is the exact one. They come as two sorted lists, so the variant's own list is put together
+    in its row and no task sorts it; only a table that names a variant twice is ranked by sorting.
     """
 
-    gene = F.upper("gene")
     measured = normalised(library).select(
-        *TERMS, "gene", gene.alias("_gene"), "RT_binomial", *identity)
+        *TERMS, "gene", F.upper("gene").alias("_gene"), "RT_binomial", *identity)
     best = [F.desc("RT_binomial"), *[F.asc(c) for c in identity]]
-    own = top_per_group(measured, [*TERMS, "_gene"], best, limit, "_r").drop("_r")
-    every = top_per_group(measured, list(TERMS), best, 2 * limit, "_r").drop("_r")
+    held = F.struct("_r", "gene", "_gene", "RT_binomial", *identity)
+
+    def listed(keys: Sequence[str], most: int, into: str) -> DataFrame:
+        return top_per_group(measured, keys, best, most, "_r").groupBy(*keys).agg(
+            F.sort_array(F.collect_list(held)).alias(into))
+
+    own = listed([*TERMS, "_gene"], limit, "_own").withColumnRenamed("_gene", "_mine")
+    every = listed(list(TERMS), 2 * limit, "_every")
     left = normalised(scored).select("variant_id", "gene_symbol", *TERMS,
                                      F.upper("gene_symbol").alias("_mine"))
-    same = left.join(own.withColumn("_mine", F.col("_gene")), [*TERMS, "_mine"]).withColumn(
-        "same_gene", F.lit(True))
-    # One row per context holds its list, so the variant side is joined without fan-out.
-    listed = every.groupBy(*TERMS).agg(F.collect_list(
-        F.struct("gene", "_gene", "RT_binomial", *identity)).alias("_list"))
-    other = left.join(listed, list(TERMS)).select(
-        "variant_id", "gene_symbol", *TERMS, "_mine", F.inline("_list")).where(
-        ~F.col("_gene").eqNullSafe(F.col("_mine"))).withColumn("same_gene", F.lit(False))
-    columns = ["variant_id", "gene_symbol", *TERMS, "gene", "RT_binomial", "same_gene", *identity]
-    both = same.select(*columns).unionByName(other.select(*columns))
-    ranked = top_per_group(both, ["variant_id"], [F.desc("same_gene"), *best], limit, "rank")
+    # Own rows first: few variants have any, so what the second join sorts is narrow.
+    met = left.join(own, [*TERMS, "_mine"], "left").join(every, list(TERMS))
+
+    def marked(items: Column, same: bool) -> Column:
+        return F.transform(items, lambda x: F.struct(
+            x["gene"].alias("gene"), x["RT_binomial"].alias("RT_binomial"),
+            F.lit(same).alias("same_gene"), *[x[c].alias(c) for c in identity]))
+
+    others = F.filter("_every", lambda x: ~x["_gene"].eqNullSafe(F.col("_mine")))
+    joined = F.when(F.col("_own").isNull(), marked(others, False)).otherwise(
+        F.concat(marked(F.col("_own"), True), marked(others, False)))
+    ranked = met.select("variant_id", "gene_symbol", *TERMS,
+                        F.posexplode(F.slice(joined, 1, limit)).alias("_place", "_row")).select(
+        "variant_id", "gene_symbol", *TERMS, "_row.*", (F.col("_place") + 1).alias("rank"))
+    if not _repeated(scored).isEmpty():
+        ranked = top_per_group(ranked.drop("rank"), ["variant_id"],
+                               [F.desc("same_gene"), *best], limit, "rank")
     return ranked.select(
         "variant_id", "gene_symbol", *TERMS, F.col("gene").alias("analogue_gene"),
         F.col("RT_binomial").alias("analogue_readthrough"), F.lit(label).alias("source"),
         "same_gene", "rank")
+
+
+def _repeated(scored: DataFrame) -> DataFrame:
+    """Variants named by several rows, their names dealt to tasks of bounded rows."""
+
+    tasks = -(-scored.count() // NAMES_PER_TASK)
+    names = scored.select("variant_id").repartition(max(tasks, 1), "variant_id")
+    return names.groupBy("variant_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -2,8 +2,10 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from stopscan.operators import text_index as tix
 from stopscan.operators import variants as var
@@ -58,6 +60,40 @@ def test_a_search_reads_only_the_blocks_that_may_match(spark, tmp_path):
     assert f"EqualTo(_block,{block})" in plan or f"In(_block, [{block}])" in plan
 
 
+def test_lists_are_made_where_the_rows_are_and_joined_across_pieces(spark, table, monkeypatch):
+    rows = [(i // 4, i % 4, t) for i, t in enumerate(["abcab", "", "é𝄞a", "bcabx" * 40, "ab", "abc"])]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.string()))],
+        names=["_block", "_place", "text"])
+    wanted = {}
+    for block, place, text in rows:
+        for i in range(len(text) - 2):
+            wanted.setdefault((text[i:i + 3], block), set()).add(place)
+    for piece, letters in ((1 << 21, 200_000), (4, 200_000), (1 << 21, 4)):
+        monkeypatch.setattr(tix, "PIECE", piece)
+        monkeypatch.setattr(tix, "MOST_LETTERS", letters)
+        found = {}
+        for told in tix.listed(iter([batch.slice(0, 3), batch.slice(3)])):
+            for r in told.to_pylist():
+                found.setdefault((r["trigram"], r["_block"]), set()).update(r["places"])
+        assert found == wanted
+
+
+def test_single_trigrams_are_not_shuffled(spark, monkeypatch):
+    many = spark.range(0, 2048, 1, 2).select("id", F.lit("the same words").alias("text"))
+    shuffled = []
+    whole = DataFrame.repartitionByRange
+
+    def noted(df, *keys):
+        shuffled.append(df.count())
+        return whole(df, *keys)
+
+    monkeypatch.setattr(DataFrame, "repartitionByRange", noted)
+    index = tix.build_index(many, ["text"])
+    assert shuffled == [24]
+    assert tix.matches(spark, index, "same").count() == 2048
+
+
 def test_empty_table(spark, table):
     index = tix.build_index(table.limit(0), ["text"])
     assert tix.matches(spark, index, "needle").count() == 0

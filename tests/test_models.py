@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from stopscan.functions import binomial
 from stopscan.functions.binomial import MODELS, fit_cells, independent, squared_correlation
+from stopscan.functions.fixed import ROUNDS
 from stopscan.operators import evaluation as ev
 from stopscan.operators import kinetics as kin
 from stopscan.operators import model as mod
 from stopscan.operators import permutation as perm
 from stopscan.operators import selection, wide_fits
+from stopscan.plans import queries_models as qm
+from stopscan.plans.carriers import Tables
 from stopscan.streaming import incremental as inc
 
 STOPS, UPS, DOWNS = ("uaa", "uag", "uga"), ("aaa", "ccg", "gga"), ("aac", "cuu", "ggg")
@@ -398,3 +401,44 @@ def test_fits_across_tasks_equal_grouped_fits(features, scores, monkeypatch):
     assert len(both) == 8 and (both.held_out_x == both.held_out_y).all()
     assert both.r2_x.to_numpy() == pytest.approx(both.r2_y.to_numpy(), abs=1e-9)
     assert both.converged_x.all() and both.converged_y.all()
+
+
+@pytest.mark.parametrize("name", ["B", "K1", "K2", "S"])
+def test_columns_of_a_term_share_no_row(library, name):
+    """Cross products, triangular factor and solution are those of the design written out."""
+
+    cells = library[library.drug == "D"].groupby(["stop_type", "up_123nt", "down_123nt"])[
+        "RT_binomial"].agg(["size", "sum"]).reset_index().drop(index=[4, 9])
+    cells["k_up"], cells["k_down"] = np.arange(len(cells)) % 7 / 3, np.arange(len(cells)) % 5 / 2
+    n = cells["size"].to_numpy(float)
+    found = binomial.design(cells, MODELS[name], binomial.levels_of(cells))
+    x = found.dense()
+    gram = x.T @ (x * n[:, None])
+    assert x.shape == (len(cells), len(found.names))
+    assert found.gram(n) == pytest.approx(gram, abs=1e-9)
+    assert found.cross(n) == pytest.approx(x.T @ n, abs=1e-9)
+    assert found.times(np.arange(found.size)) == pytest.approx(x @ np.arange(found.size), abs=1e-9)
+    factor = binomial.triangle(found, n)
+    assert factor.T @ factor == pytest.approx(gram, abs=1e-9)
+    kept = independent(factor)
+    assert len(kept) == np.linalg.matrix_rank(x) == np.linalg.matrix_rank(x[:, kept])
+    less = found.kept(kept)
+    assert less.dense() == pytest.approx(x[:, kept])
+    side = np.arange(len(kept), dtype=float)
+    assert binomial.solved(less.gram(n), side) == pytest.approx(
+        np.linalg.solve(gram[np.ix_(kept, kept)], side), rel=1e-6, abs=1e-8)
+
+
+def test_the_kinetic_queries_read_whole_triplets_in_every_round(spark):
+    """No row is left out, and every sense codon is a level of its own."""
+
+    tables = Tables(spark, "/root/testdata/sf0.01")
+    given, used = tables("library"), qm.drug_folds(tables)
+    both = given.join(used.select("row", F.col("up_123nt").alias("up"), F.col("down_123nt").alias(
+        "down"), "folds"), "row")
+    assert both.count() == given.count() == used.count()
+    stops = ("uaa", "uag", "uga")
+    for one, other in (("up_123nt", "up"), ("down_123nt", "down")):
+        assert both.where(~F.col(one).isin(*stops) & (F.col(one) != F.col(other))).count() == 0
+        assert used.select(one).distinct().count() == 61
+    assert used.agg(F.bit_or("folds")).first()[0] >> ROUNDS - 1 > 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stopscan.functions import binomial
 from stopscan.functions.binomial import MODELS, fit_cells, independent, squared_correlation
-from stopscan.functions.fixed import ROUNDS
+from stopscan.functions.fixed import PERMUTATIONS_REQUIRED, ROUNDS
 from stopscan.operators import evaluation as ev
 from stopscan.operators import kinetics as kin
 from stopscan.operators import model as mod
@@ -442,3 +442,33 @@ def test_the_kinetic_queries_read_whole_triplets_in_every_round(spark):
         assert both.where(~F.col(one).isin(*stops) & (F.col(one) != F.col(other))).count() == 0
         assert used.select(one).distinct().count() == 61
     assert used.agg(F.bit_or("folds")).first()[0] >> ROUNDS - 1 > 0
+
+
+def test_refits_reach_the_maximum_of_a_whole_fit(spark, features, scores, monkeypatch):
+    """Every family's r squared is that of K1 fitted from nothing, and a large drug's that of a small one."""
+
+    marked = ev.mark_folds(features, "grouped_by_gene", ("drug",), rounds=2)
+    baseline = kin.baseline_scores(marked, rounds=2)
+    wanted = inc.index_range(spark, kin.FAMILIES, 3)
+
+    def gains() -> np.ndarray:
+        return kin.null_gains(marked, scores, baseline, wanted, rounds=2).toPandas().sort_values(
+            ["shuffle", "permutation", "drug"])["gain"].to_numpy()
+
+    found = gains()
+    assert len(found) == 3 * 3 * 2
+    with monkeypatch.context() as patched:
+        patched.setattr(kin, "TASK_ROWS", 10)
+        assert gains() == pytest.approx(found, abs=1e-7)
+    by_hand = []
+    for family in ("context_matched", "global"):
+        for p in range(3):
+            one = spark.range(p, p + 1).toDF("permutation")
+            used = kin.permuted_scores(scores, family, one, 722).drop("permutation")
+            by_hand.append(kin.observed_gains(marked, used, baseline, 2).groupBy("drug").agg(
+                F.avg("gain")).orderBy("drug").toPandas().iloc[:, 1])
+    assert found[:12] == pytest.approx(np.concatenate(by_hand), abs=1e-7)
+
+
+def test_the_null_is_whole():
+    assert qm.NULL_PERMUTATIONS == PERMUTATIONS_REQUIRED

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from stopscan.llm import additive_quality, bloom_lm, crf_language, token_counts
@@ -181,3 +182,48 @@ def test_tables_learn_an_interaction():
     model = additive_quality.Additive(14).fit(x, y)
     assert (0, 1) in model.pairs
     assert ((model.score(x) > 0.5) == y).mean() > 0.85
+
+
+@pytest.mark.parametrize("head", [12, 500])
+def test_pairs_of_rare_words_have_counts_of_their_own(spark, monkeypatch, head):
+    """Scores equal the formula over exact counts, quantised; a phrase seen often beats its words apart."""
+
+    monkeypatch.setattr(bloom_lm, "HEAD_WORDS", head)
+    monkeypatch.setattr(bloom_lm, "CLASSES", 8)
+    monkeypatch.setattr(bloom_lm, "PAIRS_PER_PART", 64)
+    draw = np.random.default_rng(5)
+    texts = [" ".join(f"w{min(int(x), 60)}" for x in draw.geometric(0.08, 30)) for _ in range(150)]
+    texts += ["amber falcon harbour"] * 40 + ["falcon w1", "harbour w2", "w1 amber"] * 13
+    train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    asked = ["amber falcon harbour", "harbour amber falcon", "unseen falcon w1", "w1 w2 w3", "", *texts[:20]]
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    found = {r.doc_id: r.score for r in bloom_lm.scores(docs, train).collect()}
+    model, _ = bloom_lm.learned(train)
+    words, pairs = Counter(), Counter()
+    for text in texts:
+        row = ["", *tokens(text)]
+        words.update(row[1:])
+        pairs.update(zip(row, row[1:]))
+
+    def quantised(c):
+        return float(bloom_lm.count_at(np.array([int(math.log2(c)) + 1 if c else 0]))[0])
+
+    ids = {w: n for n, w in enumerate(model.words.to_pylist()[:model.classes])}
+    width, rare = model.classes + 1, model.classes
+    for n, text in enumerate(asked):
+        score, row = 0.0, ["", *tokens(text)]
+        for b, w in zip(row, row[1:]):
+            one, two = ids.get(b.encode(), rare), ids.get(w.encode(), rare)
+            group = 10 ** float(model.class_scores(np.array([one * width + two]))[0])
+            inner = (words[w] + 1) / model.rare if two == rare else 1.0
+            if one < rare:
+                z = quantised(sum(c for (x, y), c in pairs.items()
+                                  if x == b and y.encode() not in ids))
+                p = group * (inner if two < rare else (
+                    quantised(pairs[b, w]) + bloom_lm.PRIOR * inner) / (z + bloom_lm.PRIOR))
+            else:
+                p = (quantised(pairs[b, w]) + bloom_lm.PRIOR * group * inner) / (
+                    words[b] + bloom_lm.PRIOR)
+            score += math.log10(p)
+        assert found[n] == pytest.approx(score, abs=0.02 * len(row))
+    assert found[0] > found[1] + 0.5

@@ -6,6 +6,7 @@ import tempfile
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 
 from stopscan.llm import cuckoo_dedup, decontamination, shingle_similarity, simhash
@@ -302,3 +303,35 @@ def test_the_stage_compares_what_fingerprints_link(spark, monkeypatch):
     monkeypatch.setattr(shingle_similarity, "ROUNDS", ())
     # The last two are linked by their phrase, but most of their shingles differ.
     assert sorted(r.doc_id for r in simhash.stage(spark, docs, "").collect()) == [1, 3, 4, 5]
+
+
+@pytest.mark.parametrize("length", [3, 24, 150])
+def test_links_need_no_band(spark, monkeypatch, length):
+    """Without any band, components are still those of all pairs at 0.8, beside lines that many share."""
+
+    rng = np.random.default_rng(length)
+    line, texts = " all of us share this line of words", []
+    for _ in range(25):
+        words = [f"w{n}" for n in rng.integers(0, 3000, length)]
+        for changes in (0, 1, 2, 4):
+            copy = list(words)
+            for at in rng.choice(length, min(changes, length - 1), replace=False):
+                copy[at] = f"c{rng.integers(0, 9)}"
+            texts.append(" ".join(copy) + line * (len(texts) % 3 == 0))
+    found = [set(shingle_similarity.shingles(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in combinations(range(len(texts)), 2):
+        if 10 * len(found[a] & found[b]) >= 8 * len(found[a] | found[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(shingle_similarity, "ROUNDS", ())
+    groups = shingle_similarity.similar_groups(docs).collect()
+    assert {r.doc_id: r.component_id for r in groups} == {k: find(k) for k in range(len(texts))}
+    assert len({r.component_id for r in groups}) < len(texts) or length == 3
